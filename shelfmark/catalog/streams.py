@@ -1,3 +1,100 @@
 """Streaming operators run to completion over the sample tables."""
 
+from pyspark.sql import functions as F
+
+from shelfmark.catalog.library_queries import FLAT
+from shelfmark.catalog.library_queries import SQL as LIBRARY_SQL
+from shelfmark.catalog.sql import FILES, with_
+from shelfmark.session import shared_path
+from shelfmark.sources import sample_tables as s
+from shelfmark.sources.snapshots import publish_audited, read_published
+from shelfmark.streaming.activity import last_opened_stream, pair_operations
+from shelfmark.streaming.commands import command_stream
+from shelfmark.streaming.intake import intake_stream, read_intake
+
 QUERIES, SQL = {}, {}
+
+
+def query(name, sql=None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+    return add
+
+
+def _stream(spark, sf_dir, name):
+    schema = s.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _finish(stream_query):
+    stream_query.awaitTermination()
+
+
+def _collect_batches(spark, stream, mode):
+    """Write every batch to a folder of its own; a retried batch replaces itself."""
+    target = shared_path(spark, "batches")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    _finish(
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", shared_path(spark, "checkpoint"))
+        .trigger(availableNow=True).start()
+    )
+    return spark.read.option("basePath", target).schema(stream.schema).parquet(target)
+
+
+@query("last_opened_stream", """
+SELECT user_id AS doc_id, max(ts) AS last_opened_at FROM events WHERE event_type = 'view' GROUP BY 1""")
+def _(spark, d):
+    log = _stream(spark, d, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), "ts",
+        F.when(F.col("event_type") == "view", "mark_opened").otherwise("other").alias("op"))
+    updates = _collect_batches(spark, last_opened_stream(log), "update")
+    return updates.groupBy("doc_id").agg(F.max("last_opened_at").cast("timestamp_ntz").alias("last_opened_at"))
+
+
+@query("intake_stream", with_(FILES) + """
+SELECT path, CASE WHEN NOT good THEN 'document_corrupt' END AS failure_code,
+       CASE WHEN good THEN sha256(body) END AS content_hash, strlen(body)::BIGINT AS size_bytes FROM files""")
+def _(spark, d):
+    landing = shared_path(spark, "landing")
+    s.files(spark, d).write.parquet(landing)
+    arriving = spark.readStream.schema("path string, length long, content binary").option(
+        "maxFilesPerTrigger", 4).parquet(landing)
+    target = shared_path(spark, "intake")
+    _finish(intake_stream(arriving, target, shared_path(spark, "checkpoint")))
+    return read_intake(spark, target).select("path", "failure_code", "content_hash", "size_bytes")
+
+
+@query("command_stream", LIBRARY_SQL["apply_commands"])
+def _(spark, d):
+    library, collections = shared_path(spark, "library"), shared_path(spark, "collections")
+    publish_audited(spark, lambda: s.library(spark, d), library)
+    publish_audited(spark, lambda: s.collections(spark, d), collections)
+    log = shared_path(spark, "log")
+    s.commands(spark, d).write.parquet(log)
+    arriving = spark.readStream.schema(s.commands(spark, d).schema).parquet(log)
+    _finish(command_stream(arriving, library, collections, shared_path(spark, "checkpoint")))
+    return read_published(spark, library).select(*FLAT)
+
+
+@query("pair_operations")
+def _(spark, d):
+    # What is still inside the watermark at the end stays in the state, so SQL has no
+    # equal; the tests compare it with a batch join.
+    events = _stream(spark, d, "events")
+    starts = events.select(
+        F.col("event_id").cast("string").alias("op_id"), F.col("event_type").alias("op"),
+        F.lit(None).cast("string").alias("file_hash"), F.octet_length("props").cast("bigint").alias("bytes"),
+        F.col("ts").cast("timestamp").alias("ts"))
+    took = F.make_dt_interval(secs=F.col("value"))
+    ends = _stream(spark, d, "events").where(F.col("event_type") != "error").select(
+        F.col("event_id").cast("string").alias("op_id"), F.lit("success").alias("result"),
+        F.round("value").cast("bigint").alias("ms"), F.lit(None).cast("string").alias("code"),
+        F.lit(None).cast("string").alias("detail"), (F.col("ts").cast("timestamp") + took).alias("ts"))
+    return _collect_batches(spark, pair_operations(starts, ends), "append")

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.plans.skew import dimension_join, salted_lookup
+from shelfmark.plans.ranking import with_global_index
+from shelfmark.plans.skew import dimension_join, measured_small, salted_lookup
 
 DOCUMENT_OPS = ("mark_opened", "set_favorite", "toggle_favorite", "rename", "move", "delete")
 COLLECTION_OPS = ("create_collection", "rename_collection", "delete_collection")
@@ -13,10 +14,14 @@ def _only(op: str):
     return F.col("op") == op
 
 
-def last_where(op: str, value):
-    """Value written by the last command of one kind; a struct, so a null value survives."""
-    is_op = _only(op)
-    return F.max_by(F.when(is_op, F.struct(value.alias("value"))), F.when(is_op, F.col("seq")))
+def last_seq(op: str):
+    """``seq`` of the last command of one kind, null when there is none."""
+    return F.max(F.when(_only(op), F.col("seq")))
+
+
+def last_value(op: str, value):
+    """Value written by the last command of one kind; it may itself be null."""
+    return F.max_by(F.when(_only(op), value), F.when(_only(op), F.col("seq")))
 
 
 def latest_value(commands: DataFrame) -> DataFrame:
@@ -41,7 +46,8 @@ def fold_collections(collections: DataFrame, commands: DataFrame) -> DataFrame:
                 F.when(_only("create_collection"), F.struct("str_value", "ts")),
                 F.when(_only("create_collection"), F.col("seq")),
             ).alias("created"),
-            last_where("rename_collection", F.col("str_value")).alias("renamed"),
+            last_seq("rename_collection").alias("renamed_seq"),
+            last_value("rename_collection", F.col("str_value")).alias("renamed"),
             F.min(F.when(_only("delete_collection"), F.col("seq"))).alias("deleted_seq"),
         )
     )
@@ -51,7 +57,7 @@ def fold_collections(collections: DataFrame, commands: DataFrame) -> DataFrame:
     ).select(
         "owner_id",
         "collection_id",
-        F.when(F.col("renamed").isNotNull(), F.col("renamed.value"))
+        F.when(F.col("renamed_seq").isNotNull(), F.col("renamed"))
         .otherwise(F.coalesce("name", "created.str_value")).alias("name"),
         F.coalesce("created_at", "created.ts").alias("created_at"),
         F.when(F.col("__known"), F.lit(None)).otherwise(F.col("created_seq")).alias("created_seq"),
@@ -64,10 +70,10 @@ def apply_to_collections(collections: DataFrame, commands: DataFrame) -> DataFra
     return fold_collections(collections, commands).where(F.col("deleted_seq").isNull()).select(*collections.columns)
 
 
-def valid_moves(folded: DataFrame, moves: DataFrame) -> DataFrame:
+def valid_moves(folded: DataFrame, moves: DataFrame, small: bool | None = None) -> DataFrame:
     """Moves to the root, or into a collection that exists at that point of the log."""
     spans = folded.select("owner_id", "collection_id", "created_seq", "deleted_seq", F.lit(True).alias("__exists"))
-    joined = dimension_join(moves, spans, ["owner_id", "collection_id"], ["seq"])
+    joined = dimension_join(moves, spans, ["owner_id", "collection_id"], ["seq"], small=small)
     seq = F.col("seq")
     alive = (
         F.coalesce("__exists", F.lit(False))
@@ -93,44 +99,53 @@ def apply_commands(library: DataFrame, collections: DataFrame, commands: DataFra
     """Library after the log: last write per field, toggle parity, deletes and dropped moves.
 
     The log is reduced to one row per document with map-side combining before it meets
-    the library, and both sides of that join are unique per document.
+    the library, and both sides of that join are unique per document. Fixed-size fields
+    are folded apart from names, which keeps their aggregation hash-based; all folds end
+    up partitioned by document, so joining them moves nothing.
     """
     doc = commands.where(F.col("doc_id").isNotNull() & F.col("op").isin(*DOCUMENT_OPS))
     folded = fold_collections(collections, commands)
+    small = measured_small(folded)
 
-    fields = doc.groupBy("doc_id").agg(
-        last_where("mark_opened", F.col("ts")).alias("opened"),
-        last_where("set_favorite", F.col("bool_value")).alias("favorite"),
-        last_where("rename", F.col("str_value")).alias("renamed"),
+    fields = doc.where(F.col("op").isin("mark_opened", "set_favorite", "delete")).groupBy("doc_id").agg(
+        last_seq("mark_opened").alias("opened_seq"),
+        last_value("mark_opened", F.col("ts")).alias("opened"),
+        last_seq("set_favorite").alias("favorite_seq"),
+        last_value("set_favorite", F.col("bool_value")).alias("favorite"),
         F.max(_only("delete")).alias("deleted"),
     )
+    names = doc.where(_only("rename")).groupBy("doc_id").agg(
+        F.max("seq").alias("renamed_seq"), F.max_by("str_value", "seq").alias("renamed")
+    )
     moves = doc.where(_only("move")).select("owner_id", "doc_id", "seq", "collection_id")
-    places = valid_moves(folded, moves).groupBy("doc_id").agg(
-        F.max_by(F.struct("collection_id"), F.col("seq")).alias("moved")
+    places = valid_moves(folded, moves, small).groupBy("doc_id").agg(
+        F.max("seq").alias("moved_seq"), F.max_by("collection_id", "seq").alias("moved")
     )
-    changed = fields.join(pending_toggles(doc), "doc_id", "left").join(places, "doc_id", "left")
     gone = folded.where(F.col("deleted_seq").isNotNull()).select(
         "owner_id", "collection_id", F.lit(True).alias("__gone")
     )
 
-    base_favorite = F.when(F.col("favorite").isNotNull(), F.col("favorite.value")).otherwise(F.col("is_favorite"))
+    def written(seq, value, old):
+        return F.when(F.col(seq).isNotNull(), F.col(value)).otherwise(F.col(old))
+
     odd = F.coalesce(F.col("toggles"), F.lit(0)) % 2 == 1
     new = {
-        "last_opened_at": F.when(F.col("opened").isNotNull(), F.col("opened.value")).otherwise(F.col("last_opened_at")),
-        "is_favorite": base_favorite != odd,
-        "display_name": F.when(F.col("renamed").isNotNull(), F.col("renamed.value")).otherwise(F.col("display_name")),
-        "collection_id": F.when(F.col("moved").isNotNull(), F.col("moved.collection_id")).otherwise(F.col("collection_id")),
+        "last_opened_at": written("opened_seq", "opened", "last_opened_at"),
+        "is_favorite": written("favorite_seq", "favorite", "is_favorite") != odd,
+        "display_name": written("renamed_seq", "renamed", "display_name"),
+        "collection_id": written("moved_seq", "moved", "collection_id"),
     }
-    after = (
-        library.join(changed, "doc_id", "left")
-        .where(~F.coalesce("deleted", F.lit(False)))
-        .select(*[new[c].alias(c) if c in new else F.col(c) for c in library.columns])
+    joined = library
+    for fold in (fields, names, places, pending_toggles(doc)):
+        joined = joined.join(fold, "doc_id", "left")
+    after = joined.where(~F.coalesce("deleted", F.lit(False))).select(
+        *[new[c].alias(c) if c in new else F.col(c) for c in library.columns]
     )
-    return _clear_collections(after, gone)
+    return _clear_collections(after, gone, small)
 
 
-def _clear_collections(library: DataFrame, gone: DataFrame) -> DataFrame:
-    joined = dimension_join(library, gone, ["owner_id", "collection_id"], ["doc_id"])
+def _clear_collections(library: DataFrame, gone: DataFrame, small: bool | None = None) -> DataFrame:
+    joined = dimension_join(library, gone, ["owner_id", "collection_id"], ["doc_id"], small=small)
     kept = F.when(F.col("__gone"), F.lit(None)).otherwise(F.col("collection_id"))
     return joined.select(*[kept.cast("bigint").alias(c) if c == "collection_id" else F.col(c) for c in library.columns])
 
@@ -154,9 +169,9 @@ def move(library: DataFrame, commands: DataFrame) -> DataFrame:
 
 def _apply_one(library: DataFrame, commands: DataFrame, op: str, field: str, value) -> DataFrame:
     last = commands.where(_only(op)).groupBy("doc_id").agg(
-        F.max_by(F.struct(value.alias("value")), F.col("seq")).alias("__last")
+        F.max("seq").alias("__seq"), F.max_by(value, F.col("seq")).alias("__last")
     )
-    written = F.when(F.col("__last").isNotNull(), F.col("__last.value")).otherwise(F.col(field))
+    written = F.when(F.col("__seq").isNotNull(), F.col("__last")).otherwise(F.col(field))
     return library.join(last, "doc_id", "left").select(
         *[written.alias(c) if c == field else F.col(c) for c in library.columns]
     )
@@ -177,8 +192,6 @@ def delete_documents(library: DataFrame, commands: DataFrame) -> DataFrame:
 
 def create_collections(collections: DataFrame, requests: DataFrame, now) -> DataFrame:
     """Append collections for ``(owner_id, seq, name)`` rows; names may repeat."""
-    from shelfmark.plans.ranking import with_global_index
-
     last = collections.agg(F.coalesce(F.max("collection_id"), F.lit(0)).alias("m")).scalar()
     rows = with_global_index(requests.select("owner_id", "seq", "name"), ["seq", "owner_id"], "__rank")
     return collections.unionByName(rows.select(

@@ -8,20 +8,25 @@ from shelfmark.plans.skew import salted_lookup
 
 
 def classify_intake(files: DataFrame, requested: DataFrame | None = None) -> DataFrame:
-    """One row per requested path with ``failure_code`` null when the file is accepted.
+    """One row per file with ``failure_code`` null when the file is accepted.
 
-    ``requested`` has a ``path`` column; paths without a file are reported, not dropped.
+    Paths of ``requested`` (``path``) without a file are reported as rows of their own.
+    The bytes are judged where they are read; only paths are shuffled to find the missing.
     """
-    rows = files.withColumn("__found", F.lit(True))
-    if requested is not None:
-        rows = requested.select("path").distinct().join(rows, "path", "left")
-    missing = F.col("__found").isNull()
     bad = (F.col("length") < 4) | ~has_pdf_magic(F.col("content"))
-    return rows.select(
+    rows = files.select(
         "*",
-        F.when(missing, "document_moved").when(bad, "document_corrupt").alias("failure_code"),
-        F.when(missing, "source file does not exist").when(bad, "missing %PDF header").alias("failure_detail"),
-    ).drop("__found")
+        F.when(bad, "document_corrupt").alias("failure_code"),
+        F.when(bad, "missing %PDF header").alias("failure_detail"),
+    )
+    if requested is None:
+        return rows
+    missing = requested.select("path").distinct().join(files.select("path"), "path", "left_anti").select(
+        "path",
+        F.lit("document_moved").alias("failure_code"),
+        F.lit("source file does not exist").alias("failure_detail"),
+    )
+    return rows.unionByName(missing, allowMissingColumns=True)
 
 
 def content_address(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.functions.documents import address_of
 from shelfmark.plans.ranking import with_global_index
-from shelfmark.plans.skew import dimension_join
+from shelfmark.plans.skew import dimension_join, few_against_many
 
 SORT_FIELDS = ("name", "date_added", "date_opened", "size")
 ALL = object()
@@ -211,7 +211,7 @@ def duplicate_documents(library: DataFrame, requests: DataFrame, now) -> DataFra
     the request's ``seq``, so a repeated run gives the same key.
     """
     asked = requests.select("seq", "doc_id")
-    source = dimension_join(asked, library.drop("page_count"), ["doc_id"], ["seq"], "inner")
+    source = few_against_many(asked, library.drop("page_count"), ["doc_id"], ["seq"])
     key = F.sha2(F.concat_ws("|", "content_hash", F.col("seq").cast("string")), 256)
     copies = (
         source.withColumn("storage_key", key)

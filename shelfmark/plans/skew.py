@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-SALTS = 32
+TASK_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
+NULL_SLOTS = 1 << 20
 
 _SALT = "__salt"
-_HOT = "__hot"
+_SLOTS = "__slots"
 
 
 def measured_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -25,21 +25,21 @@ def measured_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return rows <= max_rows and size <= max_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """The most frequent keys with at least ``min_rows`` rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Keys with more than ``task_rows`` rows and the number of tasks each should get.
 
-    This is only a hint for salting, so the limit loses nothing: a key left out holds
-    at most ``1/max_keys`` of all rows. Counting combines on the map side.
+    Counting combines on the map side. The list only steers salting, so its limit loses
+    no rows: a key left out holds at most ``1/MAX_HOT_KEYS`` of all rows.
     """
     return (
         df.select(*keys)
         .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") >= min_rows)
+        .where(F.col("__rows") > task_rows)
         .orderBy(F.desc("__rows"))
-        .limit(max_keys)
-        .select(*keys)
+        .limit(MAX_HOT_KEYS)
+        .select(*keys, F.ceil(F.col("__rows") / F.lit(task_rows)).cast("int").alias(_SLOTS))
     )
 
 
@@ -49,30 +49,27 @@ def salted_lookup(
     keys: Sequence[str],
     spread: Sequence[str | Column],
     how: str = "left",
-    salts: int = SALTS,
-    min_rows: int = HOT_ROWS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Join ``probe`` to ``lookup`` on ``keys`` with hot probe keys spread over ``salts`` tasks.
+    """Join ``probe`` to ``lookup`` on ``keys`` with each hot probe key split over several tasks.
 
-    Only lookup rows of hot keys are copied. ``spread`` names probe columns that differ
-    between the rows of one key, so the salt is the same on every task attempt. Rows with
-    a null key can match nothing; they are spread too instead of meeting in one task.
+    The number of splits follows the key's row count, and only lookup rows of hot keys are
+    copied, once per split. ``spread`` names probe columns that differ between the rows of
+    one key, so a row gets the same salt on every task attempt. Rows with a null key can
+    match nothing; they are spread too instead of meeting in one task.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(probe, keys, min_rows).withColumn(_HOT, F.lit(True)))
-    slot = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot_keys(probe, keys, task_rows))
+    row = F.xxhash64(*spread)
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    left = (
-        probe.join(hot, keys, "left")
-        .withColumn(_SALT, F.when(null_key | F.col(_HOT), slot).otherwise(F.lit(0)))
-        .drop(_HOT)
-    )
-    copies = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        lookup.join(hot, keys, "left")
-        .withColumn(_SALT, F.explode(copies))
-        .drop(_HOT)
+    salt = (
+        F.when(null_key, F.pmod(row, F.lit(NULL_SLOTS)))
+        .when(F.col(_SLOTS).isNotNull(), F.pmod(row, F.col(_SLOTS)))
+        .otherwise(F.lit(0))
     )
+    left = probe.join(hot, keys, "left").withColumn(_SALT, salt.cast("int")).drop(_SLOTS)
+    copies = F.sequence(F.lit(0), F.coalesce(F.col(_SLOTS), F.lit(1)) - 1)
+    right = lookup.join(hot, keys, "left").withColumn(_SALT, F.explode(copies)).drop(_SLOTS)
     return left.join(right, [*keys, _SALT], how).drop(_SALT)
 
 
@@ -82,8 +79,25 @@ def dimension_join(
     keys: Sequence[str],
     spread: Sequence[str | Column],
     how: str = "left",
+    small: bool | None = None,
 ) -> DataFrame:
-    """Broadcast ``dimension`` when its measured size allows it, else salt hot keys."""
-    if measured_small(dimension):
+    """Broadcast ``dimension`` when its measured size allows it, else salt hot keys.
+
+    ``small`` passes on the outcome of an earlier ``measured_small``.
+    """
+    if measured_small(dimension) if small is None else small:
         return probe.join(F.broadcast(dimension), list(keys), how)
     return salted_lookup(probe, dimension, keys, spread, how)
+
+
+def few_against_many(
+    few: DataFrame, many: DataFrame, keys: Sequence[str], spread: Sequence[str | Column]
+) -> DataFrame:
+    """Inner join of a usually short request list with a large table unique on ``keys``.
+
+    A list of measured size is broadcast and the table is not shuffled; a long list
+    probes the table with its hot keys split.
+    """
+    if measured_small(few):
+        return many.join(F.broadcast(few), list(keys))
+    return salted_lookup(few, many, keys, spread, "inner")

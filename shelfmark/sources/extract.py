@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from shelfmark import schemas
 
+ROWS_PER_BATCH = 2_000
 CODES = frozenset(code for code, _, _ in schemas.FAILURE_MESSAGES)
 
 
@@ -27,8 +28,9 @@ Extractor = Callable[[str, bytes], Iterable[tuple]]
 def extract_pages(files: DataFrame, extractor: Extractor, partitions: int | None = None) -> DataFrame:
     """Page rows of every file, or exactly one row with a failure code.
 
-    A file that fails never fails the job, and none of its pages are kept. Files are
-    spread first because a few listings can hold most of the bytes.
+    A file that fails never fails the job, and none of its pages are kept. The file scan
+    already packs files into partitions by bytes, so they are only moved when
+    ``partitions`` asks for it.
     """
     columns = schemas.EXTRACTED.fieldNames()
     rect_fields = schemas.RECT.fieldNames()
@@ -48,13 +50,23 @@ def extract_pages(files: DataFrame, extractor: Extractor, partitions: int | None
         except Exception as error:  # any other error of a bad file becomes a code
             return [(path, None, None, None, "unknown", type(error).__name__)]
 
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=columns)
+        out["page_index"] = out["page_index"].astype("Int32")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                out = pd.DataFrame(rows_of(path, content), columns=columns)
-                out["page_index"] = out["page_index"].astype("Int32")
-                yield out
+                rows.extend(rows_of(path, content))
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     picked = files.select("path", "content")
-    picked = picked.repartition(partitions, "path") if partitions else picked.repartition("path")
+    if partitions:
+        picked = picked.repartition(partitions, "path")
     return picked.mapInPandas(run, schemas.EXTRACTED)

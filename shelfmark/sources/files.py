@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.plans.skew import few_against_many
 from shelfmark.sources.snapshots import publish_audited
 
 
@@ -29,7 +30,7 @@ def export_subset(library: DataFrame, ids: DataFrame, contents: DataFrame, targe
     chosen = library.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(
         "doc_id", "storage_key", "display_name", "size_bytes"
     )
-    out = chosen.join(contents.select("storage_key", "content"), "storage_key")
+    out = few_against_many(chosen, contents.select("storage_key", "content"), ["storage_key"], ["doc_id"])
     expected = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
 
     def complete(written: DataFrame) -> bool:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.documents import address_of
 from shelfmark.functions.text import grid_rects
-from shelfmark.plans.skew import salted_lookup
+from shelfmark.plans.skew import dimension_join
 from shelfmark.schemas import HANDLE
 
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
@@ -54,7 +54,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest.alias("content_hash"),
         name.alias("display_name"),
         size.alias("size_bytes"),
-        F.expr(f"{EPOCH} + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("added_at"),
+        F.expr(f"timestampadd(MINUTE, doc_id, {EPOCH})").alias("added_at"),
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("page_count"),
         collection_of(F.col("lang")).alias("collection_id"),
     )
@@ -96,7 +96,7 @@ def page_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a command log on the document named by ``user_id``."""
     owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), F.col("source").alias("owner_id"))
-    events = salted_lookup(table(spark, sf_dir, "events"), owners, ["user_id"], ["event_id"])
+    events = dimension_join(table(spark, sf_dir, "events"), owners, ["user_id"], ["event_id"])
     kind = F.col("event_type")
     place = F.pmod(F.floor("value"), F.lit(5)).cast("bigint")
     return events.select(
