@@ -1,5 +1,8 @@
 """Literal search across documents: offsets, numbering, snippets and highlight boxes."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,12 +64,17 @@ def number_hits(hits: DataFrame, keys=("doc_id",), pages_per_chunk: int = PAGES_
     Pages are numbered in chunks: a window over the few rows that summarize a document's
     chunks gives each chunk its start and outer neighbours, and a window inside the chunk
     does the rest. No task holds more than one chunk of a document, however long it is.
+
+    The null checks are the ones the join would add to one of its sides; stating them up
+    front keeps both uses of the exchange alike, so the search itself runs once.
     """
     keys = list(keys)
     chunk = [*keys, "chunk"]
-    placed = hits.withColumn(
-        "chunk", F.floor(F.col("page_index") / F.lit(pages_per_chunk)).cast("int")
-    ).repartition(*chunk)
+    placed = (
+        hits.withColumn("chunk", F.floor(F.col("page_index") / F.lit(pages_per_chunk)).cast("int"))
+        .where(reduce(and_, [F.col(c).isNotNull() for c in chunk]))
+        .repartition(*chunk)
+    )
     first = F.struct("page_index", F.get("hits", F.lit(0))["offset"].alias("offset"))
     last = F.struct("page_index", F.element_at("hits", -1)["offset"].alias("offset"))
 
