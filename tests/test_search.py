@@ -1,0 +1,221 @@
+import random
+
+import pytest
+from helpers import pages, values
+from pyspark.sql import functions as F
+
+from shelfmark.functions.text import BLOCK, prefix_sums, snippets, utf16_length
+from shelfmark.operators import pages as page_ops
+from shelfmark.operators import search
+
+TOKEN = "PLATYPUS-TOKEN-42"
+
+
+def small(spark):
+    return pages(
+        spark,
+        (1, 0, "Hello world", None), (1, 1, "Second page", None),
+        (1, 2, f"Searchable marker string: {TOKEN} appears only here.", None),
+        (2, 0, "abc", [(0, 800, 7, 788), (7, 800, 14, 788), (14, 800, 21, 788)]),
+        (3, 0, "", []), (4, 0, None, None), (5, 0, "aAaAa.a", None),
+    )
+
+
+def naive(text, query):
+    out, i, low, q = [], 0, text.lower(), query.lower()
+    while q and (i := low.find(q, i)) >= 0:
+        out.append(i)
+        i += len(q)
+    return out
+
+
+def test_search_is_case_insensitive_and_not_overlapping(spark):
+    got = values(search.search_text(small(spark), "AA").orderBy("doc_id", "offset"), "doc_id", "page_index", "offset", "length")
+    assert got == [(5, 0, 0, 2), (5, 0, 2, 2)]
+
+
+def test_empty_query_finds_nothing(spark):
+    assert search.search_text(small(spark), "").count() == 0
+
+
+@pytest.mark.parametrize("query", [".", "a.", "\\E", "$", "(", "\\Q", "[x]"])
+def test_query_is_literal(spark, query):
+    text = "a.b $ ( \\E \\Q [x] a."
+    got = values(search.search_text(pages(spark, (1, 0, text, None)), query), "offset")
+    assert sorted(got) == naive(text, query)
+
+
+def test_offsets_match_the_text(spark):
+    random.seed(3)
+    rows = [(d, p, "".join(random.choice("abAB é") for _ in range(random.randint(0, 60))), None)
+            for d in range(5) for p in range(6)]
+    for query in ("a", "ab", "é", "b "):
+        got = set(values(search.search_text(pages(spark, *rows), query), "doc_id", "page_index", "offset"))
+        assert got == {(d, p, o) for d, p, t, _ in rows for o in naive(t, query)}
+
+
+def test_characters_that_fold_to_ascii_are_not_missed(spark):
+    df = pages(spark, (1, 0, "ſtop", None), (2, 0, "İn", None), (3, 0, "Kelvin", None), (4, 0, "stop in kelvin", None))
+    assert set(values(search.search_text(df, "stop"), "doc_id")) == {1, 4}
+    assert set(values(search.search_text(df, "kelvin"), "doc_id")) == {3, 4}
+    assert set(values(search.search_text(df, "in"), "doc_id")) >= {2, 3, 4}
+    assert set(values(search.search_text(df, "ΣΟΣ"), "doc_id")) == set()
+
+
+def test_final_sigma(spark):
+    df = pages(spark, (1, 0, "ΟΔΟΣ οδος", None))
+    assert sorted(values(search.search_text(df, "οδοσ"), "offset")) == [0, 5]
+
+
+def test_page_with_very_many_hits(spark):
+    n = 20 * BLOCK + 3
+    got = values(search.search_text(pages(spark, (1, 0, "xy" * n, None)), "X").orderBy("offset"), "offset")
+    assert got == list(range(0, 2 * n, 2))
+
+
+def test_prefix_sums(spark):
+    for n in (0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 7):
+        xs = [random.randint(0, 9) for _ in range(n)]
+        df = spark.createDataFrame([(xs,)], "x array<int>")
+        total, expected = 0, []
+        for x in xs:
+            expected.append(total)
+            total += x
+        assert df.select(prefix_sums(F.col("x"))).first()[0] == expected
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 1000])
+def test_hit_navigation(spark, chunk):
+    random.seed(5)
+    rows = [(d, p, "".join(random.choice("ab") for _ in range(random.randint(0, 9))), None)
+            for d in range(4) for p in range(9)]
+    got = search.number_hits(search.page_hits(pages(spark, *rows), "ab"), pages_per_chunk=chunk)
+    expected = []
+    for d in range(4):
+        hits = [(p, o) for _, p, t, _ in sorted(r for r in rows if r[0] == d) for o in naive(t, "ab")]
+        for i, (p, o) in enumerate(hits):
+            prev = hits[i - 1] if i else (None, None)
+            after = hits[i + 1] if i + 1 < len(hits) else (None, None)
+            expected.append((d, p, o, i + 1, len(hits), *prev, *after))
+    assert sorted(values(got, "doc_id", "page_index", "offset", "hit_number", "hit_count", "prev_page", "prev_offset",
+                         "next_page", "next_offset"), key=str) == sorted(expected, key=str)
+
+
+def test_counts_agree_with_hits(spark):
+    df = small(spark)
+    counts = dict(values(search.hit_counts(df, "a"), "doc_id", "hits"))
+    third = f"Searchable marker string: {TOKEN} appears only here."
+    assert counts == {1: len(naive("Hello world", "a") + naive("Second page", "a") + naive(third, "a")), 2: 1, 3: 0, 4: 0, 5: 6}
+    assert sum(counts.values()) == search.search_text(df, "a").count()
+    assert sum(values(search.page_hit_counts(df, "a"), "hits")) == sum(counts.values())
+
+
+def test_first_page_with(spark):
+    got = dict(values(search.first_page_with(small(spark), TOKEN), "doc_id", "first_page"))
+    assert got == {1: 2, 2: -1, 3: -1, 4: -1, 5: -1}
+    assert set(values(search.first_page_with(small(spark), TOKEN.lower()), "first_page")) == {-1}
+
+
+def test_search_many_equals_one_by_one(spark, monkeypatch):
+    from shelfmark.operators import audit
+    df = small(spark)
+    queries = ["a", "SECOND", "", "é", "pa", "İ"]
+    table = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    expected = sorted(
+        (i, *r) for i, q in enumerate(queries)
+        for r in values(search.search_text(df, q), "doc_id", "page_index", "offset", "length"))
+    for pack_rows in (1000, 2):
+        monkeypatch.setattr(search, "packs", lambda v, c, k: audit.packs(v, c, k, pack_rows))
+        got = search.search_many(df, table)
+        assert sorted(values(got, "query_id", "doc_id", "page_index", "offset", "length")) == expected
+
+
+def test_snippets_of_short_and_long_pages(spark):
+    random.seed(7)
+    text = "".join(random.choice("abcdefgh ") for _ in range(30_000))
+    for t in ("needle", "a needle b", text[:100] + "needle" + text[:15_000] + "NEEDLE" + text):
+        starts = naive(t, "needle")
+        got = search.hit_snippets(pages(spark, (1, 0, t, None)), "needle", 25).collect()
+        assert {r.offset: r.snippet for r in got} == {o: t[max(o - 25, 0):o + 6 + 25] for o in starts}
+
+
+def test_snippets_wider_than_a_block(spark):
+    t = "".join(chr(97 + i % 26) for i in range(40_000))
+    df = spark.createDataFrame([(t, [0, 9_000, 39_990])], "t string, s array<int>")
+    got = df.select(snippets(F.col("t"), F.col("s"), F.lit(5), 9_500)).first()[0]
+    assert [g.snippet for g in got] == [t[max(o - 9_500, 0):o + 5 + 9_500] for o in (0, 9_000, 39_990)]
+
+
+def rects(text):
+    n = len(text.encode("utf-16-be")) // 2
+    return [(7 * i, 800 if i < 4 else 700, 7 * i + 7, 788 if i < 4 else 688) for i in range(n)]
+
+
+def test_hit_boxes_one_per_line(spark):
+    t = "abcdefgh"
+    got = search.hit_boxes(pages(spark, (1, 0, t, rects(t))), "CDEF").orderBy("line").collect()
+    assert [(r.line, r.left, r.top, r.right, r.bottom) for r in got] == [
+        (0, 14.0, 800.0, 28.0, 788.0), (1, 28.0, 700.0, 42.0, 688.0)]
+
+
+def test_hit_boxes_after_an_emoji(spark):
+    t = "😀ab"
+    got = search.hit_boxes(pages(spark, (1, 0, t, rects(t))), "b").first()
+    assert (got.offset, got.left, got.right) == (2, 21.0, 28.0)
+
+
+def test_utf16_length(spark):
+    df = spark.createDataFrame([("a😀é",)], "t string")
+    assert df.select(utf16_length(F.col("t"))).first()[0] == 4
+
+
+def test_alignment_reports_only_violations(spark):
+    good, emoji = "abc", "x😀"
+    df = pages(spark, (1, 0, good, rects(good)), (2, 0, emoji, rects(emoji)), (3, 0, "ab", rects("abc")),
+               (4, 0, "", []), (5, 0, None, None), (6, 0, "q", None))
+    assert sorted(values(page_ops.check_alignment(df), "doc_id", "rects", "units")) == [(3, 3, 2), (6, 0, 1)]
+
+
+def test_explode_chars(spark):
+    df = pages(spark, (1, 0, "ab", rects("ab")), (2, 0, "x😀y", rects("x😀y")), (3, 0, "", []))
+    got = sorted(values(page_ops.explode_chars(df), "doc_id", "index", "units", "character", "left"))
+    assert got == [(1, 0, 1, "a", 0.0), (1, 1, 1, "b", 7.0), (2, 0, 1, "x", 0.0), (2, 1, 2, "😀", 7.0), (2, 3, 1, "y", 21.0)]
+
+
+def test_grid_rects(spark):
+    df = page_ops.with_grid_rects(pages(spark, (1, 0, "ab", None), (2, 0, "", None), (3, 0, None, None)))
+    got = {r.doc_id: [tuple(x) for x in r.char_rects] for r in df.collect()}
+    assert got == {1: [(0.0, 800.0, 7.0, 788.0), (7.0, 800.0, 14.0, 788.0)], 2: [], 3: []}
+    assert page_ops.check_alignment(df).count() == 0
+
+
+def test_select_range_and_permission(spark):
+    t = "a😀bc"
+    df = pages(spark, (1, 0, "hello", rects("hello")), (2, 0, t, rects(t)), (3, 0, "secret", rects("secret")))
+    ranges = spark.createDataFrame([(1, 0, 1, 4), (2, 0, 1, 4), (3, 0, 0, 3)], "doc_id long, page_index int, start int, stop int")
+    flags = spark.createDataFrame([(3, -44 - 16), (1, -44), (2, None)], "doc_id long, p_flags int")
+    got = {r.doc_id: (r.text, len(r.rects)) for r in page_ops.select_range(df, ranges, flags).collect()}
+    assert got == {1: ("ell", 3), 2: ("😀b", 3)}
+
+
+def test_text_stats(spark):
+    got = {r.doc_id: (r.pages, r.pages_with_text, r.characters, r.needs_ocr) for r in page_ops.text_stats(small(spark)).collect()}
+    third = f"Searchable marker string: {TOKEN} appears only here."
+    assert got[1] == (3, 3, 11 + 11 + len(third), False)
+    assert got[3] == (1, 0, 0, True) and got[4] == (1, 0, 0, True)
+    assert set(values(page_ops.pages_with_text(small(spark)), "doc_id")) == {1, 2, 5}
+
+
+def test_explode_pages(spark):
+    df = spark.createDataFrame([(1, ["x", None]), (2, []), (3, None)], "doc_id long, pages array<string>")
+    assert sorted(values(page_ops.explode_pages(df), "doc_id", "page_index", "full_text")) == [(1, 0, "x"), (1, 1, None)]
+    assert set(values(page_ops.explode_pages(df, outer=True), "doc_id")) == {1, 2, 3}
+
+
+@pytest.mark.parametrize("n", [1, 10, 1000, 5000])
+def test_generated_documents(spark, n):
+    df = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_index"),
+                               F.format_string("Page %d of %d", F.col("id") + 1, F.lit(n)).alias("full_text"))
+    assert page_ops.text_stats(df).first().pages == n
+    got = search.hit_navigation(df, "page").where(f"hit_number = {n}").first()
+    assert (got.page_index, got.hit_count, got.next_page) == (n - 1, n, None)
