@@ -11,8 +11,9 @@ CHAR_WIDTH = 7.0
 LINE_TOP = 800.0
 LINE_BOTTOM = 788.0
 
-# Characters a case-insensitive pattern equates with an ASCII letter although
-# lower-casing keeps them apart.
+# Lower-casing finds everything a case-insensitive pattern matches for queries made of
+# these characters (Latin-1 but the micro sign), unless the text holds an exception.
+PLAIN_QUERY = "^[\\x{00}-\\x{B4}\\x{B6}-\\x{FF}]*$"
 FOLDING_EXCEPTIONS = "[İıſ]"
 
 
@@ -87,9 +88,13 @@ def literal_pattern(needle: str | Column) -> Column:
     return F.concat(F.lit("(?iu)\\Q"), body, F.lit("\\E"))
 
 
+def is_plain(needle: str) -> bool:
+    return all(ord(c) <= 0xFF and c != "µ" for c in needle)
+
+
 def may_contain(text: Column, needle: str) -> Column:
     """Cheap test that never misses a page the pattern would match."""
-    if not needle.isascii():
+    if not is_plain(needle):
         return F.lit(True)
     return F.contains(F.lower(text), F.lit(needle.lower())) | text.rlike(FOLDING_EXCEPTIONS)
 

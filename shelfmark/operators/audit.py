@@ -10,7 +10,7 @@ from shelfmark.plans.skew import BROADCAST_BYTES
 PACK_ROWS = 1_000
 
 
-def packs(values: DataFrame, columns: list[str], key: str, pack_rows: int = PACK_ROWS) -> list[DataFrame]:
+def packs(values: DataFrame, columns: list[str], pack_rows: int = PACK_ROWS) -> list[DataFrame]:
     """Split a small-or-large list of terms into one-row frames holding an array.
 
     Row and byte counts are measured, so one pack is always small enough to attach to
@@ -20,7 +20,7 @@ def packs(values: DataFrame, columns: list[str], key: str, pack_rows: int = PACK
         F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns)))), F.lit(0))
     ).first()
     n = max(-(-rows // pack_rows), -(-size // (BROADCAST_BYTES // 4)), 1)
-    bucket = F.pmod(F.xxhash64(key), F.lit(n))
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(n))
     return [
         values.where(bucket == i).agg(F.collect_list(F.struct(*columns)).alias("pack")) for i in range(n)
     ]
@@ -35,7 +35,7 @@ def terms_found(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     kept = [c for c in texts.columns if c != text]
     listed = terms.select("term", F.lower("term").alias("low")).distinct()
     out = None
-    for pack in packs(listed, ["term", "low"], "term"):
+    for pack in packs(listed, ["term", "low"]):
         hits = let(F.lower(F.col(text)), lambda t: F.filter(F.col("__pack"), lambda x: F.contains(t, x["low"])))
         found = (
             texts.withColumn("__pack", pack.scalar())
@@ -63,7 +63,7 @@ def deny_list_verdict(items: DataFrame, terms: DataFrame | None = None) -> DataF
     listed = terms.select("term", F.lower("term").alias("low")).distinct()
     total = None
     rows = items
-    for i, pack in enumerate(packs(listed, ["term", "low"], "term")):
+    for i, pack in enumerate(packs(listed, ["term", "low"])):
         count = let(F.lower("text"), lambda t: F.size(
             F.filter(F.col(f"__pack{i}"), lambda x: F.contains(t, x["low"]))))
         rows = rows.withColumn(f"__pack{i}", pack.scalar())
@@ -82,7 +82,7 @@ def unmentioned(names: DataFrame, record_texts: DataFrame) -> DataFrame:
     """Names (``name``) that occur, case-sensitively, in no ``text`` of the record."""
     listed = names.select("name").distinct()
     mentioned = None
-    for pack in packs(listed, ["name"], "name"):
+    for pack in packs(listed, ["name"]):
         hits = F.filter(F.col("__pack"), lambda x: F.contains(F.col("text"), x["name"]))
         found = record_texts.withColumn("__pack", pack.scalar()).select(F.explode(hits).alias("hit")).select("hit.name")
         mentioned = found if mentioned is None else mentioned.unionByName(found)

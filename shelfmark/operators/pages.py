@@ -14,7 +14,7 @@ from shelfmark.functions.text import (
     prefix_sums,
     utf16_length,
 )
-from shelfmark.plans.skew import dimension_join, salted_lookup
+from shelfmark.plans.skew import dimension_join, few_against_many
 
 
 def explode_pages(documents: DataFrame, pages: str = "pages", outer: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def select_range(pages: DataFrame, ranges: DataFrame, permissions: DataFrame | N
     if permissions is not None:
         ranges = copy_permitted(ranges, permissions)
     wanted = pages.select("doc_id", "page_index", "full_text", "char_rects")
-    joined = salted_lookup(ranges, wanted, ["doc_id", "page_index"], ["start", "stop"], "inner")
+    joined = few_against_many(ranges, wanted, ["doc_id", "page_index"], ["start", "stop"])
     text, a, b = F.col("full_text"), F.col("start"), F.col("stop")
     size = F.greatest(b - a, F.lit(0))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import (
     FOLDING_EXCEPTIONS,
+    PLAIN_QUERY,
     let,
     line_boxes,
     literal_pattern,
@@ -157,14 +158,14 @@ def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     Queries travel to the pages in packs of measured size. Each page picks the queries it
     may contain and only those run as patterns; a longer list costs one pass per pack.
     """
-    plain = F.col("query").rlike(r"^\p{ASCII}*$")
+    plain = F.col("query").rlike(PLAIN_QUERY)
     prepared = queries.where(F.length("query") > 0).select(
         "query_id", "query", F.lower("query").alias("low"),
         literal_pattern(F.col("query")).alias("pattern"), plain.alias("plain"),
     )
     text = F.col("full_text")
     out = None
-    for pack in packs(prepared, ["query_id", "query", "low", "pattern", "plain"], "query_id"):
+    for pack in packs(prepared, ["query_id", "query", "low", "pattern", "plain"]):
         view = F.struct(F.lower(text).alias("low"), text.rlike(FOLDING_EXCEPTIONS).alias("odd"))
         likely = let(view, lambda v: F.filter(
             F.col("pack"), lambda q: ~q["plain"] | v["odd"] | F.contains(v["low"], q["low"])))

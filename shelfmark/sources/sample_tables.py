@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread by id when the files give fewer splits than there are cores.
+
+    A table of many files keeps its splits and its text is not shuffled.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def collection_of(lang):
     """Collection of a document by language; English sits at the root."""
     return (
@@ -84,7 +94,7 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document is a page."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("page_index", "full_text")
     )
 
@@ -154,7 +164,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every line starts a page object, so the audit has something to count.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id").distinct()
     body = F.concat(
         F.when(F.col("__good"), F.lit("%PDF-1.7\n")).otherwise(F.lit("")),

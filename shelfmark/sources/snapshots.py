@@ -6,7 +6,9 @@ Layout below a target folder::
     _commits/<20 digits>       text file naming the data folder and a tag
 
 A commit file is created with "must not exist", so of two writers of the same version one
-fails. Readers follow the highest commit. Nothing is renamed, which suits object stores.
+fails. Readers follow the highest complete commit; a commit file without its text belongs
+to a writer that is not done or was lost, and no other writer builds past it. Nothing is
+renamed, which suits object stores.
 """
 
 import json
@@ -47,18 +49,22 @@ def _commits(spark: SparkSession, target: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit())
 
 
-def _read_commit(spark: SparkSession, target: str, version: int) -> dict:
+def _read_commit(spark: SparkSession, target: str, version: int) -> dict | None:
     fs, jvm = _fs(spark, target)
     stream = fs.open(_path(jvm, target, "_commits", f"{version:020d}"))
     try:
         return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except json.JSONDecodeError:
+        return None
     finally:
         stream.close()
 
 
 def current_version(spark: SparkSession, target: str) -> int | None:
-    versions = _commits(spark, target)
-    return versions[-1] if versions else None
+    for version in reversed(_commits(spark, target)):
+        if _read_commit(spark, target, version) is not None:
+            return version
+    return None
 
 
 def current_tag(spark: SparkSession, target: str):
@@ -91,6 +97,8 @@ def publish_audited(
     """
     fs, jvm = _fs(spark, target)
     base = current_version(spark, target)
+    if any(v > (-1 if base is None else base) for v in _commits(spark, target)):
+        raise PublishConflict(f"a commit after version {base} of {target} is not complete")
     data = f"data-{uuid.uuid4().hex}"
     staged = f"{target.rstrip('/')}/{data}"
     try:

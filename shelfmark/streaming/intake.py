@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.intake import classify_intake, content_address
+from shelfmark.plans.skew import few_against_many
 from shelfmark.schemas import FILES
 
 
@@ -34,19 +35,25 @@ def intake_stream(files: DataFrame, target: str, checkpoint: str, available_now:
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = intake_batch(batch)
-        if batch_id > 0:
-            known = (
-                spark.read.schema("content_hash string, batch_id long").option("basePath", target).parquet(target)
-                .where((F.col("batch_id") < batch_id) & F.col("content_hash").isNotNull())
-                .select("content_hash").distinct().withColumn("seen_before", F.lit(True))
+        # The addressed rows are small; keeping them avoids reading the bytes again.
+        rows = intake_batch(batch).persist()
+        try:
+            seen = F.lit(False)
+            out = rows
+            if batch_id > 0:
+                new = rows.where(F.col("content_hash").isNotNull()).select("content_hash").distinct()
+                earlier = (
+                    spark.read.schema("content_hash string, batch_id long").option("basePath", target).parquet(target)
+                    .where(F.col("batch_id") < batch_id).select("content_hash")
+                )
+                known = few_against_many(new, earlier, ["content_hash"], ["content_hash"]).distinct()
+                out = rows.join(known.withColumn("__known", F.lit(True)), "content_hash", "left")
+                seen = F.coalesce("__known", F.lit(False))
+            out.withColumn("seen_before", seen).drop("__known").write.mode("overwrite").parquet(
+                f"{target.rstrip('/')}/batch_id={batch_id}"
             )
-            rows = rows.join(known, "content_hash", "left").withColumn(
-                "seen_before", F.coalesce("seen_before", F.lit(False))
-            )
-        else:
-            rows = rows.withColumn("seen_before", F.lit(False))
-        rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

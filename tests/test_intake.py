@@ -174,6 +174,16 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
     assert len(leftovers(tmp_path / "t")) == 2
 
 
+def test_an_unfinished_commit_is_not_read_and_blocks_writers(spark, tmp_path):
+    target = str(tmp_path / "t")
+    publish_audited(spark, lambda: spark.range(1), target)
+    (tmp_path / "t" / "_commits" / f"{1:020d}").write_text("")
+    assert current_version(spark, target) == 0
+    assert read_published(spark, target).count() == 1
+    with pytest.raises(PublishConflict):
+        publish_audited(spark, lambda: spark.range(2), target)
+
+
 def test_extract_pages(spark):
     df = files(spark, good=b"one|two", empty=b"", locked=b"!", odd=b"?", none=b"0")
 

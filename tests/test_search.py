@@ -4,7 +4,16 @@ import pytest
 from helpers import pages, values
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import BLOCK, prefix_sums, snippets, utf16_length
+from shelfmark.functions.text import (
+    BLOCK,
+    FOLDING_EXCEPTIONS,
+    PLAIN_QUERY,
+    is_plain,
+    match_starts,
+    prefix_sums,
+    snippets,
+    utf16_length,
+)
 from shelfmark.operators import pages as page_ops
 from shelfmark.operators import search
 
@@ -62,6 +71,19 @@ def test_characters_that_fold_to_ascii_are_not_missed(spark):
     assert set(values(search.search_text(df, "ΣΟΣ"), "doc_id")) == set()
 
 
+def test_cheap_test_never_misses_a_match(spark):
+    # Every Latin-1 character searched in a text of all BMP characters.
+    every = "".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF)
+    queries = [chr(c) for c in range(1, 256) if is_plain(chr(c))]
+    df = pages(spark, (1, 0, every, None)).crossJoin(spark.createDataFrame([(q,) for q in queries], "q string"))
+    found = df.select("q", F.explode(match_starts(F.col("full_text"), F.col("q"))).alias("at")).select(
+        "q", F.substring(F.lit(every), F.col("at") + 1, F.lit(1)).alias("c"))
+    missed = found.where(~F.contains(F.lower("c"), F.lower("q")) & ~F.col("c").rlike(FOLDING_EXCEPTIONS))
+    assert missed.collect() == []
+    assert spark.createDataFrame([(q,) for q in queries], "q string").where(~F.col("q").rlike(PLAIN_QUERY)).count() == 0
+    assert spark.createDataFrame([("µ",), ("Ω",)], "q string").where(F.col("q").rlike(PLAIN_QUERY)).count() == 0
+
+
 def test_final_sigma(spark):
     df = pages(spark, (1, 0, "ΟΔΟΣ οδος", None))
     assert sorted(values(search.search_text(df, "οδοσ"), "offset")) == [0, 5]
@@ -125,7 +147,7 @@ def test_search_many_equals_one_by_one(spark, monkeypatch):
         (i, *r) for i, q in enumerate(queries)
         for r in values(search.search_text(df, q), "doc_id", "page_index", "offset", "length"))
     for pack_rows in (1000, 2):
-        monkeypatch.setattr(search, "packs", lambda v, c, k: audit.packs(v, c, k, pack_rows))
+        monkeypatch.setattr(search, "packs", lambda v, c: audit.packs(v, c, pack_rows))
         got = search.search_many(df, table)
         assert sorted(values(got, "query_id", "doc_id", "page_index", "offset", "length")) == expected
 
