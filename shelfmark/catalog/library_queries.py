@@ -224,6 +224,14 @@ def _(spark, d):
 
 # Intake and duplicates
 
+@query("scan_files")
+def _(spark, d):
+    # The table files themselves, read as bytes; SQL over the tables has no view of them.
+    found = file_io.scan_files(spark, d, names="*.parquet")
+    return intake.content_address(found).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "content_hash", "size_bytes")
+
+
 @query("classify_intake", with_(FILES) + """
 SELECT path, CASE WHEN NOT starts_with(body, '%PDF') THEN 'document_corrupt' END AS failure_code,
        CASE WHEN NOT starts_with(body, '%PDF') THEN 'missing %PDF header' END AS failure_detail FROM files

@@ -21,6 +21,8 @@ from shelfmark.functions.text import (
     snippets,
 )
 from shelfmark.operators.audit import packs
+from shelfmark.plans.skew import dimension_join, measured_small
+from shelfmark.session import cut_lineage
 
 PAGES_PER_CHUNK = 1_024
 
@@ -152,36 +154,80 @@ def first_page_with(pages: DataFrame, token: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.coalesce(F.min(found), F.lit(-1)).alias("first_page"))
 
 
-def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """``search_text`` for every row of ``queries`` (``query_id``, ``query``) in one pass.
+def _grams(low):
+    """All overlapping three-character pieces of ``low``, in one pass of the pattern engine."""
+    return F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+
+
+def keyed_queries(queries: DataFrame) -> DataFrame:
+    """Give every non-empty query the key it is looked up by.
 
-    Queries travel to the pages in packs of measured size. Each page picks the queries it
-    may contain and only those run as patterns; a longer list costs one pass per pack.
+    A plain query of three characters or more is keyed by one of its three-character
+    pieces, the one the fewest queries share; any other query is its own key.
     """
+    low = F.lower("query")
     plain = F.col("query").rlike(PLAIN_QUERY)
-    prepared = queries.where(F.length("query") > 0).select(
-        "query_id", "query", F.lower("query").alias("low"),
-        literal_pattern(F.col("query")).alias("pattern"), plain.alias("plain"),
+    listed = queries.where(F.length("query") > 0).select(
+        "query_id", "query", low.alias("low"), literal_pattern(F.col("query")).alias("pattern"), plain.alias("plain"),
+    )
+    texts = listed.where(F.col("plain")).select("low").distinct()
+    pieces = texts.select("low", F.explode(F.array_distinct(_grams(F.col("low")))).alias("gram"))
+    shared = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(shared, "gram").groupBy("low").agg(
+        F.min(F.struct("n", "gram"))["gram"].alias("gram")
+    )
+    anchor = F.when(F.col("plain"), F.col("gram"))
+    own = F.concat(F.lit("\0"), "query")
+    return listed.join(rarest, "low", "left").select(
+        "query_id", "query", "low", "pattern", "plain",
+        anchor.isNotNull().alias("anchored"), F.coalesce(anchor, own).alias("key"),
     )
-    text = F.col("full_text")
-    out = None
-    for pack in packs(prepared, ["query_id", "query", "low", "pattern", "plain"]):
-        view = F.struct(F.lower(text).alias("low"), text.rlike(FOLDING_EXCEPTIONS).alias("odd"))
-        likely = let(view, lambda v: F.filter(
-            F.col("pack"), lambda q: ~q["plain"] | v["odd"] | F.contains(v["low"], q["low"])))
 
-        def hits(q):
-            parts = F.split(text, q["pattern"], -1)
-            return F.transform(occurrences(parts, F.length(q["query"])), lambda s: F.struct(
-                q["query_id"].alias("query_id"), s.alias("offset"), F.length(q["query"]).alias("length")))
 
-        found = (
+def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """``search_text`` for every row of ``queries`` (``query_id``, ``query``) in one pass.
+
+    Each page is cut once into its three-character pieces, and those that are keys of
+    queries join it to the queries it may contain, so the work per page hardly depends on
+    how many queries there are. The keys travel in packs of measured size; a list beyond
+    one pack costs another pass over the text per pack.
+    """
+    keyed = cut_lineage(keyed_queries(queries))
+    text = F.col("full_text")
+    wanted = keyed.select("key", "query_id", "low", "pattern", "plain", F.length("query").alias("length"))
+    small = measured_small(wanted)
+    out = None
+    # One row per key: queries that share a piece must not meet in two packs.
+    alone = ~F.col("anchored")
+    listed = keyed.select(
+        "key", F.when(alone, F.col("low")).alias("low"), F.when(alone, F.col("plain")).alias("plain"), "anchored"
+    ).distinct()
+    for pack in packs(listed, ["key", "low", "plain", "anchored"]):
+        keys = pack.select(F.struct(
+            F.transform(F.filter("pack", lambda q: q["anchored"]), lambda q: q["key"]).alias("anchors"),
+            F.filter("pack", lambda q: ~q["anchored"]).alias("rest"),
+        )).scalar()
+        odd = text.rlike(FOLDING_EXCEPTIONS)
+
+        def found(low):
+            rest = F.filter(F.col("keys")["rest"], lambda q: F.col("odd") | ~q["plain"] | F.contains(low, q["low"]))
+            return F.concat(
+                F.when(F.col("odd"), F.col("keys")["anchors"])
+                .otherwise(F.array_intersect(_grams(low), F.col("keys")["anchors"])),
+                F.transform(rest, lambda q: q["key"]),
+            )
+
+        likely = (
             pages.where(text.isNotNull())
-            .withColumn("pack", pack.scalar())
-            .select("doc_id", "page_index", F.explode(F.flatten(F.transform(likely, hits))).alias("h"))
-            .select("h.query_id", "doc_id", "page_index", "h.offset", "h.length")
+            .select("doc_id", "page_index", "full_text", odd.alias("odd"), keys.alias("keys"))
+            .select("doc_id", "page_index", "full_text", "odd", F.explode(let(F.lower(text), found)).alias("key"))
+        )
+        checked = dimension_join(likely, wanted, ["key"], ["doc_id", "page_index"], "inner", small).where(
+            F.col("odd") | ~F.col("plain") | F.contains(F.lower(text), F.col("low"))
         )
-        out = found if out is None else out.unionByName(found)
+        hits = occurrences(F.split(text, F.col("pattern"), -1), F.col("length"))
+        rows = checked.select("query_id", "doc_id", "page_index", F.explode(hits).alias("offset"), "length")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -7,14 +7,19 @@ from shelfmark.plans.skew import few_against_many
 from shelfmark.sources.snapshots import publish_audited
 
 
-def scan_files(spark: SparkSession, path: str, max_length: int | None = None) -> DataFrame:
+PDF_NAMES = "*.[pP][dD][fF]"
+
+
+def scan_files(
+    spark: SparkSession, path: str, max_length: int | None = None, names: str = PDF_NAMES
+) -> DataFrame:
     """``.pdf`` files below ``path`` as ``path, modificationTime, length, content``.
 
     ``max_length`` is pushed to the listing, so larger files are never opened.
     """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.[pP][dD][fF]")
+        .option("pathGlobFilter", names)
         .option("recursiveFileLookup", "true")
         .load(path)
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.intake import classify_intake, content_address
-from shelfmark.plans.skew import few_against_many
+from shelfmark.plans.skew import measured_small
 from shelfmark.schemas import FILES
 
 
@@ -46,7 +46,10 @@ def intake_stream(files: DataFrame, target: str, checkpoint: str, available_now:
                     spark.read.schema("content_hash string, batch_id long").option("basePath", target).parquet(target)
                     .where(F.col("batch_id") < batch_id).select("content_hash")
                 )
-                known = few_against_many(new, earlier, ["content_hash"], ["content_hash"]).distinct()
+                if measured_small(new):
+                    known = earlier.join(F.broadcast(new), "content_hash", "left_semi").distinct()
+                else:
+                    known = new.join(earlier.distinct(), "content_hash", "left_semi")
                 out = rows.join(known.withColumn("__known", F.lit(True)), "content_hash", "left")
                 seen = F.coalesce("__known", F.lit(False))
             out.withColumn("seen_before", seen).drop("__known").write.mode("overwrite").parquet(

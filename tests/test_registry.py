@@ -7,7 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"pair_operations"}
+WITHOUT_SQL = {"pair_operations", "scan_files"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables are not here")
 

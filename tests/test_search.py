@@ -141,7 +141,7 @@ def test_first_page_with(spark):
 def test_search_many_equals_one_by_one(spark, monkeypatch):
     from shelfmark.operators import audit
     df = small(spark)
-    queries = ["a", "SECOND", "", "é", "pa", "İ"]
+    queries = ["a", "SECOND", "", "é", "pa", "İ", "page", "Page", "hello w", "hello", "ello", "ell", "llo", "zzz", "\\E.."]
     table = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
     expected = sorted(
         (i, *r) for i, q in enumerate(queries)
