@@ -3,10 +3,12 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shape of the JSON text. ``_corrupt_record`` shows input that is not a JSON object.
+# Shape of the JSON text. It is read inside an array and inside an object, since a reader
+# of a single object would overlook whatever follows it; what follows can close one of the
+# two early, but not both.
 _WIRE = (
-    "struct<kind:string,relativePath:string,contentHash:string,displayName:string,"
-    "handle:struct<type:string,data:string,uri:string,path:string>,_corrupt_record:string>"
+    "array<struct<kind:string,relativePath:string,contentHash:string,displayName:string,"
+    "handle:struct<type:string,data:string,uri:string,path:string>>>"
 )
 
 
@@ -47,7 +49,7 @@ def decode_ref(encoded: Column) -> Column:
         base64_ok = F.try_to_binary(handle["data"], F.lit("base64")).isNotNull()
         error = (
             F.when(encoded.isNull(), F.lit("payload is missing"))
-            .when(~F.ltrim(encoded).startswith("{") | raw["_corrupt_record"].isNotNull(),
+            .when(~F.ltrim(encoded).startswith("{") | raw.isNull() | inside.isNull(),
                   F.lit("payload is not an object"))
             .when(F.coalesce(raw["kind"], F.lit("")) == "managed", F.when(
                 raw["relativePath"].isNull() | raw["contentHash"].isNull(), F.lit("field is missing")))
@@ -77,8 +79,10 @@ def decode_ref(encoded: Column) -> Column:
         )
         return let(error, lambda e: F.struct(F.when(e.isNull(), ref).alias("ref"), e.alias("error")))
 
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return let(F.from_json(encoded, _WIRE, options), checked)
+    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+    inside = F.from_json(F.concat(F.lit('{"v":'), encoded, F.lit("}")), "struct<v:string>", options)["v"]
+    listed = F.from_json(F.concat(F.lit("["), encoded, F.lit("]")), _WIRE, options)
+    return let(let(listed, lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0)))), checked)
 
 
 def decode_ref_strict(encoded: Column) -> Column:

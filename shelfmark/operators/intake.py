@@ -54,9 +54,13 @@ def triage_bytes(files: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(library: DataFrame) -> DataFrame:
-    """Content held by more than one row: number of copies and the row to keep."""
+    """Content held by more than one row: number of copies and the row to keep.
+
+    Files left in place have no hash and are nobody's duplicate.
+    """
     return (
-        library.groupBy("content_hash")
+        library.where(F.col("content_hash").isNotNull())
+        .groupBy("content_hash")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("keeper"))
         .where(F.col("copies") > 1)
     )
@@ -75,10 +79,13 @@ def duplicate_members(library: DataFrame) -> DataFrame:
 
 
 def distinct_content(library: DataFrame) -> DataFrame:
-    """One row per content hash; the smallest id wins."""
+    """One row per content hash, the smallest id winning; rows without a hash all stay."""
     others = [c for c in library.columns if c != "content_hash"]
-    kept = library.groupBy("content_hash").agg(F.min_by(F.struct(*others), F.col("doc_id")).alias("row"))
-    return kept.select("content_hash", "row.*").select(*library.columns)
+    hashed = library.where(F.col("content_hash").isNotNull())
+    kept = hashed.groupBy("content_hash").agg(F.min_by(F.struct(*others), F.col("doc_id")).alias("row"))
+    return kept.select("content_hash", "row.*").select(*library.columns).unionByName(
+        library.where(F.col("content_hash").isNull())
+    )
 
 
 def storage_footprint(library: DataFrame) -> DataFrame:

@@ -77,6 +77,14 @@ def test_duplicates_and_footprint(spark):
     assert values(intake.storage_footprint(df), "logical_bytes", "stored_bytes", "saved_bytes") == [(37, 17, 20)]
 
 
+def test_rows_without_a_hash_are_no_duplicates(spark):
+    df = library(spark, doc(1, "a", digest="h1"), doc(2, "x", kind="external"), doc(3, "y", kind="external"))
+    df = df.withColumn("content_hash", F.when(F.col("ref.kind") == "managed", F.col("content_hash")))
+    assert intake.duplicate_groups(df).count() == 0
+    assert intake.duplicate_members(df).count() == 0
+    assert sorted(values(intake.distinct_content(df), "doc_id")) == [1, 2, 3]
+
+
 def test_a_shared_file_is_collectable_only_when_no_row_is_left(spark):
     df = library(spark, doc(1, "a", digest="h1"), doc(2, "b", digest="h1"), doc(3, "c", digest="h2"),
                  doc(4, "x", digest="h3", kind="external"))

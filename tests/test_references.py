@@ -40,6 +40,13 @@ MALFORMED = {
     "[1]": "payload is not an object",
     '"text"': "payload is not an object",
     "{": "payload is not an object",
+    '{"kind":"managed","relativePath":"a","contentHash":"b"} x': "payload is not an object",
+    '{"kind":"managed","relativePath":"a","contentHash":"b"},{}': "payload is not an object",
+    '{"kind":"managed","relativePath":"a","contentHash":"b"}}': "payload is not an object",
+    "{'kind':'managed','relativePath':'a','contentHash':'b'}": "payload is not an object",
+    "": "payload is not an object",
+    '{"kind":"managed","relativePath":"a","contentHash":"b"}],[{}': "payload is not an object",
+    '{"kind":"managed","relativePath":"a","contentHash":"b"}],{"x":[': "payload is not an object",
     '{"kind":"magic"}': "unknown kind: magic",
     "{}": "unknown kind: null",
     '{"kind":"managed"}': "field is missing",
