@@ -74,8 +74,8 @@ def deny_list_verdict(items: DataFrame, terms: DataFrame | None = None) -> DataF
 
 
 def undocumented(names: DataFrame, records: DataFrame) -> DataFrame:
-    """Names (``name``) that equal no ``name`` in ``records``."""
-    return names.join(records.select("name").distinct(), "name", "left_anti")
+    """The set of names (``name``) that equal no ``name`` in ``records``."""
+    return names.select("name").distinct().join(records.select("name").distinct(), "name", "left_anti")
 
 
 def unmentioned(names: DataFrame, record_texts: DataFrame) -> DataFrame:

@@ -128,11 +128,12 @@ def insert_documents(library: DataFrame, batch: DataFrame, now, order: str = "di
     """Append ``batch`` with fresh ids and the defaults of a new row.
 
     Ids continue after the largest one in use, in the order of ``order`` within the
-    batch. Only the batch is numbered; the library is read once for its largest id.
+    batch. Only the batch is numbered; the library is read once for its largest id. Many
+    rows may share a name, so a hash of the whole row breaks ties and keeps the ranges
+    even.
     """
     last = library.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).scalar()
-    tie = [c for c in ("content_hash", "size_bytes") if c in batch.columns and c != order]
-    numbered = with_global_index(batch, [order, *tie], "__rank")
+    numbered = with_global_index(batch, [order, F.xxhash64(*batch.columns)], "__rank")
     have = set(batch.columns)
     defaults = {
         "added_at": F.lit(now).cast("timestamp_ntz"),

@@ -38,10 +38,10 @@ def check_alignment(pages: DataFrame) -> DataFrame:
     counted = pages.select(
         "doc_id",
         "page_index",
-        F.coalesce(F.size("char_rects"), F.lit(0)).cast("bigint").alias("rects"),
+        F.when(F.col("char_rects").isNull(), F.lit(0)).otherwise(F.size("char_rects")).cast("bigint").alias("rects"),
         utf16_length(F.coalesce("full_text", F.lit(""))).cast("bigint").alias("units"),
     )
-    return counted.where(F.greatest("rects", F.lit(0)) != F.col("units"))
+    return counted.where(F.col("rects") != F.col("units"))
 
 
 def explode_chars(pages: DataFrame) -> DataFrame:
