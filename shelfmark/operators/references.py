@@ -24,32 +24,31 @@ def resolve_refs(library: DataFrame, present: DataFrame, grants: DataFrame) -> D
     """
     ref = F.col("ref")
     managed = ref["kind"] == "managed"
-    by_path = ref["handle"]["type"] == "path"
-    wanted = library.withColumn(
-        "__path", F.when(managed, ref["relative_path"]).when(by_path, ref["handle"]["path"])
-    ).withColumn("__handle", F.when(~managed & ~by_path, handle_key(ref)))
-    listing = present.select(F.col("path").alias("__path")).distinct().withColumn("__exists", F.lit(True))
-    statuses = grants.groupBy(F.col("handle").alias("__handle")).agg(F.max("status").alias("__status"))
-    joined = salted_lookup(wanted, listing, ["__path"], ["doc_id"])
-    joined = salted_lookup(joined, statuses, ["__handle"], ["doc_id"])
+    on_disk = managed | (ref["handle"]["type"] == "path")
+    # One lookup serves files and handles; the prefix keeps their names apart.
+    name = F.when(managed, ref["relative_path"]).otherwise(handle_key(ref))
+    wanted = library.withColumn("__name", name).withColumn(
+        "__key", F.concat(F.when(on_disk, "file ").otherwise("handle "), "__name")
+    )
+    outcomes = (
+        present.select(F.concat(F.lit("file "), "path").alias("__key"), F.lit("ok").alias("status"))
+        .unionByName(grants.select(F.concat(F.lit("handle "), "handle").alias("__key"), "status"))
+        .groupBy("__key")
+        .agg(F.max("status").alias("__status"))
+    )
+    joined = salted_lookup(wanted, outcomes, ["__key"], ["doc_id"])
     status = F.coalesce("__status", F.lit("missing"))
-    on_disk = F.coalesce("__exists", F.lit(False))
     code = (
-        F.when(managed | by_path, F.when(~on_disk, F.lit("document_moved")))
-        .when(status == "ok", F.lit(None))
-        .when(status.isin("stale", "revoked"), F.lit("permission_revoked"))
+        F.when(status == "ok", F.lit(None))
         .when(status == "missing", F.lit("document_moved"))
+        .when(status.isin("stale", "revoked"), F.lit("permission_revoked"))
         .otherwise(F.lit("unknown"))
     )
-    detail = (
-        F.when(managed, F.when(~on_disk, F.lit("managed copy is missing")))
-        .when(by_path, F.when(~on_disk, F.lit("path no longer exists")))
-        .when(status != "ok", status)
-    )
+    detail = F.when(status != "ok", F.when(managed, F.lit("managed copy is missing"))
+                    .when(on_disk, F.lit("path no longer exists")).otherwise(status))
     return (
         joined.withColumn("failure_code", code)
         .withColumn("failure_detail", detail)
-        .withColumn("readable_path", F.when(
-            F.col("failure_code").isNull(), F.coalesce("__path", "__handle")))
-        .drop("__path", "__handle", "__exists", "__status")
+        .withColumn("readable_path", F.when(F.col("failure_code").isNull(), F.col("__name")))
+        .drop("__name", "__key", "__status")
     )
