@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.plans.ranking import with_global_index
-from shelfmark.plans.skew import dimension_join, measured_small, salted_lookup
+from shelfmark.plans.skew import dimension_join, measured_small, split_lookup
 
 DOCUMENT_OPS = ("mark_opened", "set_favorite", "toggle_favorite", "rename", "move", "delete")
 COLLECTION_OPS = ("create_collection", "rename_collection", "delete_collection")
@@ -87,7 +87,7 @@ def pending_toggles(commands: DataFrame) -> DataFrame:
     """Per document, toggles after its last ``set_favorite``."""
     last_set = commands.where(_only("set_favorite")).groupBy("doc_id").agg(F.max("seq").alias("set_seq"))
     toggles = commands.where(_only("toggle_favorite")).select("doc_id", "seq")
-    joined = salted_lookup(toggles, last_set, ["doc_id"], ["seq"])
+    joined = split_lookup(toggles, last_set, ["doc_id"])
     return (
         joined.where(F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
         .groupBy("doc_id")

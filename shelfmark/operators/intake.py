@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.documents import address_of, content_hash, has_pdf_magic
-from shelfmark.plans.skew import salted_lookup
+from shelfmark.plans.skew import split_lookup
 
 
 def classify_intake(files: DataFrame, requested: DataFrame | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def duplicate_members(library: DataFrame) -> DataFrame:
     array; ordering the rows by hash and id gives the sorted member list.
     """
     rows = library.select("content_hash", "doc_id")
-    return salted_lookup(rows, duplicate_groups(library), ["content_hash"], ["doc_id"], "inner").withColumn(
+    return split_lookup(rows, duplicate_groups(library), ["content_hash"], "inner").withColumn(
         "is_keeper", F.col("doc_id") == F.col("keeper")
     )
 

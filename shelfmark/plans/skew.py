@@ -73,6 +73,25 @@ def salted_lookup(
     return left.join(right, [*keys, _SALT], how).drop(_SALT)
 
 
+def split_lookup(
+    probe: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Join a narrow ``probe`` to a ``lookup`` unique on ``keys`` without shuffling hot rows.
+
+    Rows of hot keys meet a broadcast of their few lookup rows where they are read, so an
+    aggregation that follows can combine them before its shuffle. Only the other rows are
+    shuffled. The probe is read once more than in ``salted_lookup``, so this is for tables
+    that are cheap to read.
+    """
+    keys = list(keys)
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    hot = hot_keys(probe, keys, task_rows).select(*keys)
+    direct = probe.join(F.broadcast(hot.join(lookup, keys, how)), keys)
+    rest = probe.where(has_key).join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, how)
+    out = direct.unionByName(rest)
+    return out.unionByName(probe.where(~has_key), allowMissingColumns=True) if how == "left" else out
+
+
 def dimension_join(
     probe: DataFrame,
     dimension: DataFrame,

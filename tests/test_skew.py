@@ -3,7 +3,14 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.plans.ranking import with_global_index, with_group_rank
-from shelfmark.plans.skew import dimension_join, few_against_many, hot_keys, measured_small, salted_lookup
+from shelfmark.plans.skew import (
+    dimension_join,
+    few_against_many,
+    hot_keys,
+    measured_small,
+    salted_lookup,
+    split_lookup,
+)
 
 
 def probe(spark):
@@ -31,6 +38,16 @@ def test_salted_lookup_equals_a_plain_join(spark):
         assert sorted(map(str, out.select("id", *(["v"] if "v" in out.columns else [])).collect())) == plain, how
 
 
+def test_split_lookup_equals_a_plain_join(spark):
+    _, df = probe(spark)
+    lookup = spark.createDataFrame([x for x in LOOKUP if x[0] != "b"], "k string, v int")
+    for how in ("left", "inner"):
+        for task_rows in (10, 1000):
+            plain = sorted(map(str, df.join(lookup, "k", how).select("id", "v").collect()))
+            out = split_lookup(df, lookup, ["k"], how, task_rows=task_rows).select("id", "v").collect()
+            assert sorted(map(str, out)) == plain, (how, task_rows)
+
+
 def test_salted_lookup_spreads_the_hot_key(spark):
     _, df = probe(spark)
     lookup = spark.createDataFrame(LOOKUP, "k string, v int").hint("merge")
