@@ -61,6 +61,18 @@ def search_text(pages: DataFrame, query: str) -> DataFrame:
     )
 
 
+def _position(page_index, offset):
+    """Page and offset as one number that orders like the pair and has a fixed size."""
+    return F.shiftleft(page_index.cast("bigint"), 32) + offset
+
+
+def _page_and_offset(position, side: str):
+    return (
+        F.shiftright(position, 32).cast("int").alias(f"{side}_page"),
+        position.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(f"{side}_offset"),
+    )
+
+
 def number_hits(hits: DataFrame, keys=("doc_id",), pages_per_chunk: int = PAGES_PER_CHUNK) -> DataFrame:
     """Label each hit "i of n" within ``keys`` and point to its neighbours.
 
@@ -78,8 +90,8 @@ def number_hits(hits: DataFrame, keys=("doc_id",), pages_per_chunk: int = PAGES_
         .where(reduce(and_, [F.col(c).isNotNull() for c in chunk]))
         .repartition(*chunk)
     )
-    first = F.struct("page_index", F.get("hits", F.lit(0))["offset"].alias("offset"))
-    last = F.struct("page_index", F.element_at("hits", -1)["offset"].alias("offset"))
+    first = _position(F.col("page_index"), F.get("hits", F.lit(0))["offset"])
+    last = _position(F.col("page_index"), F.element_at("hits", -1)["offset"])
 
     along = W.partitionBy(*keys).orderBy("chunk")
     summary = placed.groupBy(*chunk).agg(
@@ -102,22 +114,20 @@ def number_hits(hits: DataFrame, keys=("doc_id",), pages_per_chunk: int = PAGES_
     )
 
     def labelled(hit, i):
-        here = F.col("page_index")
-        prev, after = F.get(F.col("hits"), i - 1)["offset"], F.get(F.col("hits"), i + 1)["offset"]
-        outer_prev, outer_next = F.col("page_prev"), F.col("page_next")
+        def neighbour(at, outside):
+            return F.coalesce(_position(F.col("page_index"), F.get(F.col("hits"), at)["offset"]), F.col(outside))
+
         return F.struct(
             hit.alias("hit"),
             (F.col("base") + i + 1).cast("bigint").alias("hit_number"),
-            F.when(prev.isNotNull(), here).otherwise(outer_prev["page_index"]).alias("prev_page"),
-            F.coalesce(prev, outer_prev["offset"]).alias("prev_offset"),
-            F.when(after.isNotNull(), here).otherwise(outer_next["page_index"]).alias("next_page"),
-            F.coalesce(after, outer_next["offset"]).alias("next_offset"),
+            neighbour(i - 1, "page_prev").alias("prev"),
+            neighbour(i + 1, "page_next").alias("next"),
         )
 
-    return (
-        pages.select(*keys, "page_index", "hit_count", F.explode(F.transform("hits", labelled)).alias("h"))
-        .select(*keys, "page_index", "h.hit.*", "h.hit_number", "hit_count",
-                "h.prev_page", "h.prev_offset", "h.next_page", "h.next_offset")
+    exploded = pages.select(*keys, "page_index", "hit_count", F.explode(F.transform("hits", labelled)).alias("h"))
+    return exploded.select(
+        *keys, "page_index", "h.hit.*", "h.hit_number", "hit_count",
+        *[part for side in ("prev", "next") for part in _page_and_offset(F.col("h")[side], side)],
     )
 
 
