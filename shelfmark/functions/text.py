@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
+FEW_PARTS = 12
 SNIPPET_BLOCK = 4096
 
 # Layout of text that carries no rectangles of its own.
@@ -100,14 +101,29 @@ def may_contain(text: Column, needle: str) -> Column:
 
 
 def occurrences(parts: Column, needle_length: Column, measure=F.length) -> Column:
-    """Start offsets of the matches that separate ``parts`` of a split text."""
-    spans = F.transform(parts, lambda p: (measure(p) + needle_length).cast("int"))
-    return let(
-        prefix_sums(spans),
-        lambda sums: F.transform(
-            F.slice(sums, F.lit(2), F.size(sums) - 1), lambda s: (s - needle_length).cast("int")
-        ),
-    )
+    """Start offsets of the matches that separate ``parts`` of a split text.
+
+    Most pages hold few matches; adding up the parts before each is then cheaper than
+    prefix sums.
+    """
+    def added(ps: Column) -> Column:
+        return F.transform(
+            F.slice(ps, F.lit(2), F.size(ps) - 1),
+            lambda _, i: F.aggregate(
+                F.slice(ps, F.lit(1), i + 1), (i * needle_length).cast("int"), lambda a, p: (a + measure(p)).cast("int")
+            ),
+        )
+
+    def summed(ps: Column) -> Column:
+        spans = F.transform(ps, lambda p: (measure(p) + needle_length).cast("int"))
+        return let(
+            prefix_sums(spans),
+            lambda sums: F.transform(
+                F.slice(sums, F.lit(2), F.size(sums) - 1), lambda s: (s - needle_length).cast("int")
+            ),
+        )
+
+    return let(parts, lambda ps: F.when(F.size(ps) <= FEW_PARTS, added(ps)).otherwise(summed(ps)))
 
 
 def match_starts(text: Column, needle: str | Column) -> Column:
