@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontamination, mixing
+from shelfmark.llm import chat, decontamination, mixing, neardup
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": lambda spark, sf: chat.format_conversations(table(spark, sf, "conversations")),
     "op6_decontamination": lambda spark, sf: decontamination.contaminated(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op9_minhash_dedup": lambda spark, sf: neardup.linked(table(spark, sf, "documents"), width=2),
 }
 
-SQL = {"op3_mixing": mixing.SQL, "op5_chat_format": chat.SQL}
+SQL = {"op3_mixing": mixing.SQL, "op5_chat_format": chat.SQL, "op9_minhash_dedup": neardup.SQL}

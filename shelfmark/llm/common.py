@@ -4,6 +4,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def remainder(column: str, modulus: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
-        sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]
         start = size = 0
         for row, n in enumerate(sizes):
             if size and size + n > limit:
