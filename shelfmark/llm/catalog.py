@@ -4,11 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontamination, mixing, neardup
+from shelfmark.llm import chat, decontamination, mixing, neardup, toxicity
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": lambda spark, sf: mixing.mix_sources(table(spark, sf, "documents")),
+    "op4_toxicity": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op5_chat_format": lambda spark, sf: chat.format_conversations(table(spark, sf, "conversations")),
     "op6_decontamination": lambda spark, sf: decontamination.contaminated(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
