@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontamination, licenses, mixing, neardup, toxicity
+from shelfmark.llm import chat, decontamination, licenses, mixing, neardup, pii, toxicity
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": lambda spark, sf: chat.format_conversations(table(spark, sf, "conversations")),
     "op6_decontamination": lambda spark, sf: decontamination.contaminated(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op7_pii": lambda spark, sf: pii.personal_data(table(spark, sf, "documents")),
     "op9_minhash_dedup": lambda spark, sf: neardup.linked(table(spark, sf, "documents"), width=2),
 }
 
