@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontamination, licenses, mixing, neardup, pii, quality, toxicity
+from shelfmark.llm import chat, decontamination, licenses, mixing, nearest, neardup, pii, quality, toxicity
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": lambda spark, sf: decontamination.contaminated(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op7_pii": lambda spark, sf: pii.personal_data(table(spark, sf, "documents")),
+    "op8_nearest": lambda spark, sf: nearest.search(table(spark, sf, "embeddings")),
     "op9_minhash_dedup": lambda spark, sf: neardup.linked(table(spark, sf, "documents"), width=2),
     "op10_quality": lambda spark, sf: quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
 }
