@@ -1,5 +1,7 @@
 """Benchmark decontamination by template canonicalisation."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,56 +10,65 @@ from shelfmark.plans.skew import dimension_join, measured_small
 WINDOW = 5
 CONTAINMENT = 0.8
 CONSISTENCY = 0.8
-NUMBER, NAME, UNIT = "#", "@", "~"
+# Every digit of a text becomes part of NUMBER, so these three characters mean nothing else in a template.
+NUMBER, NAME, UNIT = "0", "1", "2"
 UNITS = ("kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|ms|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|"
          "years?|miles?|meters?|metres?|feet|inch(?:es)?|dollars?|euros?|cents?|percent|usd|eur|gb|mb|kb")
-# Inner marks keep the number of blank-separated words, so a template word and the word it stands for share a position.
 NUMBERS = r"[0-9](?:[0-9.,:/]*[0-9])?"
-NAMES = r"(?<![\p{L}\p{N}])\p{Lu}(?<=[\p{Ll}\p{N},;#@~][ \t]\p{Lu})\p{L}*"
-AFTER_NUMBER = rf"(?<=#[ ]?)(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
-MARKS_AT_WORDS = r"(?<=[\p{L}\p{N}#@~])[^\p{L}\p{N}#@~\s]+|[^\p{L}\p{N}#@~\s]+(?=[\p{L}\p{N}#@~])"
-BLANKS = r"[\x20\x09-\x0D]+"
+NAMES = r"\p{Lu}(?<=[\p{Ll}0,;][ \t]\p{Lu})\p{L}*"
+AFTER_NUMBER = rf"0([ ]?)(?i:{UNITS})(?![\p{{L}}0])"
+BLANKS = "\t\n\x0b\x0c\r"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _words(text: Column) -> Column:
+    """Blank-separated words without ASCII punctuation; words of punctuation only are no words."""
+    return F.array_remove(F.split(F.translate(text, BLANKS + PUNCTUATION, " " * len(BLANKS)), " "), "")
 
 
-def template_text(text: Column) -> Column:
-    """Lower-cased text with numbers, names and units replaced by typed placeholders.
+def template_words(text: Column) -> Column:
+    """Lower-cased words with numbers, names and units replaced by typed placeholders.
 
-    Marks the placeholders use are removed from the text first. A name is a capitalised word that
-    follows a lower-case word, number or comma; a unit stands after a number. Punctuation at words goes.
+    A name is a capitalised word after a lower-case letter, number, comma or semicolon; a unit stands
+    after a number. No replacement touches a blank, so word and placeholder share a position.
     """
-    text = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "'''")
-    text = F.regexp_replace(text, NUMBERS, NUMBER)
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), NUMBERS, NUMBER)
     text = F.regexp_replace(text, NAMES, NAME)
-    text = F.regexp_replace(text, AFTER_NUMBER, UNIT)
-    return F.lower(F.regexp_replace(text, MARKS_AT_WORDS, ""))
+    text = F.regexp_replace(text, AFTER_NUMBER, f"{NUMBER}$1{UNIT}")
+    return _words(F.lower(text))
+
+
+def is_slot(word: Column) -> Column:
+    """Whether a template word begins with a placeholder: nothing else in a template sorts before "3"."""
+    return word < "3"
 
 
 def windows(df: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    """(key, pos, window, template, words): hashed template windows of ``width`` words of each text.
+    """(key, pos, window, words): hashed template windows of ``width`` words of each text.
 
-    ``template`` and ``words`` hold the template and the original words of windows with a
-    placeholder, so slots can be compared without reading the text again. Texts shorter than
+    ``words`` holds the original words of windows with a slot, so slots can be compared without
+    reading the text again. The sign of a word's hash tells whether it is a slot. Texts shorter than
     ``width`` words have no window.
     """
-    marks = F.col("__text").rlike(f"[{NUMBER}{NAME}{UNIT}]")
-    plain = F.translate(F.coalesce("text", F.lit("")), NUMBER + NAME + UNIT, "'''")
+    low, high = F.lit((1 << 63) - 1), F.lit(-(1 << 63))
     prepared = (
-        df.select(key, template_text(F.col("text")).alias("__text"), plain.alias("__plain"))
+        df.select(key, "text", template_words(F.col("text")).alias("__words"))
+        .where(F.size("__words") >= width)
         .select(
             key,
-            F.split(F.trim(F.regexp_replace("__text", BLANKS, " ")), " ").alias("__words"),
-            F.when(marks, F.split(F.trim(F.regexp_replace("__plain", BLANKS, " ")), " ")).alias("__raw"),
+            F.transform("__words", lambda w: F.when(is_slot(w), F.xxhash64(w).bitwiseOR(high))
+                        .otherwise(F.xxhash64(w).bitwiseAND(low))).alias("__hashes"),
+            F.when(F.exists("__words", is_slot), _words(F.col("text"))).alias("__raw"),
         )
-        .where(F.size("__words") >= width)
-        .withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     )
+    part = lambda i: [F.element_at("__hashes", i + k) for k in range(width)]
     hashed = F.transform(
         F.sequence(F.lit(1), F.size("__hashes") - (width - 1)),
         lambda i: F.struct(
             i.alias("pos"),
-            F.xxhash64(*[F.element_at("__hashes", i + k) for k in range(width)]).alias("window"),
-            F.when(F.col("__raw").isNotNull(), F.slice("__words", i, width)).alias("template"),
-            F.when(F.col("__raw").isNotNull(), F.slice("__raw", i, width)).alias("words"),
+            F.xxhash64(*part(i)).alias("window"),
+            F.when(F.col("__raw").isNotNull() & (reduce(Column.bitwiseOR, part(i)) < 0), F.slice("__raw", i, width))
+            .alias("words"),
         ),
     )
     return prepared.select(key, F.inline(hashed))
@@ -81,10 +92,7 @@ def contaminated(
         windows(benchmark.select("item_id", "text"), "item_id", width)
         .unionByName(windows(benchmark.select("item_id", F.concat(F.lit("a "), "text").alias("text")), "item_id", width)
                      .where("pos = 2").withColumn("pos", F.lit(1)))
-        .select(
-            F.struct("item_id").alias("item"), F.col("pos").alias("item_pos"), "window",
-            F.col("template").alias("item_template"), F.col("words").alias("item_words"),
-        )
+        .select(F.struct("item_id").alias("item"), F.col("pos").alias("item_pos"), "window", F.col("words").alias("item_words"))
         .dropDuplicates(["item", "item_pos", "window"])
     )
     sizes = item.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
@@ -119,21 +127,15 @@ def contaminated(
 
 
 def _slots() -> Column:
-    """Pairs of item and document values where both templates of a window hold a placeholder."""
+    """Pairs of item and document words of a window in which either holds a placeholder."""
     pairs = F.zip_with(
-        F.arrays_zip("item_template", "item_words"), F.arrays_zip("template", "words"),
-        lambda a, b: F.struct(a["item_template"].alias("kind"), _bare(a["item_words"]).alias("item_value"),
-                              _bare(b["words"]).alias("doc_value")),
+        "item_words", "words",
+        lambda a, b: F.struct(F.lower(a).alias("item_value"), F.lower(b).alias("doc_value")),
     )
-    held = F.filter(pairs, lambda p: p["kind"].rlike(f"[{NUMBER}{NAME}{UNIT}]"))
-    values = F.transform(held, lambda p: F.struct(p["item_value"].alias("item_value"), p["doc_value"].alias("doc_value")))
+    values = F.filter(pairs, lambda p: (p["item_value"] != p["doc_value"]) | p["item_value"].rlike("[0-9]"))
     return F.coalesce(values, F.array().cast("array<struct<item_value:string,doc_value:string>>"))
 
 
-def _bare(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""))
-
-
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     bad = contaminated(docs, benchmark).select("doc_id").distinct()
