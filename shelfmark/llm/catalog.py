@@ -4,11 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontamination, licenses, mixing, nearest, neardup, pii, quality, toxicity
+from shelfmark.llm import chat, decontamination, licenses, mixing, nearest, neardup, pii, quality, scoring, toxicity
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": lambda spark, sf: licenses.scan(table(spark, sf, "documents")),
+    "op2_lm_scoring": lambda spark, sf: scoring.katz_scores(table(spark, sf, "documents")),
     "op3_mixing": lambda spark, sf: mixing.mix_sources(table(spark, sf, "documents")),
     "op4_toxicity": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op5_chat_format": lambda spark, sf: chat.format_conversations(table(spark, sf, "conversations")),
