@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import SPACED_WORD, running_total, stored
@@ -14,10 +14,11 @@ SHARE = 1.5
 LIMIT = 2.0
 KEY_BITS = 48
 SYMBOLS = "#$%&*|"
+ORDER = ["sample_key", "doc_id", "size"]
 
 
-def sampling_columns(docs: DataFrame) -> DataFrame:
-    """Size, quality weight and exponential key of each document.
+def sampling_columns() -> list[Column]:
+    """source_key, size and sample_key of a document.
 
     The uniform number is taken from the md5 of the id, so reruns agree. The quality weight
     falls with the share of symbol characters. An exponential variable divided by the weight,
@@ -28,12 +29,11 @@ def sampling_columns(docs: DataFrame) -> DataFrame:
     quality = F.lit(1.0) / (F.lit(1.0) + F.lit(10.0) * symbols / F.greatest(F.length(text), F.lit(1)))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     uniform = (F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("double") + 1.0) / float(1 << KEY_BITS)
-    return docs.select(
-        "doc_id",
+    return [
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("a"), "source")).alias("source_key"),
         F.regexp_count(text, F.lit(SPACED_WORD)).cast("long").alias("size"),
         (-F.log(uniform) / quality).alias("sample_key"),
-    )
+    ]
 
 
 def source_targets(
@@ -64,36 +64,59 @@ def source_targets(
     return ranked.select("source_key", "source_size", target.alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT
+def decide(
+    base: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT
 ) -> DataFrame:
-    """doc_id, size, source_size, target, repeats and taken, one row per row of ``docs``.
+    """``base`` with source_size, target, epochs and fits (whether the row is in the last, partial epoch).
 
-    A source first gives all its documents ``floor(target / source_size)`` times; the rest of the
-    target goes to its documents in the order of their keys as long as at least half of the next
-    one fits, so a source misses its target by at most half a document.
-
-    Null text is empty (size 0, taken 0). Null sources form one source, ordered last. Rows with
-    the same doc_id draw the same key and are ordered by size; rows that are equal in all of it
-    are interchangeable. No rows give no rows. Other columns are not read.
+    A source first gives all its documents ``epochs = floor(target / source_size)`` times; the rest of the
+    target goes to its documents in the order of their keys as long as at least half of the next one
+    fits, so a source misses its target by at most half a document.
     """
-    base = stored(sampling_columns(docs), "sizes")
     sources = base.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    placed = running_total(
-        base, ["source_key", "sample_key", "doc_id", "size"], "size", "words_before", "mixing"
-    )
+    placed = running_total(base, ["source_key", *ORDER], "size", "words_before", "mixing")
     starts = placed.groupBy("source_key").agg(F.min("words_before").alias("source_start"))
     facts = source_targets(sources, weights, share, limit).join(starts, "source_key")
-    rows = dimension_join(placed, facts, ["source_key"], ["doc_id", "sample_key", "size"], "inner")
+    rows = dimension_join(placed, facts, ["source_key"], ORDER, "inner")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     fits = (F.col("words_before") - F.col("source_start") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
-    return (
-        rows.withColumn("epochs", whole.cast("long")).withColumn("rest", rest)
-        .withColumn("repeats", F.col("epochs") + fits.cast("long"))
-        .select("doc_id", "size", "source_size", "target", "repeats",
-                (F.col("repeats") * F.col("size")).alias("taken"))
-    )
+    return rows.withColumn("epochs", whole.cast("long")).withColumn("rest", rest).withColumn("fits", fits)
+
+
+def mix_sources(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT
+) -> DataFrame:
+    """doc_id, size, source_size, target, repeats and taken, one row per row of ``docs``.
+
+    Null text is empty (size 0, taken 0). Null sources form one source, ordered last. Rows with
+    the same doc_id draw the same key and are ordered by size; rows that are equal in all of it
+    are interchangeable. No rows give no rows. Other columns are not read.
+    """
+    base = stored(docs.select("doc_id", *sampling_columns()), "sizes")
+    repeats = F.col("epochs") + F.col("fits").cast("long")
+    return decide(base, weights, share, limit).select(
+        "doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+
+
+def mix_documents(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT
+) -> DataFrame:
+    """The documents the mix takes, with the column ``repeats`` (an earlier one of that name goes).
+
+    What a source takes of its last epoch is the beginning of its key order, so its last row decides
+    for every document where it is read, and texts are not shuffled.
+    """
+    rows = decide(stored(docs.select("doc_id", *sampling_columns()), "sizes"), weights, share, limit)
+    last = rows.groupBy("source_key").agg(
+        F.first("epochs").alias("__epochs"), F.max(F.when(F.col("fits"), F.struct(*ORDER))).alias("__last"))
+    columns = [c for c in docs.columns if c != "repeats"]
+    keyed = docs.select(*columns, F.struct("doc_id", *sampling_columns()).alias("__mix")).withColumn(
+        "source_key", F.col("__mix.source_key"))
+    joined = dimension_join(keyed, last, ["source_key"], ["doc_id"], "inner")
+    own = F.struct(*[F.col("__mix")[c].alias(c) for c in ORDER])
+    repeats = F.col("__epochs") + F.coalesce(own <= F.col("__last"), F.lit(False)).cast("long")
+    return joined.select(*columns, repeats.alias("repeats")).where("repeats > 0")
 
 
 SQL = f"""

@@ -273,6 +273,23 @@ def linked(docs: DataFrame, width: int, percent: int = PERCENT, rows: int = BAND
     return placed.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One document of each component, the one with the smallest id; columns pass unchanged.
+
+    Rows that share a doc_id are one document, of which one row stays.
+    """
+    found = linked(docs, width)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    often = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    gone, often = stored(gone, "copies"), stored(often, "repeated")
+    bounded = lambda ids: F.broadcast(ids) if measured_small(ids) else ids
+    left = docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    if often.isEmpty():
+        return left
+    once = left.join(bounded(often), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return left.join(bounded(often), "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
 SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -78,6 +78,10 @@ class Field:
         get, other = self.words.get, self.other
         return np.array([get(w, other) for w in words])
 
+    def probabilities(self, marginals: list[np.ndarray]) -> np.ndarray:
+        x = np.array([document_features(p) for p in marginals]).reshape(-1, 4)
+        return 1 / (1 + np.exp(-np.clip(x @ self.calibration, -30, 30)))
+
 
 def messages(emission: np.ndarray, first: np.ndarray, step: np.ndarray, start: float, lanes: int = LANES):
     """Forward and backward ratios (tag 1 to tag 0) of many texts laid end to end; ``first`` marks their starts.
@@ -278,8 +282,7 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
             data, ids = part.column("data").to_pylist(), part.column("doc_id").to_pylist()
             texts = [tokens(d) for d in data]
             ps = score_texts(field, texts)
-            x = np.array([document_features(p) for p in ps]).reshape(-1, 4)
-            score = 1 / (1 + np.exp(-np.clip(x @ field.calibration, -30, 30)))
+            score = field.probabilities(ps)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([split_remainder(i, FOLDS) == HELD_OUT for i in ids]),
                  pa.array(score), pa.array((score >= 0.5).astype(np.int32)),
@@ -315,3 +318,15 @@ def spans(data: bytes, p: np.ndarray) -> list[dict]:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled training rows and score every document."""
     return score_documents(docs, train(docs, labels))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the field does not predict toxic; columns pass unchanged."""
+    field = train(docs, labels)
+
+    def run(batches):
+        for part in slices(batches, "text", SLICE_BYTES):
+            texts = [tokens((t or "").encode()) for t in part.column("text").to_pylist()]
+            yield part.filter(pa.array(field.probabilities(score_texts(field, texts)) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
