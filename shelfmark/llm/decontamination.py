@@ -15,7 +15,7 @@ NUMBER, NAME, UNIT = "0", "1", "2"
 UNITS = ("kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|ms|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|"
          "years?|miles?|meters?|metres?|feet|inch(?:es)?|dollars?|euros?|cents?|percent|usd|eur|gb|mb|kb")
 NUMBERS = r"[0-9](?:[0-9.,:/]*[0-9])?"
-NAMES = r"\p{Lu}(?<=[\p{Ll}0,;][ \t]\p{Lu})\p{L}*"
+NAMES = r"\p{Lu}(?<=[\p{Ll}02,;][ \t]\p{Lu})\p{L}*"
 AFTER_NUMBER = rf"0([ ]?)(?i:{UNITS})(?![\p{{L}}0])"
 BLANKS = "\t\n\x0b\x0c\r"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -29,12 +29,12 @@ def _words(text: Column) -> Column:
 def template_words(text: Column) -> Column:
     """Lower-cased words with numbers, names and units replaced by typed placeholders.
 
-    A name is a capitalised word after a lower-case letter, number, comma or semicolon; a unit stands
+    A name is a capitalised word after a lower-case letter, number, unit, comma or semicolon; a unit stands
     after a number. No replacement touches a blank, so word and placeholder share a position.
     """
     text = F.regexp_replace(F.coalesce(text, F.lit("")), NUMBERS, NUMBER)
-    text = F.regexp_replace(text, NAMES, NAME)
     text = F.regexp_replace(text, AFTER_NUMBER, f"{NUMBER}$1{UNIT}")
+    text = F.regexp_replace(text, NAMES, NAME)
     return _words(F.lower(text))
 
 

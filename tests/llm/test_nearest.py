@@ -1,0 +1,65 @@
+"""Recall against brute force, exact scores and ties, and vectors that take no part."""
+
+import math
+
+import numpy as np
+
+from shelfmark.llm import nearest
+
+VECTORS = "vec_id bigint, embedding array<float>, label int, cell int, vector string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], VECTORS).repartition(4)
+
+
+def brute(ids, x, query, k=20):
+    score = (x * x[ids.index(query)]).sum(1)
+    rows = sorted((-s, i) for s, i in zip(score, ids, strict=True) if i != query)
+    return [(i, -s) for s, i in rows[:k]]
+
+
+def vectors(n, dim, seed=1, clusters=12):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    x = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dim)) * 0.7
+    return (x * rng.uniform(0.5, 2, (n, 1))).astype(np.float32)
+
+
+def test_recall_and_scores(spark):
+    x = vectors(6000, 16)
+    ids = list(range(6000))
+    found = nearest.search(table(spark, zip(ids, x.tolist(), strict=True)), block_rows=500, query_block=100, centroids=16).collect()
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r.query_id, []).append(r)
+    assert set(by_query) == set(range(0, 6000, 20))
+    wide = x.astype(float)
+    hit = 0
+    for q, rows in by_query.items():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 21))
+        assert all(math.isclose(r.score, float((wide[q] * wide[r.vec_id]).sum()), rel_tol=1e-12) for r in rows)
+        assert [(-r.score, r.vec_id) for r in rows] == sorted((-r.score, r.vec_id) for r in rows)
+        hit += len({r.vec_id for r in rows} & {i for i, _ in brute(ids, wide, q)})
+    assert hit >= 0.9 * 20 * len(by_query)
+
+
+def test_all_cells_visited_is_exact_with_ties_and_a_crowded_vector(spark):
+    x = np.vstack([vectors(400, 8), np.repeat(vectors(1, 8, 3), 300, axis=0)])
+    ids = list(np.random.default_rng(5).permutation(len(x)).tolist())
+    found = nearest.search(table(spark, zip(ids, x.tolist(), strict=True)), share=1.0, block_rows=50, query_block=7).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in brute(ids, x.astype(float), q)] for q in ids if q % 20 == 0}
+
+
+def test_vectors_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]),
+            (7, [1.0]), (40, [0.0, 0.0]), (None, [1.0, 2.0]), (1, [1.0, 1.0])]
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.search(table(spark, rows)).collect()))
+    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 0.5), (20, 1, 1, 1.0), (20, 2, 0, 0.5)]
+    assert nearest.search(table(spark, [])).count() == 0
+    assert nearest.search(table(spark, [(3, [0.0])])).count() == 0

@@ -1,0 +1,70 @@
+"""Base spans against plain regular expressions; votes and EM on known cases."""
+
+import hashlib
+import random
+import re
+
+from samples import docs
+
+from shelfmark.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def fine(kind, span):
+    digits = "".join(c for c in span if c in "0123456789")
+    if kind == "ip":
+        return all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in span.split("."))
+    if kind == "card":
+        if not 12 <= len(digits) <= 19:
+            return False
+        doubled = [int(c) * 2 if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+        return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+    return 9 <= len(digits) <= 15 if kind == "phone" else True
+
+
+def brute(text):
+    out = [(m.start(), list(PLAIN).index(k), f"{k}:{m.start()}:{m.end()}")
+           for k, p in PLAIN.items() for m in re.finditer(p, text or "") if fine(k, m[0])]
+    return [s for *_, s in sorted(out)]
+
+
+def texts():
+    rng = random.Random(6)
+    alphabet = ["a", "B", "é", "\U0001f600", "@", ".", "..", "-", " ", "+", "1", "23", "255", "4111 1111 1111 1111", "(0)", "%", "_", "256",
+                "x@y.z", "1.2.3.4", "+49 30 1234567", "\n"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+
+
+def test_base_spans(spark):
+    rows = [*texts(), "a@b.c@d.e x@y", "1.2.3.4.5.6.7.8", "00001.2.3.4", None, "", "+1 (555) 123-4567", "4111-1111-1111-1111", "9" * 6000]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, rows)).collect()}
+    for i, text in enumerate(rows, start=1):
+        want = brute(text)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), text
+        assert got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone == len(want)
+        assert set(want) <= set(filter(None, got[i].spans.split(",")))
+
+
+def test_votes_find_more_and_leave_other_numbers(spark):
+    good = [f'we keep token = "{hashlib.md5(str(i).encode()).hexdigest()}" here' for i in range(30)]
+    mails = [f"write to user{i}@mail.example.com now" for i in range(30)]
+    other = [f"order {10**11 + i * 7} shipped" for i in range(30)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, [*good, *mails, *other])).collect()}
+    assert all(got[i].startswith("secret:") for i in range(1, 31))
+    assert all(got[i].startswith("email:") for i in range(31, 61))
+    assert sum(bool(got[i]) for i in range(61, 91)) == sum(bool(brute(t)) for t in other)
+
+
+def test_em_trusts_agreeing_labelers():
+    yes, no, off = pii.YES, pii.NO, pii.ABSTAIN
+    code = lambda *v: pii._code(0, v)
+    counts = {code(yes, yes, yes, yes, off): 90, code(no, no, no, no, off): 60, code(yes, yes, off, no, off): 3}
+    p = pii.estimate(counts)
+    assert p[code(yes, yes, yes, yes, off)] > 0.95 and p[code(no, no, no, no, off)] < 0.05
+    assert pii._cast(code(yes, off, no, yes, off)) == (0, (yes, off, no, yes, off))
