@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -17,7 +18,10 @@ BAND_ROWS = 5
 BANDS = 32
 PLACES = BAND_ROWS * BANDS
 PERCENT = 80
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+DENSE_BUCKET = 48
+BLOCK_SETS = 256
+MATRIX_COLUMNS = 2048
 SLICE_BYTES = 4 << 20
 BATCH_ELEMENTS = 200_000
 _FRACTION_BITS = 40
@@ -214,13 +218,72 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def dense_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components of (bucket, node, label) rows from crowded buckets.
+
+    Crowded buckets that share nodes are one crowd. Every node outside a crowd's largest component is
+    compared with every node of the crowd, in blocks of about ``BLOCK_SETS`` full sets each; of each pair of
+    components a block returns one link, so pairs are counted and never listed.
+    """
+    low = crowds.groupBy("bucket").agg(F.min("node").alias("b"))
+    edges = crowds.join(low, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    crowd_of = components(edges).select(F.col("a").alias("node"), F.col("b").alias("crowd"))
+    nodes = crowds.select("node", "label").distinct().join(crowd_of, "node", "left").select(
+        "node", "label", F.coalesce("crowd", "node").alias("crowd"))
+    nodes = stored(nodes, "crowds")
+    shares = nodes.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n"))
+    facts = shares.groupBy("crowd").agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).select(
+        "crowd", F.col("most.label").alias("main"),
+        F.ceil(F.col("all") / BLOCK_SETS).cast("int").alias("wide"),
+        F.ceil((F.col("all") - F.col("most.n")) / BLOCK_SETS).cast("int").alias("high")).where("high > 0")
+    rows = nodes.join(facts, "crowd").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = rows.where("label <> main").select(
+        spot(F.col("high")).alias("i"), every(F.col("wide")).alias("j"),
+        *[F.col(c).alias(c) for c in ("crowd", "node", "label", "shingles")])
+    many = rows.select(
+        "crowd", every(F.col("high")).alias("i"), spot(F.col("wide")).alias("j"), "node", "label", "shingles")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = {}
+        if left.num_rows and right.num_rows:
+            x, y = ([np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()] for t in (left, right))
+            n = len(x)
+            sizes = np.array([len(v) for v in (*x, *y)])
+            _, place, often = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            column = np.cumsum(often > 1) - 1  # a shingle of one set alone is in no intersection
+            shared = often[place] > 1
+            place, owner = column[place[shared]], owner[shared]
+            order = np.argsort(place, kind="stable")
+            place, owner = place[order], owner[order]
+            both = np.zeros((n, len(y)))
+            for start in range(0, int(place[-1]) + 1 if len(place) else 0, MATRIX_COLUMNS):
+                s, e = np.searchsorted(place, [start, start + MATRIX_COLUMNS])
+                grid = np.zeros((len(sizes), MATRIX_COLUMNS), np.float32)
+                grid[owner[s:e], place[s:e] - start] = 1
+                both += grid[:n] @ grid[n:].T
+            good = 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
+            a, la = (left.column(c).to_numpy() for c in ("node", "label"))
+            b, lb = (right.column(c).to_numpy() for c in ("node", "label"))
+            for i, j in np.argwhere(good & (la[:, None] != lb[None, :])):
+                links.setdefault((la[i], lb[j]), (int(a[i]), int(b[j])))
+        pairs = sorted(links.values())
+        return pa.table([pa.array([p for p, _ in pairs], pa.int64()), pa.array([q for _, q in pairs], pa.int64())], ["a", "b"])
+
+    keys = ["crowd", "i", "j"]
+    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(compare, "a bigint, b bigint")
+
+
 def linked(docs: DataFrame, width: int, percent: int = PERCENT, rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
 
     Documents are linked when their distinct shingle sets meet the threshold. Equal sets are one node, named by
     their smallest id. Nodes that share a band bucket are candidates: for some rounds each is
     compared with one drawn member of its bucket, and at the end all pairs of a bucket that are still in
-    different components are compared, so every link between candidates counts.
+    different components are compared (crowded buckets in blocks), so every link between candidates counts.
 
     Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one
     document and always one component. Rows without an id cannot be named: they keep a null
@@ -246,22 +309,26 @@ def linked(docs: DataFrame, width: int, percent: int = PERCENT, rows: int = BAND
         at = members.join(label.select(F.col("a").alias("node"), F.col("b").alias("l")), "node", "left").select(
             "bucket", "node", F.coalesce("l", "node").alias("label"))
         draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label")
-        pivots = at.groupBy("bucket").agg(F.min(draw).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        pivots = at.groupBy("bucket").agg(
+            F.min(draw).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
         pivots = pivots.where("lo < hi")
+        found = []
         if turn < STAR_ROUNDS:
-            met = at.join(pivots, "bucket").where("label <> pivot.label").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+            met = at.join(pivots, "bucket").where("label <> pivot.label").select(
+                F.col("node").alias("a"), F.col("pivot.node").alias("b"))
         else:
-            open_ = at.join(pivots.select("bucket"), "bucket", "left_semi")
+            found.append(dense_links(at.join(pivots.where(F.col("n") > DENSE_BUCKET).select("bucket"), "bucket", "left_semi"), sets, percent))
+            open_ = at.join(pivots.where(F.col("n") <= DENSE_BUCKET).select("bucket"), "bucket", "left_semi")
             other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
             met = open_.join(other, "bucket").where("label < other").select(F.col("node").alias("a"), "b")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            turn = STAR_ROUNDS if turn < STAR_ROUNDS else turn + 1
+        if pairs.isEmpty() and turn < STAR_ROUNDS:
+            turn = STAR_ROUNDS
             continue
-        found = stored(confirmed(pairs, sets, percent), "links")
+        found = stored(reduce(DataFrame.union, [confirmed(pairs, sets, percent), *found]), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
             label = components(label.union(found))
