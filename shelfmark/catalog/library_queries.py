@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.catalog.sql import COLLECTIONS, COMMANDS, FILES, LIBRARY, NAME, with_
+from shelfmark.catalog.sql import COLLECTIONS, COMMANDS, FILES, FOLD, LIBRARY, NAME, with_
 from shelfmark.functions.documents import tile_line
 from shelfmark.functions.refs import decode_ref, encode_ref, is_managed, ref_kind
 from shelfmark.operators import audit, commands, intake, library, references
+from shelfmark.plans.ranking import with_row_positions
 from shelfmark.schemas import DENY_TERMS, FAILURE_MESSAGES
 from shelfmark.session import shared_path
 from shelfmark.sources import files as file_io
@@ -55,19 +56,25 @@ def _(spark, d):
     return flat(library.opened_only(s.library(spark, d)))
 
 
-@query("documents_in_root", with_(LIBRARY) + f"SELECT {COLS} FROM library WHERE collection_id IS NULL")
+@query("documents_in_root", with_(LIBRARY) + f"SELECT {COLS} FROM library WHERE collection_id IS NULL AND owner_id = 'src1'")
 def _(spark, d):
-    return flat(library.documents_in(s.library(spark, d), None))
+    return flat(library.documents_in(s.library(spark, d), None, "src1"))
 
 
-@query("documents_in_collection", with_(LIBRARY) + f"SELECT {COLS} FROM library WHERE collection_id = 3")
+@query("documents_in_collection", with_(LIBRARY) + f"SELECT {COLS} FROM library WHERE collection_id = 3 AND owner_id = 'src0'")
 def _(spark, d):
-    return flat(library.documents_in(s.library(spark, d), 3))
+    return flat(library.documents_in(s.library(spark, d), 3, "src0"))
 
 
-@query("in_selected_collection", with_(LIBRARY) + f"SELECT {COLS} FROM library")
+@query("in_selected_collection", with_(LIBRARY) + f"""
+SELECT {COLS} FROM library WHERE owner_id = 'src0' AND collection_id = 1""")
 def _(spark, d):
-    return flat(library.in_selected_collection(s.library(spark, d)))
+    return flat(library.in_selected_collection(s.library(spark, d), 1, "src0"))
+
+
+@query("in_all_collections", with_(LIBRARY) + f"SELECT {COLS} FROM library WHERE owner_id = 'src2'")
+def _(spark, d):
+    return flat(library.in_selected_collection(s.library(spark, d), owner_id="src2"))
 
 
 @query("get_document", with_(LIBRARY) + f"SELECT {COLS} FROM library WHERE doc_id = 7")
@@ -80,8 +87,9 @@ def _sort(name, field, ascending, key):
     @query(name, with_(LIBRARY) + f"""
 SELECT {COLS}, row_number() OVER (ORDER BY {key}, doc_id) - 1 AS position FROM library""")
     def _(spark, d):
-        from shelfmark.plans.ranking import with_global_index
-        return with_global_index(flat(s.library(spark, d)), library.sort_order(field, ascending), "position")
+        # Positions come from the order the operator leaves its rows in.
+        ordered = library.sort_documents(flat(s.library(spark, d)), field, ascending)
+        return with_row_positions(ordered, "position")
 
 
 _sort("sort_by_name", "name", True, "lower(display_name) ASC")
@@ -91,9 +99,10 @@ _sort("sort_by_size", "size", True, "size_bytes ASC")
 
 
 @query("recents", with_(LIBRARY) + f"""
-SELECT {COLS} FROM library WHERE last_opened_at IS NOT NULL ORDER BY last_opened_at DESC, doc_id LIMIT 20""")
+SELECT {COLS} FROM library WHERE last_opened_at IS NOT NULL AND owner_id = 'src0'
+ORDER BY last_opened_at DESC, doc_id LIMIT 20""")
 def _(spark, d):
-    return flat(library.recents(s.library(spark, d)))
+    return flat(library.recents(s.library(spark, d), owner_id="src0"))
 
 
 @query("recents_per_owner", with_(LIBRARY) + f"""
@@ -105,10 +114,10 @@ def _(spark, d):
 
 
 @query("visible_documents", with_(LIBRARY) + f"""
-SELECT {COLS} FROM library WHERE collection_id IS NULL AND contains(lower(display_name), 'src1')
+SELECT {COLS} FROM library WHERE owner_id = 'src1' AND collection_id IS NULL AND contains(lower(display_name), 'en-1')
 ORDER BY lower(display_name), doc_id""")
 def _(spark, d):
-    return flat(library.visible_documents(s.library(spark, d), "SRC1", "name", True, None))
+    return flat(library.visible_documents(s.library(spark, d), "EN-1", "name", True, None, "src1"))
 
 
 @query("attach_collection", with_(LIBRARY, COLLECTIONS) + """
@@ -224,12 +233,19 @@ def _(spark, d):
 
 # Intake and duplicates
 
-@query("scan_files")
+@query("scan_files", """
+WITH lines AS (SELECT doc_id // 50 AS shelf, coalesce(text, '') || chr(10) AS line, doc_id FROM documents)
+SELECT shelf, sha256(string_agg(line, '' ORDER BY doc_id)) AS content_hash, sum(strlen(line))::BIGINT AS size_bytes,
+       NULL::VARCHAR AS failure_code FROM lines GROUP BY 1""")
 def _(spark, d):
-    # The table files themselves, read as bytes; SQL over the tables has no view of them.
-    found = file_io.scan_files(spark, d, names="*.parquet")
-    return intake.content_address(found).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "content_hash", "size_bytes")
+    # Fifty documents make a text file; the files are then scanned as bytes.
+    folder = shared_path(spark, "files")
+    shelf = F.floor(F.col("doc_id") / 50).cast("bigint")
+    s.documents(spark, d).select(shelf.alias("shelf"), "doc_id", F.coalesce("text", F.lit("")).alias("value")).repartition(
+        "shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "value").write.partitionBy("shelf").text(folder)
+    found = intake.content_address(file_io.scan_files(spark, folder, names="*.txt"))
+    return found.select(
+        F.regexp_extract("path", r"shelf=(\d+)", 1).cast("bigint").alias("shelf"), "content_hash", "size_bytes", "failure_code")
 
 
 @query("classify_intake", with_(FILES) + """
@@ -259,20 +275,27 @@ def _(spark, d):
 
 
 @query("duplicate_groups", with_(LIBRARY) + """
-SELECT content_hash, count(*) AS copies, min(doc_id) AS keeper FROM library GROUP BY 1 HAVING count(*) > 1""")
+SELECT owner_id, content_hash, count(*) AS copies, min(doc_id) AS keeper FROM library
+GROUP BY 1, 2 HAVING count(*) > 1""")
 def _(spark, d):
     return intake.duplicate_groups(s.library(spark, d))
 
 
+@query("duplicate_groups_global", with_(LIBRARY) + """
+SELECT content_hash, count(*) AS copies, min(doc_id) AS keeper FROM library GROUP BY 1 HAVING count(*) > 1""")
+def _(spark, d):
+    return intake.duplicate_groups(s.library(spark, d), intake.GLOBAL)
+
+
 @query("duplicate_members", with_(LIBRARY) + """
-SELECT * FROM (SELECT content_hash, doc_id, count(*) OVER w AS copies, min(doc_id) OVER w AS keeper,
-  doc_id = min(doc_id) OVER w AS is_keeper FROM library WINDOW w AS (PARTITION BY content_hash)) WHERE copies > 1""")
+SELECT * FROM (SELECT owner_id, content_hash, doc_id, count(*) OVER w AS copies, min(doc_id) OVER w AS keeper,
+  doc_id = min(doc_id) OVER w AS is_keeper FROM library WINDOW w AS (PARTITION BY owner_id, content_hash)) WHERE copies > 1""")
 def _(spark, d):
     return intake.duplicate_members(s.library(spark, d))
 
 
 @query("distinct_content", with_(LIBRARY) + f"""
-SELECT {COLS} FROM library WHERE doc_id IN (SELECT min(doc_id) FROM library GROUP BY content_hash)""")
+SELECT {COLS} FROM library WHERE doc_id IN (SELECT min(doc_id) FROM library GROUP BY owner_id, content_hash)""")
 def _(spark, d):
     return flat(intake.distinct_content(s.library(spark, d)))
 
@@ -423,28 +446,25 @@ def _log(spark, d):
     return s.library(spark, d), s.collections(spark, d), s.commands(spark, d)
 
 
-_FOLD = """
-moves AS (SELECT c.doc_id, arg_max({'v': c.collection_id}, c.seq) AS moved FROM commands c
-  WHERE c.op = 'move' AND (c.collection_id IS NULL OR EXISTS (SELECT 1 FROM collections k
-    WHERE k.owner_id = c.owner_id AND k.collection_id = c.collection_id)) GROUP BY 1),
-sets AS (SELECT doc_id, max(seq) AS set_seq, arg_max(bool_value, seq) AS val FROM commands WHERE op = 'set_favorite' GROUP BY 1),
-toggles AS (SELECT c.doc_id, count(*) AS n FROM commands c LEFT JOIN sets s USING (doc_id)
-  WHERE c.op = 'toggle_favorite' AND (s.set_seq IS NULL OR c.seq > s.set_seq) GROUP BY 1),
-opened AS (SELECT doc_id, arg_max(ts, seq) AS at FROM commands WHERE op = 'mark_opened' GROUP BY 1),
-renamed AS (SELECT doc_id, arg_max(str_value, seq) AS name FROM commands WHERE op = 'rename' GROUP BY 1)"""
-
-
-@query("apply_commands", with_(LIBRARY, COLLECTIONS, COMMANDS, _FOLD) + """
+@query("apply_commands", with_(LIBRARY, COLLECTIONS, COMMANDS, FOLD) + """
 SELECT l.owner_id, l.doc_id, coalesce(r.name, l.display_name) AS display_name, l.size_bytes, l.added_at,
        coalesce(o.at, l.last_opened_at) AS last_opened_at,
        coalesce(s.val, l.is_favorite) <> (coalesce(t.n, 0) % 2 = 1) AS is_favorite, l.page_count,
-       CASE WHEN m.doc_id IS NOT NULL THEN m.moved.v ELSE l.collection_id END AS collection_id
+       CASE WHEN m.doc_id IS NOT NULL THEN m.moved.v WHEN x.owner_id IS NULL THEN l.collection_id END AS collection_id
 FROM library l LEFT JOIN renamed r USING (doc_id) LEFT JOIN opened o USING (doc_id) LEFT JOIN sets s USING (doc_id)
-LEFT JOIN toggles t USING (doc_id) LEFT JOIN moves m USING (doc_id)""")
+LEFT JOIN toggles t USING (doc_id) LEFT JOIN moves m USING (doc_id)
+LEFT JOIN cleared x ON x.owner_id = l.owner_id AND x.collection_id = l.collection_id
+WHERE l.doc_id NOT IN (SELECT doc_id FROM commands WHERE op = 'delete')""")
 def _(spark, d):
     return flat(commands.apply_commands(*_log(spark, d)))
 
 
+@query("apply_to_collections", with_(COLLECTIONS, COMMANDS, FOLD) + """
+SELECT owner_id, collection_id, name, created_at FROM after_log""")
+def _(spark, d):
+    return commands.apply_to_collections(s.collections(spark, d), s.commands(spark, d))
+
+
 @query("mark_opened", with_(LIBRARY, COMMANDS) + """
 SELECT l.doc_id, coalesce(o.at, l.last_opened_at) AS last_opened_at FROM library l LEFT JOIN
 (SELECT doc_id, arg_max(ts, seq) AS at FROM commands WHERE op = 'mark_opened' GROUP BY 1) o USING (doc_id)""")
@@ -473,11 +493,11 @@ def _(spark, d):
     return commands.rename(s.library(spark, d), s.commands(spark, d)).select("doc_id", "display_name", "size_bytes")
 
 
-@query("move", with_(LIBRARY, COMMANDS) + """
-SELECT l.doc_id, CASE WHEN o.doc_id IS NULL THEN l.collection_id ELSE o.v.c END AS collection_id FROM library l LEFT JOIN
-(SELECT doc_id, arg_max({'c': collection_id}, seq) AS v FROM commands WHERE op = 'move' GROUP BY 1) o USING (doc_id)""")
+@query("move", with_(LIBRARY, COLLECTIONS, COMMANDS, FOLD) + """
+SELECT l.doc_id, CASE WHEN m.doc_id IS NULL THEN l.collection_id ELSE m.moved.v END AS collection_id
+FROM library l LEFT JOIN moves m USING (doc_id)""")
 def _(spark, d):
-    return commands.move(s.library(spark, d), s.commands(spark, d)).select("doc_id", "collection_id")
+    return commands.move(*_log(spark, d)).select("doc_id", "collection_id")
 
 
 @query("delete_documents", with_(LIBRARY) + f"""
@@ -520,6 +540,6 @@ def _(spark, d):
 @query("latest_value", with_(COMMANDS) + """
 SELECT doc_id, op, max(seq) AS seq, arg_max({'v': collection_id}, seq).v AS collection_id,
        arg_max({'v': str_value}, seq).v AS str_value, arg_max({'v': bool_value}, seq).v AS bool_value,
-       arg_max({'v': ts}, seq).v AS ts FROM commands GROUP BY 1, 2""")
+       arg_max({'v': ts}, seq).v AS ts FROM commands WHERE doc_id IS NOT NULL GROUP BY 1, 2""")
 def _(spark, d):
     return commands.latest_value(s.commands(spark, d))

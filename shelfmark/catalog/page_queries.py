@@ -240,7 +240,7 @@ tree AS (
 SELECT doc_id, node_id, title, page_index, depth, array_to_string(path, '.') AS path FROM tree""")
 def _(spark, d):
     flat = outline.flatten_outline(s.outline_nodes(spark, d))
-    return flat.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "."))
+    return flat.withColumn("path", F.array_join(F.transform("path", lambda x: x["ord"].cast("string")), "."))
 
 
 @query("preorder_rank", with_(OUTLINE, _TREE, recursive=True) + """

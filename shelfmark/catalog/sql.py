@@ -34,19 +34,57 @@ page_text AS (
 )"""
 
 COMMANDS = """
+named AS (
+  SELECT e.*, CASE e.event_id % 97 WHEN 3 THEN 'delete' WHEN 10 THEN 'create_collection'
+    WHEN 40 THEN 'rename_collection' WHEN 70 THEN 'delete_collection' ELSE
+    CASE e.event_type WHEN 'view' THEN 'mark_opened' WHEN 'click' THEN 'toggle_favorite'
+      WHEN 'signup' THEN 'set_favorite' WHEN 'purchase' THEN 'move' WHEN 'error' THEN 'rename' END END AS op
+  FROM events e),
 commands AS (
-  SELECT d.source AS owner_id, e.event_id AS seq,
-         CASE e.event_type WHEN 'view' THEN 'mark_opened' WHEN 'click' THEN 'toggle_favorite'
-              WHEN 'signup' THEN 'set_favorite' WHEN 'purchase' THEN 'move' WHEN 'error' THEN 'rename' END AS op,
-         e.user_id AS doc_id,
-         CASE WHEN e.event_type = 'purchase' AND floor(e.value)::BIGINT % 5 <> 0
-              THEN floor(e.value)::BIGINT % 5 END AS collection_id,
-         CASE WHEN e.event_type = 'error' THEN 'n' || e.event_id END AS str_value,
-         CASE WHEN e.event_type = 'signup' THEN e.value > 50 END AS bool_value,
+  SELECT d.source AS owner_id, e.event_id AS seq, e.op,
+         CASE WHEN e.op NOT LIKE '%collection' THEN e.user_id END AS doc_id,
+         CASE WHEN e.op LIKE '%collection' THEN e.event_id % 7 + 1
+              WHEN e.op = 'move' AND floor(e.value)::BIGINT % 8 <> 0 THEN floor(e.value)::BIGINT % 8 END AS collection_id,
+         CASE WHEN e.op IN ('rename', 'create_collection', 'rename_collection') THEN 'n' || e.event_id END AS str_value,
+         CASE WHEN e.op = 'set_favorite' THEN e.value > 50 END AS bool_value,
          e.ts
-  FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id
+  FROM named e LEFT JOIN documents d ON d.doc_id = e.user_id
 )"""
 
+# A collection exists at a point of the log if its last creation or deletion before was a creation.
+FOLD = """
+edges AS (
+  SELECT owner_id, collection_id, seq, op = 'create_collection' AS made, str_value AS name, ts FROM commands
+  WHERE op IN ('create_collection', 'delete_collection')
+  UNION ALL SELECT owner_id, collection_id, -1, true, name, created_at FROM collections),
+placed AS (
+  SELECT c.doc_id, c.seq, c.collection_id,
+    (SELECT arg_max(e.made, e.seq) FROM edges e
+     WHERE e.owner_id = c.owner_id AND e.collection_id = c.collection_id AND e.seq < c.seq) AS there,
+    EXISTS (SELECT 1 FROM edges e WHERE e.owner_id = c.owner_id AND e.collection_id = c.collection_id
+            AND e.seq > c.seq AND NOT e.made) AS emptied
+  FROM commands c WHERE c.op = 'move'),
+moves AS (
+  SELECT doc_id, arg_max({'v': CASE WHEN NOT emptied THEN collection_id END}, seq) AS moved FROM placed
+  WHERE collection_id IS NULL OR there GROUP BY 1),
+cleared AS (
+  SELECT DISTINCT owner_id, collection_id FROM commands JOIN collections USING (owner_id, collection_id)
+  WHERE op = 'delete_collection'),
+lasts AS (
+  SELECT owner_id, collection_id, max(seq) FILTER (NOT made) AS last_death FROM edges GROUP BY 1, 2),
+kept AS (
+  SELECT owner_id, collection_id, min(seq) AS born, arg_min({'n': name, 't': ts}, seq) AS made
+  FROM edges JOIN lasts USING (owner_id, collection_id) WHERE made AND seq > coalesce(last_death, -2) GROUP BY 1, 2),
+after_log AS (
+  SELECT k.owner_id, k.collection_id, coalesce((SELECT arg_max(c.str_value, c.seq) FROM commands c
+    WHERE c.op = 'rename_collection' AND c.owner_id = k.owner_id AND c.collection_id = k.collection_id AND c.seq > k.born),
+    k.made.n) AS name, k.made.t AS created_at FROM kept k),
+sets AS (SELECT doc_id, max(seq) AS set_seq, arg_max(bool_value, seq) AS val FROM commands WHERE op = 'set_favorite' GROUP BY 1),
+toggles AS (SELECT c.doc_id, count(*) AS n FROM commands c LEFT JOIN sets s USING (doc_id)
+  WHERE c.op = 'toggle_favorite' AND (s.set_seq IS NULL OR c.seq > s.set_seq) GROUP BY 1),
+opened AS (SELECT doc_id, arg_max(ts, seq) AS at FROM commands WHERE op = 'mark_opened' GROUP BY 1),
+renamed AS (SELECT doc_id, arg_max(str_value, seq) AS name FROM commands WHERE op = 'rename' GROUP BY 1)"""
+
 OPLOG = """
 oplog AS (
   SELECT event_id::VARCHAR AS op_id, 'end' AS phase,

@@ -1,5 +1,7 @@
 """Document references: tagged struct on the inside, JSON text at the edge."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ def decode_ref(encoded: Column) -> Column:
         base64_ok = F.try_to_binary(handle["data"], F.lit("base64")).isNotNull()
         error = (
             F.when(encoded.isNull(), F.lit("payload is missing"))
-            .when(~F.ltrim(encoded).startswith("{") | raw.isNull() | inside.isNull(),
+            .when(~F.ltrim(encoded, F.lit(" \t\n\r")).startswith("{") | raw.isNull() | inside.isNull(),
                   F.lit("payload is not an object"))
+            .when(not_text, F.lit("field is not text"))
             .when(F.coalesce(raw["kind"], F.lit("")) == "managed", F.when(
                 raw["relativePath"].isNull() | raw["contentHash"].isNull(), F.lit("field is missing")))
             .when(F.coalesce(raw["kind"], F.lit("")) != "external", F.concat(
@@ -79,6 +82,11 @@ def decode_ref(encoded: Column) -> Column:
         )
         return let(error, lambda e: F.struct(F.when(e.isNull(), ref).alias("ref"), e.alias("error")))
 
+    # Numbers, truth values, lists and objects would be read as their JSON text.
+    fields = ["$.kind", "$.relativePath", "$.contentHash", "$.displayName", "$.handle.type", "$.handle.data", "$.handle.uri", "$.handle.path"]
+    record = F.try_parse_json(encoded)
+    kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(record, p, "variant")), F.lit("VOID")) for p in fields]
+    not_text = reduce(lambda a, b: a | b, [~k.isin("STRING", "VOID") for k in kinds])
     options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
     inside = F.from_json(F.concat(F.lit('{"v":'), encoded, F.lit("}")), "struct<v:string>", options)["v"]
     listed = F.from_json(F.concat(F.lit("["), encoded, F.lit("]")), _WIRE, options)

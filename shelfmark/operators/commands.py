@@ -1,10 +1,12 @@
 """State changes as one fold over a command log."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.plans.ranking import with_global_index
-from shelfmark.plans.skew import dimension_join, measured_small, split_lookup
+from shelfmark.plans.skew import dimension_join, measured_small
+from shelfmark.session import cut_lineage
 
 DOCUMENT_OPS = ("mark_opened", "set_favorite", "toggle_favorite", "rename", "move", "delete")
 COLLECTION_OPS = ("create_collection", "rename_collection", "delete_collection")
@@ -35,95 +37,91 @@ def latest_value(commands: DataFrame) -> DataFrame:
     )
 
 
-def fold_collections(collections: DataFrame, commands: DataFrame) -> DataFrame:
-    """Collections before and during the log, with the ``seq`` of creation and deletion."""
-    changes = (
-        commands.where(F.col("op").isin(*COLLECTION_OPS))
-        .groupBy("owner_id", "collection_id")
-        .agg(
-            F.min(F.when(_only("create_collection"), F.col("seq"))).alias("created_seq"),
-            F.min_by(
-                F.when(_only("create_collection"), F.struct("str_value", "ts")),
-                F.when(_only("create_collection"), F.col("seq")),
-            ).alias("created"),
-            last_seq("rename_collection").alias("renamed_seq"),
-            last_value("rename_collection", F.col("str_value")).alias("renamed"),
-            F.min(F.when(_only("delete_collection"), F.col("seq"))).alias("deleted_seq"),
-        )
-    )
-    known = collections.withColumn("__known", F.lit(True))
-    return known.join(changes, ["owner_id", "collection_id"], "full").where(
-        F.col("__known") | F.col("created_seq").isNotNull()
-    ).select(
-        "owner_id",
-        "collection_id",
-        F.when(F.col("renamed_seq").isNotNull(), F.col("renamed"))
-        .otherwise(F.coalesce("name", "created.str_value")).alias("name"),
-        F.coalesce("created_at", "created.ts").alias("created_at"),
-        F.when(F.col("__known"), F.lit(None)).otherwise(F.col("created_seq")).alias("created_seq"),
-        "deleted_seq",
-    )
+def collection_lives(collections: DataFrame, commands: DataFrame) -> DataFrame:
+    """Every time a collection exists: one row from its creation to its deletion, with its last name.
+
+    ``born`` is null for a collection the table already holds, ``died`` for one that remains. A
+    command on a row that does not exist does nothing, so of repeated creations or deletions only the
+    first counts, and a name counts only between birth and death. The windows run over the creations
+    and deletions of one collection; all other commands are combined before they meet it.
+    """
+    keys = ["owner_id", "collection_id"]
+    known = collections.select(
+        *keys, F.lit(None).cast("bigint").alias("seq"), F.lit("create_collection").alias("op"),
+        F.col("name").alias("str_value"), F.col("created_at").alias("ts"))
+    edges = known.unionByName(
+        commands.where(F.col("op").isin("create_collection", "delete_collection")).select(*known.columns))
+    order = W.partitionBy(*keys).orderBy(F.col("seq").asc_nulls_first())
+    turns = edges.withColumn("__before", F.lag("op").over(order)).where(
+        ~F.col("op").eqNullSafe(F.coalesce("__before", F.lit("delete_collection"))))
+    lives = turns.withColumn("died", F.lead("seq").over(order)).where(_only("create_collection")).select(
+        *keys, F.col("seq").alias("born"), "died", F.col("str_value").alias("name"), F.col("ts").alias("created_at"))
+    names = commands.where(_only("rename_collection")).select(*keys, "seq", F.col("str_value").alias("new_name"))
+    spans = lives.select(*keys, "born", "died")
+    renamed = dimension_join(names, spans, keys, ["seq"], "inner").where(_alive()).groupBy(*keys, "born").agg(
+        F.max_by("new_name", "seq").alias("new_name"), F.lit(True).alias("__renamed"))
+    return _named(lives, renamed, keys)
+
+
+def _named(lives: DataFrame, renamed: DataFrame, keys: list[str]) -> DataFrame:
+    key = F.coalesce("born", F.lit(-1))
+    joined = lives.withColumn("__born", key).join(
+        renamed.withColumn("__born", key).drop("born"), [*keys, "__born"], "left")
+    name = F.when(F.col("__renamed"), F.col("new_name")).otherwise(F.col("name"))
+    return joined.select(*keys, "born", "died", name.alias("name"), "created_at")
+
+
+def _alive():
+    return F.coalesce(F.col("born") < F.col("seq"), F.lit(True)) & F.coalesce(F.col("died") > F.col("seq"), F.lit(True))
 
 
 def apply_to_collections(collections: DataFrame, commands: DataFrame) -> DataFrame:
     """The collections that remain after the log."""
-    return fold_collections(collections, commands).where(F.col("deleted_seq").isNull()).select(*collections.columns)
-
+    return collection_lives(collections, commands).where(F.col("died").isNull()).select(*collections.columns)
 
-def valid_moves(folded: DataFrame, moves: DataFrame, small: bool | None = None) -> DataFrame:
-    """Moves to the root, or into a collection that exists at that point of the log."""
-    spans = folded.select("owner_id", "collection_id", "created_seq", "deleted_seq", F.lit(True).alias("__exists"))
-    joined = dimension_join(moves, spans, ["owner_id", "collection_id"], ["seq"], small=small)
-    seq = F.col("seq")
-    alive = (
-        F.coalesce("__exists", F.lit(False))
-        & F.coalesce(F.col("created_seq") < seq, F.lit(True))
-        & F.coalesce(F.col("deleted_seq") > seq, F.lit(True))
-    )
-    return joined.where(F.col("collection_id").isNull() | alive).select("doc_id", "seq", "collection_id")
 
+def last_places(lives: DataFrame, commands: DataFrame, small: bool | None = None) -> DataFrame:
+    """(doc_id, moved_seq, moved) of the last move to the root or into a collection that exists then.
 
-def pending_toggles(commands: DataFrame) -> DataFrame:
-    """Per document, toggles after its last ``set_favorite``."""
-    last_set = commands.where(_only("set_favorite")).groupBy("doc_id").agg(F.max("seq").alias("set_seq"))
-    toggles = commands.where(_only("toggle_favorite")).select("doc_id", "seq")
-    joined = split_lookup(toggles, last_set, ["doc_id"])
-    return (
-        joined.where(F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
-        .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("toggles"))
-    )
+    A collection that is deleted afterwards leaves its documents at the root.
+    """
+    moves = commands.where(_only("move") & F.col("doc_id").isNotNull()).select("owner_id", "doc_id", "seq", "collection_id")
+    spans = lives.select("owner_id", "collection_id", "born", "died", F.lit(True).alias("__there"))
+    joined = dimension_join(moves, spans, ["owner_id", "collection_id"], ["seq"], small=small)
+    valid = joined.where(F.col("collection_id").isNull() | (F.coalesce("__there", F.lit(False)) & _alive()))
+    place = F.when(F.col("died").isNull(), F.col("collection_id"))
+    return valid.groupBy("doc_id").agg(F.max("seq").alias("moved_seq"), F.max_by(place, F.col("seq")).alias("moved"))
 
 
 def apply_commands(library: DataFrame, collections: DataFrame, commands: DataFrame) -> DataFrame:
     """Library after the log: last write per field, toggle parity, deletes and dropped moves.
 
-    The log is reduced to one row per document with map-side combining before it meets
-    the library, and both sides of that join are unique per document. Fixed-size fields
-    are folded apart from names, which keeps their aggregation hash-based; all folds end
-    up partitioned by document, so joining them moves nothing.
+    The log is read three times, for fields, for moves and for toggles; each pass is combined to
+    one row per document before it meets the library. The lives of the collections are folded once and
+    stored. Toggles meet the last ``set_favorite`` of their document in a plain join, whose crowded keys
+    adaptive execution splits.
     """
     doc = commands.where(F.col("doc_id").isNotNull() & F.col("op").isin(*DOCUMENT_OPS))
-    folded = fold_collections(collections, commands)
-    small = measured_small(folded)
+    lives = cut_lineage(collection_lives(collections, commands))
+    small = measured_small(lives)
 
-    fields = doc.where(F.col("op").isin("mark_opened", "set_favorite", "delete")).groupBy("doc_id").agg(
+    fields = doc.where(~F.col("op").isin("toggle_favorite", "move")).groupBy("doc_id").agg(
         last_seq("mark_opened").alias("opened_seq"),
         last_value("mark_opened", F.col("ts")).alias("opened"),
         last_seq("set_favorite").alias("favorite_seq"),
         last_value("set_favorite", F.col("bool_value")).alias("favorite"),
+        last_seq("rename").alias("renamed_seq"),
+        last_value("rename", F.col("str_value")).alias("renamed"),
         F.max(_only("delete")).alias("deleted"),
     )
-    names = doc.where(_only("rename")).groupBy("doc_id").agg(
-        F.max("seq").alias("renamed_seq"), F.max_by("str_value", "seq").alias("renamed")
-    )
-    moves = doc.where(_only("move")).select("owner_id", "doc_id", "seq", "collection_id")
-    places = valid_moves(folded, moves, small).groupBy("doc_id").agg(
-        F.max("seq").alias("moved_seq"), F.max_by("collection_id", "seq").alias("moved")
-    )
-    gone = folded.where(F.col("deleted_seq").isNotNull()).select(
-        "owner_id", "collection_id", F.lit(True).alias("__gone")
+    sets = fields.select("doc_id", "favorite_seq")
+    toggles = (
+        doc.where(_only("toggle_favorite")).select("doc_id", "seq").join(sets, "doc_id", "left")
+        .where(F.col("favorite_seq").isNull() | (F.col("seq") > F.col("favorite_seq")))
+        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("toggles"))
     )
+    gone = lives.where(F.col("born").isNull() & F.col("died").isNotNull()).select(
+        "owner_id", "collection_id", F.lit(True).alias("__gone"))
 
     def written(seq, value, old):
         return F.when(F.col(seq).isNotNull(), F.col(value)).otherwise(F.col(old))
@@ -135,13 +133,12 @@ def apply_commands(library: DataFrame, collections: DataFrame, commands: DataFra
         "display_name": written("renamed_seq", "renamed", "display_name"),
         "collection_id": written("moved_seq", "moved", "collection_id"),
     }
-    joined = library
-    for fold in (fields, names, places, pending_toggles(doc)):
+    joined = _clear_collections(library, gone, small)
+    for fold in (fields, last_places(lives, doc, small), toggles):
         joined = joined.join(fold, "doc_id", "left")
-    after = joined.where(~F.coalesce("deleted", F.lit(False))).select(
+    return joined.where(~F.coalesce("deleted", F.lit(False))).select(
         *[new[c].alias(c) if c in new else F.col(c) for c in library.columns]
     )
-    return _clear_collections(after, gone, small)
 
 
 def _clear_collections(library: DataFrame, gone: DataFrame, small: bool | None = None) -> DataFrame:
@@ -162,9 +159,16 @@ def rename(library: DataFrame, commands: DataFrame) -> DataFrame:
     return _apply_one(library, commands, "rename", "display_name", F.col("str_value"))
 
 
-def move(library: DataFrame, commands: DataFrame) -> DataFrame:
-    """Set the collection; a null target is the root and counts as a write."""
-    return _apply_one(library, commands, "move", "collection_id", F.col("collection_id"))
+def move(library: DataFrame, collections: DataFrame, commands: DataFrame) -> DataFrame:
+    """Set the collection; a null target is the root and counts as a write.
+
+    The rule is that of the whole fold: a move into a collection that does not exist then does nothing.
+    """
+    places = last_places(collection_lives(collections, commands), commands)
+    written = F.when(F.col("moved_seq").isNotNull(), F.col("moved")).otherwise(F.col("collection_id"))
+    return library.join(places, "doc_id", "left").select(
+        *[written.alias(c) if c == "collection_id" else F.col(c) for c in library.columns]
+    )
 
 
 def _apply_one(library: DataFrame, commands: DataFrame, op: str, field: str, value) -> DataFrame:

@@ -1,10 +1,12 @@
 """File intake, content addressing and duplicate accounting."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.documents import address_of, content_hash, has_pdf_magic
-from shelfmark.plans.skew import split_lookup
+from shelfmark.session import cut_lineage
 
 
 def classify_intake(files: DataFrame, requested: DataFrame | None = None) -> DataFrame:
@@ -13,12 +15,14 @@ def classify_intake(files: DataFrame, requested: DataFrame | None = None) -> Dat
     Paths of ``requested`` (``path``) without a file are reported as rows of their own.
     The bytes are judged where they are read; only paths are shuffled to find the missing.
     """
-    bad = (F.col("length") < 4) | ~has_pdf_magic(F.col("content"))
-    rows = files.select(
-        "*",
-        F.when(bad, "document_corrupt").alias("failure_code"),
-        F.when(bad, "missing %PDF header").alias("failure_detail"),
-    )
+    bad = ~F.coalesce((F.col("length") >= 4) & has_pdf_magic(F.col("content")), F.lit(False))
+    code, detail = F.when(bad, "document_corrupt"), F.when(bad, "missing %PDF header")
+    if "failure_code" in files.columns:  # found when the file was listed
+        earlier = F.col("failure_code").isNotNull()
+        code = F.when(earlier, F.col("failure_code")).otherwise(code)
+        detail = F.when(earlier, F.col("failure_detail")).otherwise(detail)
+    kept = [c for c in files.columns if c not in ("failure_code", "failure_detail")]
+    rows = files.select(*kept, code.alias("failure_code"), detail.alias("failure_detail"))
     if requested is None:
         return rows
     missing = requested.select("path").distinct().join(files.select("path"), "path", "left_anti").select(
@@ -31,13 +35,14 @@ def classify_intake(files: DataFrame, requested: DataFrame | None = None) -> Dat
 
 def content_address(files: DataFrame) -> DataFrame:
     """Hash, storage path and size; the bytes do not travel further than this."""
-    hashed = files.withColumn("content_hash", content_hash(F.col("content")))
+    size = F.coalesce(F.octet_length("content"), F.col("length")) if "length" in files.columns else F.octet_length("content")
+    hashed = files.withColumn("content_hash", content_hash(F.col("content"))).withColumn("__size", size)
     kept = [c for c in files.columns if c not in ("content", "length")]
     return hashed.select(
         *kept,
         "content_hash",
         address_of(F.col("content_hash")).alias("relative_path"),
-        F.octet_length("content").cast("bigint").alias("size_bytes"),
+        F.col("__size").cast("bigint").alias("size_bytes"),
     )
 
 
@@ -53,37 +58,41 @@ def triage_bytes(files: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_groups(library: DataFrame) -> DataFrame:
-    """Content held by more than one row: number of copies and the row to keep.
+OWNED = ("owner_id", "content_hash")
+GLOBAL = ("content_hash",)
+
 
-    Files left in place have no hash and are nobody's duplicate.
+def duplicate_groups(library: DataFrame, keys: Sequence[str] = OWNED) -> DataFrame:
+    """Content held by more than one row of a library: number of copies and the row to keep.
+
+    A library belongs to one owner; ``keys=GLOBAL`` accounts for content across all of them. Files left
+    in place have no hash and are nobody's duplicate.
     """
     return (
         library.where(F.col("content_hash").isNotNull())
-        .groupBy("content_hash")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("keeper"))
         .where(F.col("copies") > 1)
     )
 
 
-def duplicate_members(library: DataFrame) -> DataFrame:
+def duplicate_members(library: DataFrame, keys: Sequence[str] = OWNED) -> DataFrame:
     """The members of every duplicate group, one row each.
 
     A group may hold a large share of the library, so its ids are not collected into an
-    array; ordering the rows by hash and id gives the sorted member list.
+    array; ordering the rows by hash and id gives the sorted member list. The hashes are taken
+    once; a crowded group is split by adaptive execution.
     """
-    rows = library.select("content_hash", "doc_id")
-    return split_lookup(rows, duplicate_groups(library), ["content_hash"], "inner").withColumn(
-        "is_keeper", F.col("doc_id") == F.col("keeper")
-    )
+    rows = cut_lineage(library.where(F.col("content_hash").isNotNull()).select(*keys, "doc_id"))
+    return rows.join(duplicate_groups(rows, keys), list(keys)).withColumn("is_keeper", F.col("doc_id") == F.col("keeper"))
 
 
-def distinct_content(library: DataFrame) -> DataFrame:
-    """One row per content hash, the smallest id winning; rows without a hash all stay."""
-    others = [c for c in library.columns if c != "content_hash"]
+def distinct_content(library: DataFrame, keys: Sequence[str] = OWNED) -> DataFrame:
+    """One row per content hash of a library, the smallest id winning; rows without a hash all stay."""
+    others = [c for c in library.columns if c not in keys]
     hashed = library.where(F.col("content_hash").isNotNull())
-    kept = hashed.groupBy("content_hash").agg(F.min_by(F.struct(*others), F.col("doc_id")).alias("row"))
-    return kept.select("content_hash", "row.*").select(*library.columns).unionByName(
+    kept = hashed.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col("doc_id")).alias("row"))
+    return kept.select(*keys, "row.*").select(*library.columns).unionByName(
         library.where(F.col("content_hash").isNull())
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.functions.documents import address_of
+from shelfmark.functions.text import literal_pattern, may_contain
 from shelfmark.plans.ranking import with_global_index
 from shelfmark.plans.skew import dimension_join, few_against_many
 
@@ -18,11 +19,15 @@ def all_documents(library: DataFrame) -> DataFrame:
 
 
 def filter_by_name(library: DataFrame, query: str) -> DataFrame:
-    """Literal, case-insensitive substring of the display name; a blank query keeps all rows."""
-    needle = query.strip().lower()
+    """Literal, case-insensitive substring of the display name; a blank query keeps all rows.
+
+    Letters are compared as search compares them: a cheap test first, then the folding pattern.
+    """
+    needle = query.strip()
     if not needle:
         return library
-    return library.where(F.contains(F.lower("display_name"), F.lit(needle)))
+    name = F.col("display_name")
+    return library.where(may_contain(name, needle) & F.rlike(name, literal_pattern(needle)))
 
 
 def favorites(library: DataFrame) -> DataFrame:
@@ -33,13 +38,23 @@ def opened_only(library: DataFrame) -> DataFrame:
     return library.where(F.col("last_opened_at").isNotNull())
 
 
-def documents_in(library: DataFrame, collection_id: int | None) -> DataFrame:
-    """Documents of one collection; ``None`` means the root."""
-    return library.where(F.col("collection_id").eqNullSafe(F.lit(collection_id).cast("bigint")))
+def of_owner(library: DataFrame, owner_id: str | None) -> DataFrame:
+    """The library of one owner; ``None`` keeps the rows of all."""
+    return library if owner_id is None else library.where(F.col("owner_id") == owner_id)
+
 
+def documents_in(library: DataFrame, collection_id: int | None, owner_id: str) -> DataFrame:
+    """Documents of one collection of an owner; a null collection means the owner's root."""
+    return of_owner(library, owner_id).where(F.col("collection_id").eqNullSafe(F.lit(collection_id).cast("bigint")))
 
-def in_selected_collection(library: DataFrame, selected=ALL) -> DataFrame:
-    return library if selected is ALL else documents_in(library, selected)
+
+def in_selected_collection(library: DataFrame, selected=ALL, owner_id: str | None = None) -> DataFrame:
+    """All documents (of one owner if named), or those of the owner's selected collection."""
+    if selected is ALL:
+        return of_owner(library, owner_id)
+    if owner_id is None:
+        raise ValueError("a collection belongs to an owner: name the owner of the selected one")
+    return documents_in(library, selected, owner_id)
 
 
 def get_document(library: DataFrame, doc_id: int) -> DataFrame:
@@ -72,9 +87,9 @@ def sort_documents(library: DataFrame, field: str = "date_added", ascending: boo
     return library.orderBy(*sort_order(field, ascending))
 
 
-def recents(library: DataFrame, limit: int = 20) -> DataFrame:
-    """The most recently opened documents, newest first."""
-    return opened_only(library).orderBy(*sort_order("date_opened", False)).limit(limit)
+def recents(library: DataFrame, limit: int = 20, owner_id: str | None = None) -> DataFrame:
+    """The most recently opened documents (of one owner if named), newest first."""
+    return opened_only(of_owner(library, owner_id)).orderBy(*sort_order("date_opened", False)).limit(limit)
 
 
 def recents_per_owner(library: DataFrame, limit: int = 20) -> DataFrame:
@@ -92,10 +107,12 @@ def recents_per_owner(library: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def visible_documents(
-    library: DataFrame, query: str = "", field: str = "date_added", ascending: bool = False, selected=ALL
+    library: DataFrame, query: str = "", field: str = "date_added", ascending: bool = False, selected=ALL,
+    owner_id: str | None = None,
 ) -> DataFrame:
-    """What the list shows: collection, then name filter, then sort."""
-    return sort_documents(filter_by_name(in_selected_collection(library, selected), query), field, ascending)
+    """What an owner's list shows: collection, then name filter, then sort."""
+    chosen = in_selected_collection(library, selected, owner_id)
+    return sort_documents(filter_by_name(chosen, query), field, ascending)
 
 
 def attach_collection(library: DataFrame, collections: DataFrame) -> DataFrame:
@@ -115,8 +132,15 @@ def merge_sources(managed: DataFrame, external: DataFrame) -> DataFrame:
 
 
 def patch_fields(library: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
-    """Partial update by ``doc_id``: a null in the patch keeps the old value."""
-    changes = patches.select("doc_id", *[F.col(f).alias(f"__new_{f}") for f in fields])
+    """Partial update by ``doc_id``: a null in the patch keeps the old value.
+
+    Of several patches of a document the last by ``seq`` counts (without that column, the one with the
+    largest values), so no row is multiplied.
+    """
+    values = F.struct(*[F.col(f) for f in fields])
+    order = F.struct("seq", values) if "seq" in patches.columns else values
+    changes = patches.groupBy("doc_id").agg(F.max_by(values, order).alias("__new")).select(
+        "doc_id", *[F.col("__new")[f].alias(f"__new_{f}") for f in fields])
     joined = library.join(changes, "doc_id", "left")
     return joined.select(*[
         F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)

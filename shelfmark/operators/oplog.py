@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.documents import identity_hash
+from shelfmark.schemas import OPLOG
 
 LOG_FIELDS = ["op_id", "phase", "op", "file_hash", "bytes", "result", "ms", "code", "detail", "ts"]
 
@@ -18,7 +19,7 @@ def redact_for_log(records: DataFrame, path: str = "path") -> DataFrame:
         elif name in have:
             columns.append(F.col(name))
         else:
-            columns.append(F.lit(None).cast("string").alias(name))
+            columns.append(F.lit(None).cast(OPLOG[name].dataType).alias(name))
     return records.select(*columns)
 
 
@@ -68,7 +69,7 @@ def operation_report(records: DataFrame) -> DataFrame:
     """Runs, outcomes and timing per operation.
 
     Equal timings are counted first, so a busy operation reaches its task as a histogram
-    and the exact percentiles are weighted by count.
+    and the exact percentiles are weighted by count. A task holds the distinct timings of an operation.
     """
     ended = records.where(F.col("phase") == "end")
     success = F.col("result") == "success"

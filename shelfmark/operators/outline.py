@@ -1,5 +1,7 @@
 """Outline trees kept as edges: depth-first order without recursion."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,33 +11,33 @@ from shelfmark.session import cut_lineage
 
 
 def outline_paths(nodes: DataFrame) -> DataFrame:
-    """Append ``path``, the sibling positions from the root down, to every reachable node.
+    """Append ``path``, the (ord, node_id) steps from the root down, to every reachable node.
 
+    Siblings with equal ``ord`` are ordered by id, so their children stay together. Only the narrow rows of
+    nodes still on their way go through the rounds; titles are joined at the end.
     Each round joins a node to the ancestor it has reached so far, which doubles the
     distance covered: a tree of depth d takes about log2(d) joins instead of d. A parent
     with very many children is salted. Nodes that reach no root (missing parent, cycle)
     are not part of any outline and are left out, as in a nested list.
     """
-    state = nodes.withColumn("up", F.col("parent_id")).withColumn("path", F.array("ord"))
-    waiting = None
+    step = F.struct("ord", "node_id")
+    state = nodes.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.array(step).alias("path"))
+    waiting, done = None, []
     while True:
         pending = state.where(F.col("up").isNotNull())
-        settled = state.where(F.col("up").isNull())
-        above = state.select(
+        done.append(state.where(F.col("up").isNull()))
+        above = reduce(DataFrame.unionByName, [pending, *done]).select(
             "doc_id",
             F.col("node_id").alias("up"),
             F.col("up").alias("next_up"),
             F.col("path").alias("prefix"),
         )
-        moved = salted_lookup(pending, above, ["doc_id", "up"], ["node_id"], "inner").select(
-            *nodes.columns,
-            F.col("next_up").alias("up"),
-            F.concat("prefix", "path").alias("path"),
-        )
-        state = cut_lineage(settled.unionByName(moved))
+        state = cut_lineage(salted_lookup(pending, above, ["doc_id", "up"], ["node_id"], "inner").select(
+            "doc_id", "node_id", F.col("next_up").alias("up"), F.concat("prefix", "path").alias("path")))
         left = state.where(F.col("up").isNotNull()).count()
         if left == 0 or left == waiting:
-            return state.where(F.col("up").isNull()).drop("up")
+            settled = reduce(DataFrame.unionByName, [*done, state.where(F.col("up").isNull())]).drop("up")
+            return nodes.join(settled, ["doc_id", "node_id"])
         waiting = left
 
 

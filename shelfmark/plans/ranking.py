@@ -13,16 +13,18 @@ _LOW_BITS = 33
 
 
 def with_global_index(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
-    """Append a dense 0-based position in the total order of ``order``.
+    """Append a dense 0-based position in the total order of ``order``."""
+    return with_row_positions(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
 
-    Range partitions are sorted on their own and checkpointed once, so the running
-    number inside a partition cannot change when a task is retried. The only window
-    runs over one row per partition.
+
+def with_row_positions(df: DataFrame, name: str) -> DataFrame:
+    """Append the 0-based position of each row in the order the partitions of ``df`` hold them.
+
+    The rows are checkpointed once, so the running number inside a partition cannot change when a task is
+    retried. The only window runs over one row per partition.
     """
     placed = cut_lineage(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
+        df.withColumn("__at", F.monotonically_increasing_id())
         .withColumn("__part", F.shiftrightunsigned(F.col("__at"), _LOW_BITS))
     )
     before = W.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 TASK_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
+HOT_SHARE = 20_000
 NULL_SLOTS = 1 << 20
 
 _SALT = "__salt"
@@ -28,19 +28,18 @@ def measured_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 def hot_keys(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
     """Keys with more than ``task_rows`` rows and the number of tasks each should get.
 
-    Counting combines on the map side. The list only steers salting, so its limit loses
-    no rows: a key left out holds at most ``1/MAX_HOT_KEYS`` of all rows.
+    Counting combines on the map side. A key must also hold more than one row in ``HOT_SHARE``, so at most
+    that many keys can be hot however large the table is; no list is cut.
     """
-    return (
+    counted = (
         df.select(*keys)
         .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > task_rows)
-        .orderBy(F.desc("__rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("__rows") / F.lit(task_rows)).cast("int").alias(_SLOTS))
     )
+    total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
+    return counted.where(F.col("__rows") > F.greatest(F.lit(task_rows), total / HOT_SHARE)).select(
+        *keys, F.ceil(F.col("__rows") / F.lit(task_rows)).cast("int").alias(_SLOTS))
 
 
 def salted_lookup(

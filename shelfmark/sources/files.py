@@ -10,12 +10,11 @@ from shelfmark.sources.snapshots import publish_audited
 PDF_NAMES = "*.[pP][dD][fF]"
 
 
-def scan_files(
-    spark: SparkSession, path: str, max_length: int | None = None, names: str = PDF_NAMES
-) -> DataFrame:
-    """``.pdf`` files below ``path`` as ``path, modificationTime, length, content``.
+def scan_files(spark: SparkSession, path: str, names: str = PDF_NAMES) -> DataFrame:
+    """``.pdf`` files below ``path`` with their bytes and, for files that cannot be read, a failure.
 
-    ``max_length`` is pushed to the listing, so larger files are never opened.
+    Columns: ``path, modificationTime, length, content, failure_code, failure_detail``. Spark reads a file's
+    bytes up to ``spark.sql.sources.binaryFile.maxLength``; a larger file is listed without its content.
     """
     files = (
         spark.read.format("binaryFile")
@@ -23,7 +22,14 @@ def scan_files(
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    return files if max_length is None else files.where(F.col("length") <= max_length)
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    none = F.lit(None).cast("string")
+    readable = files.where(F.col("length") <= limit).select(
+        "path", "modificationTime", "length", "content", none.alias("failure_code"), none.alias("failure_detail"))
+    large = files.where(F.col("length") > limit).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"),
+        F.lit("unsupported_feature").alias("failure_code"), F.lit(f"file exceeds {limit} bytes").alias("failure_detail"))
+    return readable.unionByName(large)
 
 
 def export_subset(library: DataFrame, ids: DataFrame, contents: DataFrame, target: str) -> int:

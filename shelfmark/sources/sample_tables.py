@@ -17,13 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread by id when the files give fewer splits than there are cores.
-
-    A table of many files keeps its splits and its text is not shuffled.
-    """
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    return table(spark, sf_dir, "documents")
 
 
 def collection_of(lang):
@@ -104,21 +98,33 @@ def page_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a command log on the document named by ``user_id``."""
+    """``events`` as a command log on the document named by ``user_id``.
+
+    Every 97th event deletes a document; three others create, rename and delete collections 1 to 7 of
+    the document's owner, so collections are changed before they exist and come back after deletion.
+    """
     owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), F.col("source").alias("owner_id"))
     events = dimension_join(table(spark, sf_dir, "events"), owners, ["user_id"], ["event_id"])
     kind = F.col("event_type")
-    place = F.pmod(F.floor("value"), F.lit(5)).cast("bigint")
-    return events.select(
+    slot = F.pmod("event_id", F.lit(97))
+    op = (
+        F.when(slot == 3, "delete").when(slot == 10, "create_collection").when(slot == 40, "rename_collection")
+        .when(slot == 70, "delete_collection")
+        .when(kind == "view", "mark_opened").when(kind == "click", "toggle_favorite")
+        .when(kind == "signup", "set_favorite").when(kind == "purchase", "move").when(kind == "error", "rename")
+    )
+    place = F.pmod(F.floor("value"), F.lit(8)).cast("bigint")
+    on_collection = F.col("op").isin("create_collection", "rename_collection", "delete_collection")
+    return events.withColumn("op", op).select(
         "owner_id",
         F.col("event_id").alias("seq"),
-        F.when(kind == "view", "mark_opened").when(kind == "click", "toggle_favorite")
-        .when(kind == "signup", "set_favorite").when(kind == "purchase", "move")
-        .when(kind == "error", "rename").alias("op"),
-        F.col("user_id").alias("doc_id"),
-        F.when((kind == "purchase") & (place != 0), place).alias("collection_id"),
-        F.when(kind == "error", F.concat(F.lit("n"), F.col("event_id").cast("string"))).alias("str_value"),
-        F.when(kind == "signup", F.col("value") > 50).alias("bool_value"),
+        "op",
+        F.when(~on_collection, F.col("user_id")).alias("doc_id"),
+        F.when(on_collection, F.pmod("event_id", F.lit(7)) + 1)
+        .when((F.col("op") == "move") & (place != 0), place).alias("collection_id"),
+        F.when(F.col("op").isin("rename", "create_collection", "rename_collection"),
+               F.concat(F.lit("n"), F.col("event_id").cast("string"))).alias("str_value"),
+        F.when(F.col("op") == "set_favorite", F.col("value") > 50).alias("bool_value"),
         "ts",
     )
 
@@ -172,7 +178,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("__good"), F.lit("\n%%EOF")).otherwise(F.lit("")),
     )
     content = F.encode(body, "UTF-8")
-    return docs.join(good.withColumn("__good", F.lit(True)), "doc_id", "left").select(
+    return dimension_join(docs, good.withColumn("__good", F.lit(True)), ["doc_id"], ["doc_id"]).select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
         F.octet_length(content).cast("bigint").alias("length"),
         content.alias("content"),

@@ -6,18 +6,24 @@ Layout below a target folder::
     _commits/<20 digits>       text file naming the data folder and a tag
 
 A commit file is created with "must not exist", so of two writers of the same version one
-fails. Readers follow the highest complete commit; a commit file without its text belongs
-to a writer that is not done or was lost, and no other writer builds past it. Nothing is
-renamed, which suits object stores.
+fails. The store has to honour that when the file is created or, at the latest, when it is
+closed. Readers follow the highest complete commit; a commit file without its text belongs
+to a writer that is not done or was lost: for the time of a lease no other writer builds past
+it, later it is removed. Data that a commit names is never deleted. Nothing is renamed, which
+suits object stores.
 """
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+LEASE_SECONDS = 3600.0
+
+
 class NothingProduced(Exception):
     """The producer gave no data."""
 
@@ -82,6 +88,30 @@ def read_published(spark: SparkSession, target: str, version: int | None = None)
     return spark.read.parquet(f"{target.rstrip('/')}/{commit['data']}")
 
 
+def _holds(spark: SparkSession, target: str, version: int, data: str) -> bool | None:
+    """Whether the commit of ``version`` names ``data``; null when the store does not say."""
+    try:
+        if version not in _commits(spark, target):
+            return False
+        commit = _read_commit(spark, target, version)
+        return None if commit is None else commit["data"] == data
+    except Exception:
+        return None
+
+
+def _clear_lost_writers(spark: SparkSession, target: str, base: int | None, lease_seconds: float) -> None:
+    """Remove commits without text that are older than the lease; a younger one is a conflict."""
+    fs, jvm = _fs(spark, target)
+    for version in _commits(spark, target):
+        if base is not None and version <= base:
+            continue
+        path = _path(jvm, target, "_commits", f"{version:020d}")
+        age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+        if _read_commit(spark, target, version) is not None or age < lease_seconds:
+            raise PublishConflict(f"another writer works on version {version} of {target}")
+        fs.delete(path, False)
+
+
 def publish_audited(
     spark: SparkSession,
     produce: Callable[[], DataFrame | None],
@@ -89,16 +119,18 @@ def publish_audited(
     validate: Callable[[DataFrame], bool] | None = None,
     tag=None,
     allow_empty: bool = False,
+    lease_seconds: float = LEASE_SECONDS,
 ) -> int:
     """Write what ``produce`` gives, check it, then make it the current version.
 
     On any failure the written data is removed, the version before stays current and the
-    original error is raised.
+    original error is raised. If an error comes after the commit was stored, the version is
+    published and its number returned; if the store does not tell, the data is left.
     """
     fs, jvm = _fs(spark, target)
     base = current_version(spark, target)
-    if any(v > (-1 if base is None else base) for v in _commits(spark, target)):
-        raise PublishConflict(f"a commit after version {base} of {target} is not complete")
+    _clear_lost_writers(spark, target, base, lease_seconds)
+    version = 0 if base is None else base + 1
     data = f"data-{uuid.uuid4().hex}"
     staged = f"{target.rstrip('/')}/{data}"
     try:
@@ -111,10 +143,14 @@ def publish_audited(
             raise NothingProduced("producer wrote no rows")
         if validate is not None and not validate(written):
             raise ValidationRejected("validation rejected the output")
-        version = 0 if base is None else base + 1
         _commit(fs, jvm, target, version, {"data": data, "tag": tag})
         return version
-    except BaseException:
+    except BaseException as error:
+        stored = None if isinstance(error, PublishConflict) else _holds(spark, target, version, data)
+        if stored and isinstance(error, Exception):
+            return version
+        if stored is None and not isinstance(error, PublishConflict):
+            raise
         try:
             fs.delete(_path(jvm, staged), True)
         except Exception:  # clean-up must not hide the first error

@@ -4,19 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_opened_stream(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
+def last_opened_stream(commands: DataFrame) -> DataFrame:
     """Running latest open per document; write it in update mode.
 
-    A command delivered again within ``delay`` is counted once. The state holds one row
-    per document and the sequence numbers of the delay window.
+    A command delivered again changes no maximum, so the state is one row per document.
     """
     return (
         commands.where(F.col("op") == "mark_opened")
-        .withColumn("at", F.col("ts").cast("timestamp"))
-        .withWatermark("at", delay)
-        .dropDuplicatesWithinWatermark(["doc_id", "seq"])
         .groupBy("doc_id")
-        .agg(F.max("at").alias("last_opened_at"))
+        .agg(F.max(F.col("ts").cast("timestamp")).alias("last_opened_at"))
     )
 
 

@@ -79,7 +79,7 @@ def test_single_operators(spark):
     assert values(ops.set_favorite(lib, log).orderBy("doc_id"), "is_favorite") == [True, False]
     assert values(ops.toggle_favorite(lib, log).orderBy("doc_id"), "is_favorite") == [False, True]
     assert values(ops.rename(lib, log).orderBy("doc_id"), "display_name") == ["a", "z"]
-    assert values(ops.move(lib, log).orderBy("doc_id"), "collection_id") == [None, None]
+    assert values(ops.move(lib, collections(spark, (1, "c")), log).orderBy("doc_id"), "collection_id") == [None, None]
     assert values(ops.delete_documents(lib, log), "doc_id") == [1]
 
 
@@ -102,15 +102,16 @@ def test_latest_value(spark):
 
 
 def replay(docs, cols, log):
-    """Row-by-row replay used as the expected result."""
+    """Row-by-row replay used as the expected result: documents, then collections."""
     docs = {d[1]: {"name": d[5], "opened": d[8], "favorite": d[9], "collection": d[11]} for d in docs}
-    alive = set(cols)
-    for seq, op, doc_id, f in sorted(log):
+    alive = dict(cols)
+    for seq, op, doc_id, f in sorted(log, key=lambda c: c[0]):
         c = f.get("collection")
         if op == "create_collection":
-            alive.add(c)
-        elif op == "delete_collection":
-            alive.discard(c)
+            alive.setdefault(c, f["text"])
+        elif op == "rename_collection" and c in alive:
+            alive[c] = f["text"]
+        elif op == "delete_collection" and alive.pop(c, None) is not None:
             for d in docs.values():
                 if d["collection"] == c:
                     d["collection"] = None
@@ -128,23 +129,21 @@ def replay(docs, cols, log):
                 d["collection"] = c
             elif op == "delete":
                 del docs[doc_id]
-    return {i: (d["name"], d["opened"], d["favorite"], d["collection"]) for i, d in docs.items()}
+    return {i: (d["name"], d["opened"], d["favorite"], d["collection"]) for i, d in docs.items()}, alive
 
 
 def random_log(n, seed):
+    """Collections are created, renamed and deleted in any order, also before they exist and again."""
     random.seed(seed)
-    log, next_collection = [], 10
+    log = []
     for seq in range(n):
         op = random.choice(["rename", "mark_opened", "set_favorite", "toggle_favorite", "toggle_favorite", "move", "move"]
                            + (["delete"] if random.random() < 0.2 else [])
-                           + (["create_collection", "delete_collection"] if random.random() < 0.3 else []))
+                           + (["create_collection", "rename_collection", "delete_collection"] if random.random() < 0.5 else []))
         doc_id = random.choice([1, 1, 1, 2, 3, 4, 5, 6, 99])
-        f = {}
-        if op == "create_collection":
-            f, doc_id = {"collection": next_collection, "text": f"c{seq}", "ts": T0}, None
-            next_collection += 1
-        elif op == "delete_collection":
-            f, doc_id = {"collection": random.choice([1, 2, 3, *range(10, next_collection)])}, None
+        f, some = {}, random.choice([1, 2, 3, 10, 11])
+        if op in ("create_collection", "rename_collection", "delete_collection"):
+            f, doc_id = {"collection": some, "text": f"c{seq}", "ts": T0}, None
         elif op == "rename":
             f = {"text": f"n{seq}"}
         elif op == "mark_opened":
@@ -152,7 +151,7 @@ def random_log(n, seed):
         elif op == "set_favorite":
             f = {"flag": random.random() < 0.5}
         elif op == "move":
-            f = {"collection": random.choice([None, 1, 2, 3, 55, *range(10, next_collection)])}
+            f = {"collection": random.choice([None, 55, some, some])}
         log.append((seq, op, doc_id, f))
     return log
 
@@ -161,14 +160,36 @@ def state(df):
     return {r[0]: tuple(r)[1:] for r in df.select("doc_id", "display_name", "last_opened_at", "is_favorite", "collection_id").collect()}
 
 
+def named(df):
+    return {r.collection_id: r.name for r in df.collect()}
+
+
 def test_fold_equals_a_replay_and_a_split_fold(spark):
     docs = [doc(i, f"d{i}", favorite=i % 2 == 0, collection=[None, 1, 2][i % 3]) for i in range(1, 7)]
     lib, cols = library(spark, *docs), collections(spark, (1, "a"), (2, "b"), (3, "c"))
-    for seed in (1, 2):
+    for seed in (1, 2, 3):
         log = random_log(120, seed)
-        expected = replay(docs, [1, 2, 3], log)
+        expected, alive = replay(docs, [(1, "a"), (2, "b"), (3, "c")], log)
         assert state(fold(spark, lib, cols, *log)) == expected
+        assert named(ops.apply_to_collections(cols, commands(spark, *log))) == alive
         first, second = commands(spark, *log[:60]), commands(spark, *log[60:])
-        middle = ops.apply_commands(lib, cols, first)
-        after = ops.apply_commands(middle, ops.apply_to_collections(cols, first), second)
-        assert state(after) == expected
+        middle, kept = ops.apply_commands(lib, cols, first), ops.apply_to_collections(cols, first)
+        assert state(ops.apply_commands(middle, kept, second)) == expected
+        assert named(ops.apply_to_collections(kept, second)) == alive
+
+
+def test_commands_on_collections_that_do_not_exist(spark):
+    cols = collections(spark, (1, "a"))
+    log = commands(spark, (1, "delete_collection", None, {"collection": 7}), (2, "rename_collection", None, {"collection": 7, "text": "early"}),
+                   (3, "create_collection", None, {"collection": 7, "text": "x", "ts": T0}), (4, "delete_collection", None, {"collection": 1}),
+                   (5, "create_collection", None, {"collection": 1, "text": "again", "ts": T0}))
+    assert named(ops.apply_to_collections(cols, log)) == {7: "x", 1: "again"}
+
+
+def test_the_fold_reads_the_log_three_times(spark, tmp_path):
+    """Fields, moves and toggles; toggles reuse the shuffle of the fields."""
+    lib, cols = library(spark, doc(1, "a")), collections(spark, (1, "c"))
+    commands(spark, (1, "rename", 1, {"text": "b"})).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plan = ops.apply_commands(lib, cols, log)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line for line in plan.splitlines()) <= 4

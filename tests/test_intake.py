@@ -5,7 +5,9 @@ from helpers import doc, files, library, values
 from pyspark.sql import functions as F
 
 from shelfmark.operators import intake
+from shelfmark.operators.intake import classify_intake
 from shelfmark.operators.library import managed_rows, selected_documents
+from shelfmark.sources import snapshots
 from shelfmark.sources.extract import ExtractionFailure, extract_pages
 from shelfmark.sources.files import export_subset, scan_files
 from shelfmark.sources.snapshots import (
@@ -99,14 +101,34 @@ def test_a_shared_file_is_collectable_only_when_no_row_is_left(spark):
     assert collectable(1, 2, 4) == ["h1", "h4"]
 
 
-def test_scan_reads_only_pdf_names_below_the_limit(spark, tmp_path):
+def test_scan_lists_large_files_without_their_bytes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "a.pdf").write_bytes(PDF + b"1")
     (tmp_path / "in" / "B.PDF").write_bytes(PDF + b"22")
     (tmp_path / "c.txt").write_bytes(b"no")
     df = scan_files(spark, str(tmp_path))
     assert sorted(values(df, "length")) == [5, 6]
-    assert values(scan_files(spark, str(tmp_path), max_length=5), "content") == [bytearray(PDF + b"1")]
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5)
+    try:
+        found = classify_intake(scan_files(spark, str(tmp_path))).orderBy("length")
+        assert values(found, "length", "content", "failure_code") == [
+            (5, bytearray(PDF + b"1"), None), (6, None, "unsupported_feature")]
+        assert values(intake.content_address(found), "size_bytes") == [5, 6]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_null_bytes_are_not_accepted(spark):
+    df = spark.createDataFrame([("a.pdf", None, None), ("b.pdf", 5, None)], "path string, length long, content binary")
+    assert values(classify_intake(df), "failure_code") == ["document_corrupt"] * 2
+
+
+def test_owners_do_not_share_duplicates(spark):
+    df = library(spark, doc(1, "a", owner="x", digest="h"), doc(2, "b", owner="y", digest="h"), doc(3, "c", owner="y", digest="h"))
+    assert values(intake.duplicate_groups(df), "owner_id", "copies", "keeper") == [("y", 2, 2)]
+    assert values(intake.duplicate_groups(df, intake.GLOBAL), "copies", "keeper") == [(3, 1)]
+    assert sorted(values(intake.distinct_content(df), "doc_id")) == [1, 2]
+    assert sorted(values(intake.duplicate_members(df), "doc_id")) == [2, 3]
 
 
 def test_export(spark, tmp_path):
@@ -190,6 +212,26 @@ def test_an_unfinished_commit_is_not_read_and_blocks_writers(spark, tmp_path):
     assert read_published(spark, target).count() == 1
     with pytest.raises(PublishConflict):
         publish_audited(spark, lambda: spark.range(2), target)
+    assert publish_audited(spark, lambda: spark.range(2), target, lease_seconds=0) == 1  # the writer was lost
+    assert read_published(spark, target).count() == 2
+
+
+def test_an_error_after_the_commit_was_stored_keeps_its_data(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    publish_audited(spark, lambda: spark.range(1), target)
+    commit = snapshots._commit
+
+    def breaks_late(*args):
+        commit(*args)
+        raise OSError("connection lost on close")
+
+    monkeypatch.setattr(snapshots, "_commit", breaks_late)
+    assert publish_audited(spark, lambda: spark.range(2), target) == 1
+    assert read_published(spark, target).count() == 2
+    monkeypatch.setattr(snapshots, "_holds", lambda *a: None)  # the store does not tell
+    with pytest.raises(OSError):
+        publish_audited(spark, lambda: spark.range(3), target)
+    assert read_published(spark, target).count() == 3
 
 
 def test_extract_pages(spark):

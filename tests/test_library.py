@@ -70,10 +70,26 @@ def test_recents_per_owner_equals_recents_of_each(spark):
 def test_favorites_and_collections(spark):
     df = library(spark, doc(1, "a", favorite=True), doc(2, "b", collection=7), doc(3, "c", collection=8))
     assert names(lib.favorites(df)) == ["a"]
-    assert names(lib.documents_in(df, 7)) == ["b"]
-    assert names(lib.documents_in(df, None)) == ["a"]
-    assert lib.in_selected_collection(df).count() == 3
-    assert names(lib.visible_documents(df, "B", selected=7)) == ["b"]
+    df = df.union(library(spark, doc(9, "other", owner="p", collection=7)))
+    assert names(lib.documents_in(df, 7, "o")) == ["b"]
+    assert names(lib.documents_in(df, None, "o")) == ["a"]
+    assert lib.in_selected_collection(df).count() == 4
+    assert names(lib.in_selected_collection(df, owner_id="p")) == ["other"]
+    assert names(lib.visible_documents(df, "B", selected=7, owner_id="o")) == ["b"]
+    assert names(lib.visible_documents(df, selected=7, owner_id="p")) == ["other"]
+    with pytest.raises(ValueError, match="owner"):
+        lib.in_selected_collection(df, 7)
+
+
+def test_name_filter_folds_letters_as_search_does(spark):
+    df = library(spark, doc(1, "\u039f\u0394\u039f\u03a3.pdf"), doc(2, "x"))
+    assert names(lib.filter_by_name(df, "\u03bf\u03b4\u03bf\u03c3")) == names(lib.filter_by_name(df, "\u039f\u0394\u039f\u03a3")) == ["\u039f\u0394\u039f\u03a3.pdf"]
+
+
+def test_patches_multiply_no_rows(spark):
+    df = library(spark, doc(1, "a"), doc(2, "b"))
+    patches = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (3, 2, None)], "seq long, doc_id long, display_name string")
+    assert sorted(values(lib.patch_fields(df, patches, ["display_name"]), "doc_id", "display_name")) == [(1, "y"), (2, "b")]
 
 
 def test_get_document(spark):

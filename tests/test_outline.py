@@ -44,3 +44,9 @@ def test_unreachable_nodes_are_left_out(spark):
     df = nodes(spark, (1, "a", None, 0, "a", 0), (1, "x", "y", 0, "x", 0), (1, "y", "x", 0, "y", 0), (1, "o", "gone", 0, "o", 0),
                (1, "z", "x", 1, "z", 0))
     assert entries(flatten_outline(df)) == [("a", 0, 0)]
+
+
+def test_siblings_with_equal_order_keep_their_children(spark):
+    df = nodes(spark, (1, "a", None, 0, "A", 0), (1, "b", None, 0, "B", 0), (1, "a1", "a", 0, "A1", 0), (1, "a2", "a", 1, "A2", 0),
+               (1, "b1", "b", 0, "B1", 0), (1, "b2", "b", 1, "B2", 0))
+    assert [e[0] for e in entries(flatten_outline(df))] == ["A", "A1", "A2", "B", "B1", "B2"]

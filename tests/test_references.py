@@ -196,3 +196,18 @@ def test_operation_report(spark):
     r = oplog.operation_report(df).first()
     assert (r.runs, r.successes, r.failures, r.min_ms, r.avg_ms, r.p50_ms, r.max_ms, r.bytes) == (5, 4, 1, 1, 2.5, 2.5, 4, 40)
     assert values(oplog.failures_by_code(df), "op", "code", "failures") == [("open", "unknown", 1)]
+
+
+@pytest.mark.parametrize("text,error", [
+    ('\n\t {"kind": "managed", "relativePath": "a", "contentHash": "b"}', None),
+    ('{"kind": "managed", "relativePath": 5, "contentHash": "b"}', "field is not text"),
+    ('{"kind": "external", "displayName": "x", "handle": {"type": "path", "path": true}}', "field is not text"),
+])
+def test_decode_reads_json_blanks_and_wants_text(spark, text, error):
+    df = spark.createDataFrame([(text,)], "e string")
+    assert df.select(decode_ref(F.col("e")).alias("d")).first().d.error == error
+
+
+def test_redacted_records_fit_the_log_schema(spark):
+    df = spark.createDataFrame([("a", "end")], "op_id string, phase string")
+    assert [f.dataType for f in oplog.redact_for_log(df).schema] == [f.dataType for f in schemas.OPLOG]
