@@ -211,6 +211,33 @@ def _(spark, d):
     return out.select("doc_id", "display_name", "size_bytes", "storage_key", "is_favorite", "collection_id")
 
 
+@query("plan_copies", with_(LIBRARY) + """
+SELECT e.event_id AS seq, e.user_id AS doc_id, CASE WHEN l.kind = 'managed' THEN l.content_hash END AS source_key,
+       CASE WHEN l.kind = 'managed' THEN sha256(l.content_hash || '|' || e.event_id) END AS new_key,
+       CASE WHEN l.doc_id IS NULL OR l.kind = 'external' THEN 'document_moved' END AS failure_code,
+       CASE WHEN l.doc_id IS NULL THEN 'no such document' WHEN l.kind = 'external' THEN 'source content is not resolved' END AS failure_detail
+FROM events e LEFT JOIN library l ON l.doc_id = e.user_id WHERE e.event_type = 'purchase'""")
+def _(spark, d):
+    asked = s.table(spark, d, "events").where(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("doc_id"))
+    # Files left in place have no hash of their own until they are read.
+    lib = s.library(spark, d).withColumn("content_hash", F.when(is_managed(F.col("ref")), F.col("content_hash")))
+    return library.plan_copies(lib, asked).select("seq", "doc_id", "source_key", "new_key", "failure_code", "failure_detail")
+
+
+@query("import_files", with_(LIBRARY, FILES) + f"""
+, accepted AS (SELECT split_part(path, '/', -1) AS display_name, sha256(body) AS content_hash, strlen(body)::BIGINT AS size_bytes, path
+  FROM files WHERE good),
+firsts AS (SELECT arg_min(display_name, path) AS display_name, content_hash, any_value(size_bytes) AS size_bytes FROM accepted GROUP BY 2)
+SELECT owner_id, doc_id, display_name, size_bytes, content_hash, collection_id FROM library
+UNION ALL
+SELECT 'import', (SELECT max(doc_id) FROM library) + row_number() OVER (ORDER BY display_name), display_name, size_bytes, content_hash, NULL
+FROM firsts""")
+def _(spark, d):
+    out = library.import_files(s.library(spark, d), s.files(spark, d), "import", NOW)
+    return out.select("owner_id", "doc_id", "display_name", "size_bytes", "content_hash", "collection_id")
+
+
 @query("publish_snapshot", with_(LIBRARY) + f"SELECT {COLS} FROM library")
 def _(spark, d):
     target = shared_path(spark, "library")

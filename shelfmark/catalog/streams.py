@@ -62,13 +62,25 @@ def _(spark, d):
 SELECT path, CASE WHEN NOT good THEN 'document_corrupt' END AS failure_code,
        CASE WHEN good THEN sha256(body) END AS content_hash, strlen(body)::BIGINT AS size_bytes FROM files""")
 def _(spark, d):
+    return _intake(spark, d).select("path", "failure_code", "content_hash", "size_bytes")
+
+
+def _intake(spark, d):
+    """The files arrive in three batches."""
     landing = shared_path(spark, "landing")
-    s.files(spark, d).write.parquet(landing)
+    s.files(spark, d).repartition(6, "path").write.parquet(landing)
     arriving = spark.readStream.schema("path string, length long, content binary").option(
-        "maxFilesPerTrigger", 4).parquet(landing)
+        "maxFilesPerTrigger", 2).parquet(landing)
     target = shared_path(spark, "intake")
     _finish(intake_stream(arriving, target, shared_path(spark, "checkpoint")))
-    return read_intake(spark, target).select("path", "failure_code", "content_hash", "size_bytes")
+    return read_intake(spark, target)
+
+
+@query("intake_first_copies", with_(FILES) + """
+SELECT sha256(body) AS content_hash, count(*) AS files, 1::BIGINT AS first_copies FROM files WHERE good GROUP BY 1""")
+def _(spark, d):
+    return _intake(spark, d).where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(~F.col("seen_before")).alias("first_copies"))
 
 
 @query("command_stream", LIBRARY_SQL["apply_commands"])

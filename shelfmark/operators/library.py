@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.functions.documents import address_of
 from shelfmark.functions.text import literal_pattern, may_contain
+from shelfmark.operators.intake import classify_intake, content_address
 from shelfmark.plans.ranking import with_global_index
 from shelfmark.plans.skew import dimension_join, few_against_many
 
@@ -228,18 +229,60 @@ def upgrade_schema(library: DataFrame, collections: DataFrame | None = None) ->
     return library, collections
 
 
-def duplicate_documents(library: DataFrame, requests: DataFrame, now) -> DataFrame:
-    """Append one copy per request row ``(seq, doc_id)``.
+def import_files(library: DataFrame, files: DataFrame, owner_id: str, now) -> DataFrame:
+    """Take accepted files into an owner's library: classify, address, skip known content, insert.
+
+    Content the owner already holds and repeats inside the batch (all but the smallest path) are left out.
+    """
+    checked = content_address(classify_intake(files)).where(F.col("failure_code").isNull())
+    first = checked.groupBy("content_hash").agg(F.min_by(F.struct(*checked.columns), F.col("path")).alias("file")).select("file.*")
+    known = of_owner(library, owner_id).where(F.col("ref.kind") == "managed").select("content_hash").distinct()
+    fresh = first.join(known, "content_hash", "left_anti")
+    return insert_documents(library, managed_rows(fresh, F.lit(owner_id)), now)
+
+
+def plan_copies(library: DataFrame, requests: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """What each request ``(seq, doc_id)`` has to copy, or why it cannot.
+
+    A managed row is copied from its storage key. A file left in place has to be resolved first: ``contents``
+    gives ``(doc_id, content_hash, size_bytes)`` of the sources that could be read. Columns: seq, doc_id,
+    source_key (null for a file left in place), content_hash, size_bytes, new_key, failure_code, failure_detail.
+    """
+    asked = requests.select("seq", "doc_id")
+    rows = library.select(
+        "doc_id", F.when(F.col("ref.kind") == "managed", F.col("storage_key")).alias("source_key"),
+        "content_hash", "size_bytes", F.lit(True).alias("__found"))
+    if contents is not None:
+        read = contents.select("doc_id", F.col("content_hash").alias("__hash"), F.col("size_bytes").alias("__size"))
+        rows = rows.join(read, "doc_id", "left").select(
+            "doc_id", "source_key", F.coalesce("content_hash", "__hash").alias("content_hash"),
+            F.coalesce("__size", "size_bytes").alias("size_bytes"), "__found")
+    found = few_against_many(asked, rows, ["doc_id"], ["seq"])
+    missing = asked.join(library.select("doc_id"), "doc_id", "left_anti")
+    every = found.unionByName(missing, allowMissingColumns=True)
+    gone, unread = F.col("__found").isNull(), F.col("content_hash").isNull()
+    return every.select(
+        "seq", "doc_id", "source_key", "content_hash", "size_bytes",
+        F.when(~unread, F.sha2(F.concat_ws("|", "content_hash", F.col("seq").cast("string")), 256)).alias("new_key"),
+        F.when(gone | unread, "document_moved").alias("failure_code"),
+        F.when(gone, "no such document").when(unread, "source content is not resolved").alias("failure_detail"),
+    )
+
+
+def duplicate_documents(library: DataFrame, requests: DataFrame, now, contents: DataFrame | None = None) -> DataFrame:
+    """Append one copy per request row ``(seq, doc_id)`` that ``plan_copies`` can serve.
 
     A copy keeps name, size and content hash, gets a storage key of its own and starts
     without favourite, opened time, page count and collection. The key is salted with
     the request's ``seq``, so a repeated run gives the same key.
     """
-    asked = requests.select("seq", "doc_id")
-    source = few_against_many(asked, library.drop("page_count"), ["doc_id"], ["seq"])
-    key = F.sha2(F.concat_ws("|", "content_hash", F.col("seq").cast("string")), 256)
+    planned = plan_copies(library, requests, contents).where(F.col("failure_code").isNull()).select(
+        "seq", "doc_id", "new_key", F.col("content_hash").alias("__hash"), F.col("size_bytes").alias("__size"))
+    source = few_against_many(planned, library.drop("page_count"), ["doc_id"], ["seq"])
     copies = (
-        source.withColumn("storage_key", key)
+        source.withColumn("storage_key", F.col("new_key"))
+        .withColumn("content_hash", F.col("__hash"))
+        .withColumn("size_bytes", F.col("__size"))
         .withColumn("display_name", F.concat("display_name", F.lit(" copy")))
         .withColumn("ref", F.struct(
             F.lit("managed").alias("kind"),
@@ -248,6 +291,6 @@ def duplicate_documents(library: DataFrame, requests: DataFrame, now) -> DataFra
             F.lit(None).cast("string").alias("display_name"),
             F.lit(None).cast(schemas.HANDLE).alias("handle"),
         ))
-        .drop("doc_id")
+        .drop("doc_id", "new_key", "__hash", "__size")
     )
     return insert_documents(library, copies, now, order="seq")

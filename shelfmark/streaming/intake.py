@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.intake import classify_intake, content_address
-from shelfmark.plans.skew import measured_small
+from shelfmark.plans.skew import dimension_join, measured_small
 from shelfmark.schemas import FILES
 
 
@@ -28,7 +28,7 @@ def intake_batch(files: DataFrame) -> DataFrame:
 
 
 def intake_stream(files: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append intake rows below ``target``; content seen in an earlier batch is flagged.
+    """Append intake rows below ``target``; all but the first row of equal content are flagged.
 
     A batch writes to a folder of its own and overwrites it when retried, so a repeated
     batch leaves no second copy, and it compares itself only with earlier batches.
@@ -38,21 +38,20 @@ def intake_stream(files: DataFrame, target: str, checkpoint: str, available_now:
         # The addressed rows are small; keeping them avoids reading the bytes again.
         rows = intake_batch(batch).persist()
         try:
-            seen = F.lit(False)
-            out = rows
+            first = rows.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("path").alias("__first"))
+            facts = first.withColumn("__known", F.lit(False))
             if batch_id > 0:
-                new = rows.where(F.col("content_hash").isNotNull()).select("content_hash").distinct()
                 earlier = (
                     spark.read.schema("content_hash string, batch_id long").option("basePath", target).parquet(target)
                     .where(F.col("batch_id") < batch_id).select("content_hash")
                 )
-                if measured_small(new):
-                    known = earlier.join(F.broadcast(new), "content_hash", "left_semi").distinct()
-                else:
-                    known = new.join(earlier.distinct(), "content_hash", "left_semi")
-                out = rows.join(known.withColumn("__known", F.lit(True)), "content_hash", "left")
-                seen = F.coalesce("__known", F.lit(False))
-            out.withColumn("seen_before", seen).drop("__known").write.mode("overwrite").parquet(
+                few = first.select("content_hash")
+                known = earlier.join(F.broadcast(few) if measured_small(few) else few, "content_hash", "left_semi").distinct()
+                facts = first.join(known.withColumn("__seen", F.lit(True)), "content_hash", "left").select(
+                    "content_hash", "__first", F.coalesce("__seen", F.lit(False)).alias("__known"))
+            seen = F.coalesce(F.col("__known") | (F.col("path") != F.col("__first")), F.lit(False))
+            out = dimension_join(rows, facts, ["content_hash"], ["path"])
+            out.withColumn("seen_before", seen).drop("__known", "__first").write.mode("overwrite").parquet(
                 f"{target.rstrip('/')}/batch_id={batch_id}"
             )
         finally:

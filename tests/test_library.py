@@ -1,7 +1,8 @@
+import hashlib
 from datetime import datetime
 
 import pytest
-from helpers import collections, doc, library, values
+from helpers import collections, doc, files, library, values
 from pyspark.sql import functions as F
 
 from shelfmark.functions.documents import tile_line
@@ -182,3 +183,25 @@ def test_duplicate_is_a_distinct_copy(spark):
 def test_tile_line(spark, size, pages, managed, line):
     df = spark.createDataFrame([(size, pages, managed)], "s long, p int, m boolean")
     assert df.select(tile_line(F.col("s"), F.col("p"), F.col("m"))).first()[0] == line
+
+
+def test_import_skips_known_content(spark):
+    known = hashlib.sha256(b"%PDF1").hexdigest()
+    df = library(spark, doc(1, "old", digest=known), doc(2, "other", owner="p"))
+    batch = files(spark, a=b"%PDF1", b=b"%PDF2", c=b"%PDF2", d=b"nope")
+    out = lib.import_files(df, batch, "o", "2026-06-01")
+    assert sorted(values(out, "doc_id", "owner_id", "display_name")) == [(1, "o", "old"), (2, "p", "other"), (3, "o", "b.pdf")]
+    assert sorted(values(lib.import_files(df, batch, "p", "2026-06-01").where("doc_id > 2"), "display_name")) == ["a.pdf", "b.pdf"]
+
+
+def test_copies_of_unread_files_fail(spark):
+    df = library(spark, doc(1, "m.pdf"), doc(2, "x.pdf", kind="external")).withColumn(
+        "content_hash", F.when(F.col("ref.kind") == "managed", F.col("content_hash")))
+    asked = spark.createDataFrame([(10, 1), (11, 2), (12, 77)], "seq long, doc_id long")
+    got = {r.seq: r for r in lib.plan_copies(df, asked).collect()}
+    assert got[10].failure_code is None and got[10].source_key == "hash-m.pdf"
+    assert [got[i].failure_detail for i in (11, 12)] == ["source content is not resolved", "no such document"]
+    assert lib.duplicate_documents(df, asked, "2026-06-01").count() == 3
+    read = spark.createDataFrame([(2, "h2", 9)], "doc_id long, content_hash string, size_bytes long")
+    copy = lib.duplicate_documents(df, asked, "2026-06-01", read).where("display_name = 'x.pdf copy'").first()
+    assert (copy.content_hash, copy.size_bytes, copy.ref.content_hash) == ("h2", 9, "h2")
