@@ -66,6 +66,7 @@ def test_recents_per_owner_equals_recents_of_each(spark):
     for owner in ("o0", "o1", "o2"):
         alone = values(lib.recents(df.where(F.col("owner_id") == owner), 4), "doc_id")
         assert values(per.where(F.col("owner_id") == owner).orderBy("recent_rank"), "doc_id") == alone
+    assert sorted(values(lib.recents_per_owner(df, 2000), "doc_id")) == list(range(30))
 
 
 def test_favorites_and_collections(spark):
