@@ -241,3 +241,16 @@ def test_generated_documents(spark, n):
     assert page_ops.text_stats(df).first().pages == n
     got = search.hit_navigation(df, "page").where(f"hit_number = {n}").first()
     assert (got.page_index, got.hit_count, got.next_page) == (n - 1, n, None)
+
+
+def test_line_boxes_of_many_and_mixed_lines(spark):
+    from shelfmark.functions.text import line_boxes
+
+    rects = [(float(i % 7), float(i % 5) * 10, float(i % 7) + 1, float(i % 5) * 10 - 5 - i % 3) for i in range(60)]
+    df = pages(spark, (1, 0, "x" * 60, rects), (2, 0, "", []))
+    got = {r.doc_id: [tuple(b) for b in r.b] for r in df.select("doc_id", line_boxes(F.col("char_rects")).alias("b")).collect()}
+    want = []
+    for top in dict.fromkeys(r[1] for r in rects):
+        line = [r for r in rects if r[1] == top]
+        want.append((min(r[0] for r in line), top, max(r[2] for r in line), min(r[3] for r in line)))
+    assert got == {1: want, 2: []}
