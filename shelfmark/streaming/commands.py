@@ -1,6 +1,7 @@
 """The command fold as a stream of micro-batches over published snapshots."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.commands import apply_commands, apply_to_collections
@@ -12,30 +13,35 @@ def command_stream(
 ) -> StreamingQuery:
     """Fold each batch into the published library and collections.
 
-    Both snapshots store the last batch id. A repeated batch is skipped where it was
-    already published, so the result equals one fold of the whole log as long as ``seq``
-    grows from batch to batch. Collections are published last: a batch that failed in
-    between still finds the collections it started from.
+    Both snapshots store the last batch id and the largest ``seq`` they have folded. A repeated batch is
+    skipped where it was already published. A command that comes after a later one was folded cannot be
+    put in its place any more: it changes nothing and is kept below ``_late`` of the library's folder, so
+    the result equals one fold of all other commands. Collections are published last: a batch that
+    failed in between still finds the collections it started from.
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
-            done_library = current_tag(spark, library_target)
-            done_collections = current_tag(spark, collections_target)
-            if done_library is None or done_library < batch_id:
-                library = read_published(spark, library_target)
-                collections = read_published(spark, collections_target)
-                publish_audited(
-                    spark, lambda: apply_commands(library, collections, batch).select(*library.columns),
-                    library_target, tag=batch_id, allow_empty=True,
-                )
-            if done_collections is None or done_collections < batch_id:
-                collections = read_published(spark, collections_target)
-                publish_audited(
-                    spark, lambda: apply_to_collections(collections, batch),
-                    collections_target, tag=batch_id, allow_empty=True,
-                )
+            newest = batch.agg(F.max("seq")).first()[0]
+
+            def publish(target: str, apply) -> None:
+                done = current_tag(spark, target) or {"batch": -1, "seq": None}
+                if done["batch"] >= batch_id:
+                    return
+                seq = done["seq"]
+                on_time = batch if seq is None else batch.where(F.col("seq") > seq)
+                if seq is not None and target == library_target:
+                    late = batch.where(F.col("seq") <= seq)
+                    if not late.isEmpty():
+                        late.write.mode("overwrite").parquet(f"{target.rstrip('/')}/_late/batch_id={batch_id}")
+                seen = [x for x in (seq, newest) if x is not None]
+                publish_audited(spark, lambda: apply(on_time), target, allow_empty=True,
+                                tag={"batch": batch_id, "seq": max(seen, default=None)})
+
+            library, collections = read_published(spark, library_target), read_published(spark, collections_target)
+            publish(library_target, lambda log: apply_commands(library, collections, log).select(*library.columns))
+            publish(collections_target, lambda log: apply_to_collections(collections, log))
         finally:
             batch.unpersist()
 

@@ -46,7 +46,7 @@ def test_command_stream_equals_one_fold(spark, tmp_path):
         commands(spark, *log[i * 30:(i + 1) * 30]).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schemas.COMMANDS).parquet(source)
         command_stream(stream, lt, ct, cp).awaitTermination()
-        assert current_tag(spark, lt) == current_tag(spark, ct) == i
+        assert current_tag(spark, lt) == current_tag(spark, ct) == {"batch": i, "seq": i * 30 + 29}
     assert state(read_published(spark, lt)) == expected
     # A repeated batch id changes nothing.
     stream = spark.readStream.schema(schemas.COMMANDS).parquet(source)
@@ -54,6 +54,18 @@ def test_command_stream_equals_one_fold(spark, tmp_path):
     assert state(read_published(spark, lt)) == expected
 
 
+def test_late_commands_are_kept_aside(spark, tmp_path):
+    lt, ct, cp, source = (str(tmp_path / n) for n in ("lib", "cols", "cp", "log"))
+    publish_audited(spark, lambda: library(spark, doc(1, "a")), lt)
+    publish_audited(spark, lambda: collections(spark, (1, "c")), ct)
+    for batch in ([(5, "rename", 1, {"text": "newer"})], [(3, "rename", 1, {"text": "older"}), (6, "set_favorite", 1, {"flag": True})]):
+        commands(spark, *batch).coalesce(1).write.mode("append").parquet(source)
+        command_stream(spark.readStream.schema(schemas.COMMANDS).parquet(source), lt, ct, cp).awaitTermination()
+    row = read_published(spark, lt).first()
+    assert (row.display_name, row.is_favorite) == ("newer", True)
+    assert values(spark.read.parquet(f"{lt}/_late/batch_id=1"), "seq") == [3]
+
+
 def run_to_table(spark, stream, mode, name, tmp_path):
     stream.writeStream.outputMode(mode).format("memory").queryName(name).option(
         "checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start().awaitTermination()
