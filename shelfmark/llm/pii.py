@@ -27,6 +27,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?i:token|key|secret|password|passwd|api_key)[\"']?\x20?[=:]\x20?[\"']?([A-Za-z0-9_+/.-]{16,256})")
+_ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])")
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
 _DIGITS = re.compile(r"[0-9]")
@@ -81,6 +82,8 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
         found += [(5, *m.span(), False) for m in _IBAN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(4, *m.span(1), False) for m in _SECRET.finditer(text)]
+    if "AKIA" in text or "ASIA" in text:
+        found += [(4, *m.span(), False) for m in _ACCESS_KEY.finditer(text)]
     if "(at)" in text or "[at]" in text:
         found += [(6, *m.span(), False) for m in _HANDLE.finditer(text)]
     return found
