@@ -11,6 +11,7 @@ from check_oracles import compare
 from shelfmark.llm import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables are not here")
 
 
@@ -28,10 +29,11 @@ def test_sql_twin(spark, name):
 
 @needs_tables
 def test_pipeline_composes_the_stages(spark):
-    got = corpus_pipeline.run(spark, SF_DIR)
+    """On a thousand documents; two hundred hold too few labels to learn from."""
+    got = corpus_pipeline.run(spark, LARGER)
     rows = {r.doc_id: r for r in got.collect()}
-    docs = {r[0]: r for r in duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall()}
-    toxic = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF_DIR}/labels.parquet' WHERE toxic = 1").fetchall()}
+    docs = {r[0]: r for r in duckdb.sql(f"SELECT doc_id, text FROM '{LARGER}/documents.parquet'").fetchall()}
+    toxic = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{LARGER}/labels.parquet' WHERE toxic = 1").fetchall()}
     assert set(rows) <= set(docs) and len(rows) > 0.6 * len(docs)
     assert len(set(rows) & toxic) < 0.4 * len(toxic)
     assert all(r.repeats in (1, 2) for r in rows.values())
