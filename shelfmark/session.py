@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_made: list[str] = []
+
+
 def build_session(app: str = "shelfmark", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -40,8 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_shared`` removes what was written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process has written, once its results no longer need them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df):
