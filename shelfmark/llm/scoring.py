@@ -16,8 +16,8 @@ from shelfmark.llm.neardup import mix
 
 FOLDS, HELD_OUT = 7, 2
 LARGEST_DISCOUNTED = 5
-CHUNK_BYTES = 12 << 20
-KEYS_PER_BUCKET = 1_000_000
+CHUNK_BYTES = 8 << 20
+KEYS_PER_BUCKET = 600_000
 SLICE_BYTES = 2 << 20
 END = b" "  # no word holds a blank
 
@@ -30,7 +30,7 @@ ANSWER = "chunk string, kind string, bucket bigint, a binary, b binary, stats ar
 def pack(values: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
@@ -326,7 +326,7 @@ def release(spark: SparkSession) -> None:
 
 
 def _stats(answers: DataFrame) -> list[int]:
-    sums = [F.sum(F.element_at("stats", i + 1)) for i in range(LARGEST_DISCOUNTED + 3)]
+    sums = [F.sum(F.try_element_at("stats", F.lit(i + 1))) for i in range(LARGEST_DISCOUNTED + 3)]
     return [int(v or 0) for v in answers.where("chunk IS NULL").agg(*sums).first()]
 
 
@@ -346,18 +346,20 @@ def katz_scores(docs: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> Data
     words, tokens = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     word_buckets, pair_buckets = (max(1, -(-n // keys_per_bucket)) for n in (words, tokens))
 
-    def asked(df: DataFrame, answer, label: str) -> DataFrame:
+    def asked(df: DataFrame, answer, label: str) -> tuple[DataFrame, list[int]]:
         result = stored(df.groupBy("bucket").applyInArrow(answer, ANSWER), label)
+        stats = _stats(result)  # also ends Spark's hold on the step before
         release(spark)
-        return result
-
-    word = asked(chunks.mapInArrow(count_words(word_buckets), REQUEST), sum_counts, "words")
-    pair = asked(chunks.mapInArrow(count_pairs(pair_buckets), REQUEST), sum_counts, "pairs")
-    model = Model.of(_stats(word), _stats(pair))
-    replies = word.union(pair).where("chunk IS NOT NULL")
-    sums = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(history_sums(model, word_buckets), REQUEST)
-    history = asked(sums, backoff_weights, "histories")
-    replies = replies.union(history.where("chunk IS NOT NULL"))
+        return result.where("chunk IS NOT NULL"), stats
+
+    word, word_stats = asked(chunks.mapInArrow(count_words(word_buckets), REQUEST), sum_counts, "words")
+    pair, pair_stats = asked(chunks.mapInArrow(count_pairs(pair_buckets), REQUEST), sum_counts, "pairs")
+    model = Model.of(word_stats, pair_stats)
+    replies = word.union(pair)
+    history, _ = asked(
+        chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(history_sums(model, word_buckets), REQUEST),
+        backoff_weights, "histories")
+    replies = replies.union(history)
     schema = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
               "score double, n_pairs_seen bigint")
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(token_scores(model), schema)
