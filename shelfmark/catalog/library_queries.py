@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.catalog.sql import COLLECTIONS, COMMANDS, FILES, FOLD, LIBRARY, NAME, with_
+from shelfmark.catalog.sql import COLLECTIONS, COMMANDS, FILES, FOLD, LIBRARY, with_
 from shelfmark.functions.documents import tile_line
 from shelfmark.functions.refs import decode_ref, encode_ref, is_managed, ref_kind
 from shelfmark.operators import audit, commands, intake, library, references
