@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import slices, stored, text_bytes
 
-RARE_WORDS = 16
 DRIFT = 3
-MIN_VOTES = 3
 COVERAGE = 0.75
+VOTING_SHARE = 0.6
 SLICE_BYTES = 8 << 20
 
 # Phrases of the result's contract: phrase, label.
@@ -67,13 +66,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Word numbers, template postings and the key phrases of each template."""
+    """Word numbers, template words and the key phrases of each template."""
 
     ids: dict[bytes, int] = field(default_factory=dict)
     lengths: list[int] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
     keys: list[list[tuple[int, ...]]] = field(default_factory=list)
-    postings: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     by_template: list[dict[int, list[int]]] = field(default_factory=list)
     base: list[tuple[tuple[int, ...], str]] = field(default_factory=list)
 
@@ -87,7 +85,6 @@ def build_index(templates=TEMPLATES, base=BASE) -> Index:
         words = index.number(text)
         own = defaultdict(list)
         for at, w in enumerate(words):
-            index.postings[w].append((len(index.labels), at))
             own[w].append(at)
         index.by_template.append(own)
         index.labels.append(label)
@@ -123,22 +120,55 @@ def phrase_starts(at: dict[int, int], of: dict[int, list[int]], phrase: tuple[in
     return [p for p in of.get(phrase[0], ()) if all(at.get(p + k) == w for k, w in enumerate(phrase))]
 
 
-def match_templates(at, of, index: Index, idf: list[float]) -> list[tuple[str, int, int, float]]:
+@dataclass
+class Voting:
+    """The places of each template's rarest words, by word, and the weight their votes must reach."""
+
+    postings: dict[int, list[tuple[int, int]]]
+    weights: list[dict[int, float]]
+    needed: list[float]
+
+
+def voting_words(index: Index, idf: list[float]) -> Voting:
+    """Each template's own rarest words, until they hold ``VOTING_SHARE`` of its weight, vote for it.
+
+    A place that covers ``COVERAGE`` of a template misses at most the rest of its weight, so its votes weigh
+    at least the voters' weight without that rest: the bound loses no place.
+    """
+    voting = Voting(defaultdict(list), [], [])
+    for template, own in enumerate(index.by_template):
+        weights = {where: idf[w] for w, spots in own.items() for where in spots}
+        total, held, taken = sum(weights.values()), 0.0, {}
+        for w in sorted(own, key=lambda w: (-idf[w], w)):
+            if held >= VOTING_SHARE * total:
+                break
+            for where in own[w]:
+                voting.postings[w].append((template, where))
+                taken[where] = weights[where]
+                held += weights[where]
+        voting.weights.append(taken)
+        voting.needed.append(held - (1 - COVERAGE) * total - 1e-9)
+    return voting
+
+
+def match_templates(at, of, index: Index, idf: list[float], voting: Voting) -> list[tuple[str, int, int, float]]:
     """(label, first word, last word, coverage) of the template places in a document.
 
-    The document's rarest licence words look up their postings; words that agree on where a template begins
-    (within ``DRIFT``) vote for that place; a place with enough votes is compared with the whole
-    template, weighted by IDF, and must hold the template's key phrases.
+    The rarest words of each template vote for the place where it begins (in steps of ``DRIFT``); a place
+    whose votes, with those of the steps the comparison reaches, weigh enough is compared with the whole
+    template, weighted by IDF, and must hold the template's key phrases. Of neighbouring steps that share the
+    words of one place, the one with the most votes counts.
     """
-    rare = sorted(of, key=lambda w: (-idf[w], w))[:RARE_WORDS]
     votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w in rare:
-        for template, where in index.postings.get(w, ()):
+    for w in of.keys() & voting.postings.keys():
+        for template, where in voting.postings[w]:
             for p in of[w]:
-                votes[template, (p - where) // DRIFT].add(w)
-    found = []
-    for (template, cell), voters in list(votes.items()):
-        if len(voters | votes.get((template, cell + 1), set())) < min(MIN_VOTES, index.lengths[template]):
+                votes[template, (p - where) // DRIFT].add(where)
+    found = {}
+    for template, cell in votes:
+        weights, needed = voting.weights[template], voting.needed[template]
+        reached = set().union(*(votes.get((template, c), ()) for c in range(cell - 1, cell + 3)))
+        if sum(weights[where] for where in reached) < needed:
             continue
         start = cell * DRIFT
         total = got = 0.0
@@ -153,10 +183,15 @@ def match_templates(at, of, index: Index, idf: list[float]) -> list[tuple[str, i
         coverage = got / total if total else 0.0
         if coverage < COVERAGE:
             continue
-        low, high = start - 2 * DRIFT, start + index.lengths[template] + 2 * DRIFT
-        if all(any(low <= p <= high for p in phrase_starts(at, of, key)) for key in index.keys[template]):
-            found.append((index.labels[template], max(0, start), last, min(1.0, coverage)))
-    return found
+        reach = range(start - 2 * DRIFT, start + index.lengths[template] + 2 * DRIFT + 1)
+        if all(any(all(at.get(p + k) == w for k, w in enumerate(key)) for p in reach) for key in index.keys[template]):
+            own = sum(weights[where] for where in votes[template, cell])
+            found[template, cell] = (own, (index.labels[template], max(0, start), last, min(1.0, coverage)))
+    return [
+        match for (template, cell), (own, match) in found.items()
+        if own >= voting.needed[template]
+        or all(own >= found.get((template, c), (0,))[0] for c in range(cell - 2, cell + 3))
+    ]
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
@@ -173,6 +208,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     n = hits.count()
     frequency = {r.word: r["count"] for r in counted}
     idf = [log((n + 1) / (frequency.get(w, 0) + 1)) + 0.01 for w in range(len(index.ids))]
+    voting = voting_words(index, idf)
     schema = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
               "labels string, score double, n_matches bigint")
 
@@ -188,7 +224,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
                     here = phrase_starts(at, of, phrase)
                     starts += here
                     plain |= {label} if here else set()
-                matches = match_templates(at, of, index, idf)
+                matches = match_templates(at, of, index, idf, voting)
                 labels = plain | {m[0] for m in matches}
                 score = 1.0 if plain else max((m[3] for m in matches), default=0.0)
                 out.append((doc_id, n_words, len(starts), min(starts, default=None), max(starts, default=None),

@@ -52,3 +52,14 @@ def test_key_phrases_are_mandatory(spark):
     text = dict((label, t) for label, t, _ in licenses.TEMPLATES)["unlicense"]
     got = licenses.scan(docs(spark, [text, text.replace("public domain", "domain public")])).orderBy("doc_id").collect()
     assert [r.labels for r in got] == ["unlicense", ""]
+
+
+def test_all_licences_of_one_file_are_found(spark):
+    """Many licences in one file share more rare words than one licence has; each is still found."""
+    rng = random.Random(3)
+    whole = "\n".join(f"{sentence(rng, 30)}\n{text}" for _, text, _ in licenses.TEMPLATES)
+    texts = [whole, f"{licenses.TEMPLATES[4][1]}\n{sentence(rng, 40)}\n{licenses.TEMPLATES[16][1]}", *[sentence(rng, 50)] * 30]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got[1].labels == ",".join(sorted({label for label, *_ in licenses.TEMPLATES}))
+    assert got[1].n_matches >= len(licenses.TEMPLATES) and got[1].score == 1
+    assert got[2].labels.split(",") == ["gpl", "zlib"] and got[3].labels == ""
