@@ -63,7 +63,7 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class MultiIndex:
-    """Centroids of both halves, the bound on the norm, and how many entries each pair of centroids has."""
+    """Centroids of both halves, the bound on the norm, and the share of ids in each pair of centroids."""
 
     first: np.ndarray
     second: np.ndarray
@@ -107,8 +107,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit_index(vectors: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS) -> MultiIndex | None:
-    """Fit the centroids on the ``sample_rows`` vectors with the smallest hashes of their ids."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").collect()
+    """Fit the centroids on the ``sample_rows`` vectors with the smallest hashes of id and vector."""
+    rows = vectors.orderBy(F.xxhash64("vec_id", "vector"), "vec_id", "vector").limit(sample_rows).select("vector").collect()
     if not rows:
         return None
     norm = vectors.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
@@ -125,8 +125,8 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each id divisible by ``every``.
 
-    All usable vectors are indexed. A query visits cells in the order of their summed centroid distance
-    until it has met ``share`` of all entries; these are ranked by the inner product of the original vectors in
+    All usable vectors are indexed, repeated rows once. A query visits cells in the order of their summed centroid
+    distance until it has met ``share`` of all entries, of which an id's vectors share one; these are ranked by the inner product of the original vectors in
     double precision, ties by the smaller id. A row of cells is cut into blocks of about ``block_rows``
     entries, so a crowded cell is met by many tasks.
 
@@ -134,7 +134,7 @@ def search(
     """
     spark = df.sparkSession
     out = "query_id bigint, vec_id bigint, score double"
-    vectors = stored(usable(df), "vectors")
+    vectors = stored(usable(df).distinct(), "vectors")
     index = fit_index(vectors, centroids, sample_rows)
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -147,12 +147,14 @@ def search(
 
     entries = stored(vectors.mapInArrow(place, "vec_id bigint, vector array<double>, cell int"), "entries")
     width = len(index.second)
-    index.counts = np.zeros(len(index.first) * width, np.int64)
-    for r in entries.groupBy("cell").count().collect():
-        index.counts[r.cell] = r["count"]
-    total = int(index.counts.sum())
-    wanted = max(VISITED_LEAST, int(np.ceil(share * total)))
-    blocks = np.ceil(index.counts.reshape(-1, width).sum(1) / block_rows).astype(int)
+    index.counts, sizes = np.zeros(len(index.first) * width), np.zeros(len(index.first) * width, np.int64)
+    placed = entries.groupBy("vec_id", "cell").count()
+    per_id = placed.groupBy("vec_id").agg(F.sum("count").alias("all"))
+    for r in placed.join(per_id, "vec_id").groupBy("cell").agg(
+        F.sum("count").alias("n"), F.sum(F.col("count") / F.col("all")).alias("share")).collect():
+        index.counts[r.cell], sizes[r.cell] = r["share"], r["n"]
+    wanted = max(VISITED_LEAST, int(np.ceil(share * index.counts.sum())))
+    blocks = np.ceil(sizes.reshape(-1, width).sum(1) / block_rows).astype(int)
     n_queries = vectors.where(F.col("vec_id") % every == 0).count()
     query_blocks = max(1, -(-n_queries // query_block))
 
@@ -195,6 +197,7 @@ def search(
             x = _matrix(left.column("vector").combine_chunks())
             vec_ids, cells = left.column("vec_id").to_numpy(), left.column("cell").to_numpy()
             keep = _least_ids(x, vec_ids, k + 1)
+            keep = keep[np.argsort(vec_ids[keep], kind="stable")]
             x, vec_ids, cells = x[keep], vec_ids[keep], cells[keep]
             q = _matrix(right.column("vector").combine_chunks())
             approx = q @ x.T
@@ -205,10 +208,14 @@ def search(
                 at = np.flatnonzero(here[cells] & (vec_ids != query))
                 if len(at) > k:
                     value = approx[n, at]
-                    edge = np.partition(value, len(at) - k)[len(at) - k]
-                    at = at[value >= edge - 1e-9 * (1 + abs(edge))]
+                    fresh = np.flatnonzero(np.r_[True, vec_ids[at][1:] != vec_ids[at][:-1]])
+                    if len(fresh) > k:  # the vectors of an id stand together; the best of each counts
+                        top = np.maximum.reduceat(value, fresh)
+                        edge = np.partition(top, len(top) - k)[len(top) - k]
+                        at = at[value >= edge - 1e-9 * (1 + abs(edge))]
                 score = (x[at] * q[n]).sum(-1)
-                best = np.lexsort((vec_ids[at], -score))[:k]
+                best = np.lexsort((vec_ids[at], -score))
+                best = best[np.sort(np.unique(vec_ids[at][best], return_index=True)[1])[:k]]
                 ids.append((query, len(best)))
                 rows.append((vec_ids[at][best], score[best]))
         return pa.table([

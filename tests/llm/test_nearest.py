@@ -63,3 +63,34 @@ def test_vectors_that_take_no_part(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 20, 0.5), (20, 1, 1, 1.0), (20, 2, 0, 0.5)]
     assert nearest.search(table(spark, [])).count() == 0
     assert nearest.search(table(spark, [(3, [0.0])])).count() == 0
+
+
+def neighbours(spark, rows, **sizes):
+    got = {}
+    found = nearest.search(table(spark, rows), **sizes).collect()
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_repeated_rows_push_no_neighbour_out(spark):
+    x = vectors(200, 8)
+    rows = list(zip(range(200), x.tolist(), strict=True))
+    want = {q: [i for i, _ in brute(list(range(200)), x.astype(float), q)] for q in range(0, 200, 20)}
+    sizes = {"share": 1.0, "block_rows": 100_000, "query_block": 100}
+    assert neighbours(spark, rows, **sizes) == want
+    longest = int(np.argmax((x.astype(float) ** 2).sum(1)))
+    assert neighbours(spark, rows + [rows[longest]] * 30, **sizes) == want
+    assert neighbours(spark, rows * 2, **sizes) == want
+
+
+def test_an_id_with_many_vectors_is_one_neighbour(spark):
+    x = vectors(100, 8)
+    own = vectors(60, 8, 4)
+    rows = [*zip(range(100), x.tolist(), strict=True), *((999, (v * 9).tolist()) for v in own)]
+    got = neighbours(spark, rows, share=1.0, block_rows=100_000, query_block=100)
+    wide, many = x.astype(float), (own * 9).astype(float)
+    for q in range(0, 100, 20):
+        score = {i: float((wide[i] * wide[q]).sum()) for i in range(100) if i != q}
+        score[999] = float((many * wide[q]).sum(1).max())
+        assert got[q] == sorted(score, key=lambda i: (-score[i], i))[:20]
