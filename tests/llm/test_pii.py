@@ -69,3 +69,12 @@ def test_em_trusts_agreeing_labelers():
     p = pii.estimate(counts)
     assert p[code(yes, yes, yes, yes, off)] > 0.95 and p[code(no, no, no, no, off)] < 0.05
     assert pii._cast(code(yes, off, no, yes, off)) == (0, (yes, off, no, yes, off))
+
+
+def test_a_long_secret_is_replaced_to_its_end(spark):
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(16))[:1000]
+    rows = [*[f'we keep token = "{hashlib.md5(str(i).encode()).hexdigest()}" here' for i in range(30)], f"the token={long} ends"]
+    got = {r.doc_id: r.text for r in pii.redact(docs(spark, rows)).collect()}
+    assert got[31] == "the token=<secret> ends" and got[1] == 'we keep token = "<secret>" here'
+    spans = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert "secret:10:1010" in spans[31].split(",")
