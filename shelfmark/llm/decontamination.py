@@ -1,5 +1,7 @@
 """Benchmark decontamination by template canonicalisation."""
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,15 +17,17 @@ NUMBER, NAME, UNIT = "0", "1", "2"
 UNITS = ("kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|ms|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|"
          "years?|miles?|meters?|metres?|feet|inch(?:es)?|dollars?|euros?|cents?|percent|usd|eur|gb|mb|kb")
 NUMBERS = r"[0-9](?:[0-9.,:/]*[0-9])?"
+INSIDE_NUMBER = r"(?<=[0-9])[.,:/]+(?=[0-9])"
 NAMES = r"\p{Lu}(?<=[\p{Ll}02,;][ \t]\p{Lu})\p{L}*"
 AFTER_NUMBER = rf"0([ ]?)(?i:{UNITS})(?![\p{{L}}0])"
-BLANKS = "\t\n\x0b\x0c\r"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BLANKS = "\t\n\x0b\x0c\r\x85"
+# All punctuation, symbols and blanks of Unicode. One table of characters costs less than a pattern.
+MARKS = "".join(c for c in map(chr, range(33, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "PSZ")
 
 
 def _words(text: Column) -> Column:
-    """Blank-separated words without ASCII punctuation; words of punctuation only are no words."""
-    return F.array_remove(F.split(F.translate(text, BLANKS + PUNCTUATION, " " * len(BLANKS)), " "), "")
+    """Blank-separated words without punctuation and symbols; words of these only are no words."""
+    return F.array_remove(F.split(F.translate(text, BLANKS + MARKS, " " * len(BLANKS + MARKS)), " "), "")
 
 
 def template_words(text: Column) -> Column:
@@ -38,6 +42,11 @@ def template_words(text: Column) -> Column:
     return _words(F.lower(text))
 
 
+def original_words(text: Column) -> Column:
+    """The words of the text at the positions of ``template_words``; a number is one word."""
+    return _words(F.regexp_replace(text, INSIDE_NUMBER, ""))
+
+
 def is_slot(word: Column) -> Column:
     """Whether a template word begins with a placeholder: nothing else in a template sorts before "3"."""
     return word < "3"
@@ -58,7 +67,7 @@ def windows(df: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
             key,
             F.transform("__words", lambda w: F.when(is_slot(w), F.xxhash64(w).bitwiseOR(high))
                         .otherwise(F.xxhash64(w).bitwiseAND(low))).alias("__hashes"),
-            F.when(F.exists("__words", is_slot), _words(F.col("text"))).alias("__raw"),
+            F.when(F.exists("__words", is_slot), original_words(F.col("text"))).alias("__raw"),
         )
     )
     part = lambda i: [F.element_at("__hashes", i + k) for k in range(width)]

@@ -64,3 +64,12 @@ def test_filter_keeps_clean_documents(spark):
     left = decontamination.without_contaminated(rows, items(spark, [ITEM]))
     assert {r.doc_id for r in left.collect()} >= {2, 3, 4} and 1 not in {r.doc_id for r in left.collect()}
     assert left.columns == rows.columns
+
+
+def test_typographic_marks_are_no_part_of_words(spark):
+    plain = ("it isn't the one that we've found in the old house - they don't say \"who\" had it... "
+             "but nobody else there hasn't seen what lay below").lower()
+    curly = plain.replace("'", "\u2019").replace(" - ", "\u2014").replace('"who"', "\u201cwho\u201d").replace("...", "\u2026")
+    rng = random.Random(8)
+    texts = [f"{sentence(rng, 20)} {t} {sentence(rng, 20)}" for t in (plain, curly, curly.replace(" ", "\u00a0"))]
+    assert set(found(spark, texts, [plain, curly])) == {(i, j) for i in (1, 2, 3) for j in (1, 2)}
