@@ -14,12 +14,17 @@ CONTAINMENT = 0.8
 CONSISTENCY = 0.8
 # Every digit of a text becomes part of NUMBER, so these three characters mean nothing else in a template.
 NUMBER, NAME, UNIT = "0", "1", "2"
-UNITS = ("kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|ms|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|"
-         "years?|miles?|meters?|metres?|feet|inch(?:es)?|dollars?|euros?|cents?|percent|usd|eur|gb|mb|kb")
+UNITS = ("kg|g|mg|lbs?|oz|km|m|cm|mm|mi|ft|yd|in|l|ml|cl|s|ms|min|h|hrs?|ha|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
+         "decades?|centur(?:y|ies)|miles?|(?:kilo|centi|milli)?met(?:er|re)s?|(?:kilo|milli)?grams?|(?:centi|milli)?lit(?:er|re)s?|"
+         "feet|foot|inch(?:es)?|yards?|pounds?|ounces?|tons?|tonnes?|gallons?|quarts?|pints?|cups?|acres?|hectares?|degrees?|"
+         "mph|kph|kmh|k?w|kwh|watts?|volts?|dollars?|euros?|cents?|pence|percent|usd|eur|gbp|gb|mb|kb|tb")
 NUMBERS = r"[0-9](?:[0-9.,:/]*[0-9])?"
 INSIDE_NUMBER = r"(?<=[0-9])[.,:/]+(?=[0-9])"
-NAMES = r"\p{Lu}(?<=[\p{Ll}02,;][ \t]\p{Lu})\p{L}*"
-AFTER_NUMBER = rf"0([ ]?)(?i:{UNITS})(?![\p{{L}}0])"
+# What may stand between a name and the word before it: blanks, opening brackets and quotes.
+GAP = r"[\s\p{Z}\p{Ps}\p{Pi}\"']{1,4}"
+NAMES = rf"\p{{Lu}}(?<=[\p{{Ll}}02,;]{GAP}\p{{Lu}})\p{{L}}*"
+CASED = rf"{NAMES}|(?<!\p{{L}})\p{{Lu}}(?:\p{{Ll}}\p{{L}}*|(?!\p{{L}}))"
+AFTER_NUMBER = rf"0([\s\p{{Z}}-]{{0,3}})(?i:{UNITS})(?![\p{{L}}0])"
 BLANKS = "\t\n\x0b\x0c\r\x85"
 # All punctuation, symbols and blanks of Unicode. One table of characters costs less than a pattern.
 MARKS = "".join(c for c in map(chr, range(33, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "PSZ")
@@ -30,15 +35,17 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS + MARKS, " " * len(BLANKS + MARKS)), " "), "")
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, names: str | None = NAMES) -> Column:
     """Lower-cased words with numbers, names and units replaced by typed placeholders.
 
-    A name is a capitalised word after a lower-case letter, number, unit, comma or semicolon; a unit stands
-    after a number. No replacement touches a blank, so word and placeholder share a position.
+    A name is what ``names`` matches: a capitalised word after a lower-case letter, number, unit, comma or
+    semicolon (``NAMES``), any capitalised word (``CASED``) or none; a unit stands after a number. No
+    replacement touches a blank, so word and placeholder share a position.
     """
     text = F.regexp_replace(F.coalesce(text, F.lit("")), NUMBERS, NUMBER)
     text = F.regexp_replace(text, AFTER_NUMBER, f"{NUMBER}$1{UNIT}")
-    text = F.regexp_replace(text, NAMES, NAME)
+    if names:
+        text = F.regexp_replace(text, names, NAME)
     return _words(F.lower(text))
 
 
@@ -52,7 +59,7 @@ def is_slot(word: Column) -> Column:
     return word < "3"
 
 
-def windows(df: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
+def windows(df: DataFrame, key: str, width: int = WINDOW, names: str | None = CASED) -> DataFrame:
     """(key, pos, window, words): hashed template windows of ``width`` words of each text.
 
     ``words`` holds the original words of windows with a slot, so slots can be compared without
@@ -61,7 +68,7 @@ def windows(df: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
     """
     low, high = F.lit((1 << 63) - 1), F.lit(-(1 << 63))
     prepared = (
-        df.select(key, "text", template_words(F.col("text")).alias("__words"))
+        df.select(key, "text", template_words(F.col("text"), names).alias("__words"))
         .where(F.size("__words") >= width)
         .select(
             key,
@@ -91,16 +98,19 @@ def contaminated(
 
     A pair (doc_id, item_id) is returned when at least ``containment`` of the item's template windows
     occur in the document and at least ``consistency`` of its slot values are replaced by one value
-    each, the same at every place of a passage. ``n_changed`` counts slot values that differ.
+    each, the same at every place of a passage. ``n_changed`` counts slot values that differ. Blanks, line
+    breaks and the case of words do not matter; a capitalised word may stand for a name anywhere.
 
     Null or short texts and items (under ``width`` words) match nothing; rows that share an id are
     judged together; a null id is an id like others; empty tables give no rows; other columns are not read.
     """
-    # Inside a document an item's first word may stand where it reads as a name: both readings count.
+    # A document's capitalised words are all read as names. Of an item every reading counts that a document may show: all
+    # capitalised words, those inside a sentence or none as names, and a plain first word before any of them.
+    items = benchmark.select("item_id", "text")
+    plain_first = items.withColumn("text", F.concat(F.lower(F.substring("text", 1, 1)), F.expr("substring(text, 2)")))
+    readings = [windows(df, "item_id", width, names) for df in (items, plain_first) for names in (CASED, NAMES, None)]
     item = (
-        windows(benchmark.select("item_id", "text"), "item_id", width)
-        .unionByName(windows(benchmark.select("item_id", F.concat(F.lit("a "), "text").alias("text")), "item_id", width)
-                     .where("pos = 2").withColumn("pos", F.lit(1)))
+        reduce(DataFrame.unionByName, readings)
         .select(F.struct("item_id").alias("item"), F.col("pos").alias("item_pos"), "window", F.col("words").alias("item_words"))
         .dropDuplicates(["item", "item_pos", "window"])
     )

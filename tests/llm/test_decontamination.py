@@ -73,3 +73,21 @@ def test_typographic_marks_are_no_part_of_words(spark):
     rng = random.Random(8)
     texts = [f"{sentence(rng, 20)} {t} {sentence(rng, 20)}" for t in (plain, curly, curly.replace(" ", "\u00a0"))]
     assert set(found(spark, texts, [plain, curly])) == {(i, j) for i in (1, 2, 3) for j in (1, 2)}
+
+
+TOM = ("Tom has 5 apples in a basket. Tom gives 2 of them to his sister and walks 3 miles home. "
+       "Tom then eats (with Alice) 1 apple before dinner today.")
+
+
+def test_names_at_any_place_other_blanks_case_and_units(spark):
+    rng = random.Random(9)
+    other = TOM.replace("Tom", "Bob")
+    texts = [TOM, other, TOM.lower(), TOM.replace(" ", "\n\n"), other.replace(" Bob", "\n\nBob").replace("(with Alice)", "(with Carol)"),
+             other.replace("miles", "kilometers"), TOM.replace(" ", "  "), TOM.replace("3 miles", "12.5 yards"), sentence(rng, 60),
+             TOM.replace("Tom has", "Bob has").replace("Tom gives", "Eve gives").replace("Tom then", "Kim then").replace("5", "6")]
+    texts = [f"{sentence(rng, 20)}.\n{t}\n{sentence(rng, 20)}" for t in texts]
+    got = found(spark, texts, [TOM])
+    assert set(got) >= {(i, 1) for i in range(1, 9)} and (9, 1) not in got
+    assert got[1, 1].n_changed == 0 and got[1, 1].n_found == got[1, 1].n_windows
+    assert got[2, 1].n_kept == got[2, 1].n_slots and got[2, 1].n_found == got[2, 1].n_windows
+    assert (10, 1) not in got or got[10, 1].n_kept < got[10, 1].n_slots
