@@ -156,6 +156,12 @@ def _slots() -> Column:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(F.broadcast(bad) if measured_small(bad) else bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark item.
+
+    Rows that share an id go together; a row without an id is judged by its own text.
+    """
+    own = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    keyed = docs.withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("row"), own))
+    bad = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark)
+    bad = bad.select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(F.broadcast(bad) if measured_small(bad) else bad, "__key", "left_anti").select(*docs.columns)

@@ -91,3 +91,9 @@ def test_names_at_any_place_other_blanks_case_and_units(spark):
     assert got[1, 1].n_changed == 0 and got[1, 1].n_found == got[1, 1].n_windows
     assert got[2, 1].n_kept == got[2, 1].n_slots and got[2, 1].n_found == got[2, 1].n_windows
     assert (10, 1) not in got or got[10, 1].n_kept < got[10, 1].n_slots
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    rows = docs(spark, [ITEM, "clean", (None, ITEM), (None, "kept"), (None, None)])
+    left = decontamination.without_contaminated(rows, items(spark, [ITEM])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "kept"), (2, "clean")]
