@@ -89,18 +89,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(x, m, y, known, check, rounds: int = ROUNDS) -> Views:
+def co_train(x, m, y, known, check, rounds: int = ROUNDS, weight=None) -> Views:
     """Fit both views on the labelled rows; in each round a view labels its most confident rows for the other.
 
     ``known`` marks labelled rows for fitting, ``check`` labelled rows kept for calibration. Among the
     other rows a view hands over those with a probability of at least ``CONFIDENT`` for a class, the surest
-    first, at most ``CONFIDENT_SHARE`` of the pool in a round and in the classes' known proportion.
+    first, at most ``CONFIDENT_SHARE`` of the pool in a round and in the classes' known proportion. ``weight``
+    of the rows (1 by default) counts in every fit and in that proportion.
     """
+    weight = np.ones(len(y)) if weight is None else weight
     views = [x, m]
     labels = [np.where(known, y, np.nan).astype(float) for _ in views]
     pool = ~known & ~check
-    good = y[known].mean() if known.any() else 0.5
-    fit = lambda k: fit_logistic(views[k][~np.isnan(labels[k])], labels[k][~np.isnan(labels[k])], prior=1.0)
+    good = np.average(y[known], weights=weight[known]) if known.any() else 0.5
+
+    def fit(k):
+        has = ~np.isnan(labels[k])
+        return fit_logistic(views[k][has], labels[k][has], weight[has], prior=1.0)
+
     weights = [fit(0), fit(1)]
     for _ in range(rounds):
         for k in (0, 1):
@@ -115,14 +121,14 @@ def co_train(x, m, y, known, check, rounds: int = ROUNDS) -> Views:
     scale = np.array([[1.0, 0.0], [1.0, 0.0]])
     for k in (0, 1):
         z = np.clip(views[k][rows] @ weights[k], -30, 30)
-        w = fit_logistic(np.c_[z, np.ones(len(z))], y[rows].astype(float), prior=0.1)
+        w = fit_logistic(np.c_[z, np.ones(len(z))], y[rows].astype(float), weight[rows], prior=0.1)
         if len(z):
             scale[k] = w
     model = Views(weights[0], weights[1], scale, np.array([0.0, 1.0, 1.0]))
     a = scale[0, 0] * np.clip(x[rows] @ weights[0], -30, 30) + scale[0, 1]
     b = scale[1, 0] * np.clip(m[rows] @ weights[1], -30, 30) + scale[1, 1]
     if len(a):
-        model.combine = fit_logistic(np.c_[np.ones(len(a)), a, b], y[rows].astype(float), prior=0.1)
+        model.combine = fit_logistic(np.c_[np.ones(len(a)), a, b], y[rows].astype(float), weight[rows], prior=0.1)
     return model
 
 
@@ -167,7 +173,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Views:
     labelled = np.array([r.quality is not None for r in rows], bool)
     y = np.array([r.quality or 0 for r in rows])
     check = labelled & (np.array([split_remainder(r.doc_id, 7) for r in rows], int).reshape(-1) < 2)
-    return co_train(x, m, y, labelled & ~check, check)
+    # The sample has as many rows of either label as there are; weights give back their share among all labelled ids.
+    count = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    scale = {v: n / min(n, LABELLED_ROWS) for v, n in count.items()}
+    mean = sum(count.values()) / max(1, sum(min(n, LABELLED_ROWS) for n in count.values()))
+    weight = np.array([1.0 if r.quality is None else scale[r.quality] / mean for r in rows])
+    return co_train(x, m, y, labelled & ~check, check, weight=weight)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

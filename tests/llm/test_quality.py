@@ -38,3 +38,12 @@ def test_pseudo_labels_teach_the_other_view():
     loss = lambda v: -np.log(np.where(y == 1, v.score(x, m)[1], 1 - v.score(x, m)[1])).mean()
     assert loss(both) <= loss(alone) + 0.02
     assert (both.score(x, m)[2].round() == y).mean() > 0.98
+
+
+def test_a_capped_sample_keeps_the_labels_share(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED_ROWS", 40)
+    rng = random.Random(11)
+    texts = [sentence(rng, 40) for _ in range(400)]
+    marks = [(i + 1, int(i % 8 > 0), 0) for i in range(400)]
+    got = quality.score_quality(docs(spark, texts), labels(spark, marks)).collect()
+    assert np.mean([r.score for r in got]) > 0.75
