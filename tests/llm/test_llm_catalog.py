@@ -16,7 +16,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tabl
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
     assert {*catalog.QUERIES, "pipeline"} <= set(contract.queries())
     assert set(catalog.SQL) <= set(catalog.QUERIES)
 
