@@ -16,7 +16,7 @@ from shelfmark.llm.common import slices, stored, text_bytes
 
 TOP = 10
 BLOCK_POSTINGS = 64
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 QUERY_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
 # Bytes of terms: digits, letters (A to Z lower-cased) and everything beyond ASCII; all others end a term.
