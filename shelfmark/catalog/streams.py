@@ -9,7 +9,7 @@ from shelfmark.session import shared_path
 from shelfmark.sources import sample_tables as s
 from shelfmark.sources.snapshots import publish_audited, read_published
 from shelfmark.streaming.activity import last_opened_stream, pair_operations
-from shelfmark.streaming.commands import command_stream
+from shelfmark.streaming.commands import PARTS, command_stream
 from shelfmark.streaming.intake import intake_stream, read_intake
 
 QUERIES, SQL = {}, {}
@@ -66,13 +66,13 @@ def _(spark, d):
 
 
 def _intake(spark, d):
-    """The files arrive in three batches."""
-    landing = shared_path(spark, "landing")
-    s.files(spark, d).repartition(6, "path").write.parquet(landing)
-    arriving = spark.readStream.schema("path string, length long, content binary").option(
-        "maxFilesPerTrigger", 2).parquet(landing)
-    target = shared_path(spark, "intake")
-    _finish(intake_stream(arriving, target, shared_path(spark, "checkpoint")))
+    """The files arrive in three batches, each in the files Spark writes for it."""
+    landing, target, checkpoint = (shared_path(spark, n) for n in ("landing", "intake", "checkpoint"))
+    files = s.files(spark, d)
+    for turn in range(3):
+        files.where(F.pmod(F.xxhash64("path"), F.lit(3)) == turn).write.mode("append").parquet(landing)
+        arriving = spark.readStream.schema("path string, length long, content binary").parquet(landing)
+        _finish(intake_stream(arriving, target, checkpoint))
     return read_intake(spark, target)
 
 
@@ -86,19 +86,19 @@ def _(spark, d):
 @query("command_stream", LIBRARY_SQL["apply_commands"])
 def _(spark, d):
     library, collections = shared_path(spark, "library"), shared_path(spark, "collections")
-    publish_audited(spark, lambda: s.library(spark, d), library)
+    publish_audited(spark, lambda: s.library(spark, d), library, key="doc_id", parts=PARTS)
     publish_audited(spark, lambda: s.collections(spark, d), collections)
-    # The log arrives in three batches, in the order of seq.
-    log = shared_path(spark, "log")
+    # The log arrives in three batches, in the order of seq; each run of the stream folds what has arrived.
+    log, checkpoint = shared_path(spark, "log"), shared_path(spark, "checkpoint")
     commands = s.commands(spark, d)
     last = commands.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     cuts = [None, last // 3, 2 * last // 3, None]
     for low, high in zip(cuts, cuts[1:], strict=False):
         after = F.lit(True) if low is None else F.col("seq") > low
         upto = F.lit(True) if high is None else F.col("seq") <= high
-        commands.where(after & upto).coalesce(1).write.mode("append").parquet(log)
-    arriving = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(log)
-    _finish(command_stream(arriving, library, collections, shared_path(spark, "checkpoint")))
+        commands.where(after & upto).write.mode("append").parquet(log)
+        arriving = spark.readStream.schema(commands.schema).parquet(log)
+        _finish(command_stream(arriving, library, collections, checkpoint))
     return read_published(spark, library).select(*FLAT)
 
 

@@ -49,12 +49,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written at ``path``, wherever the session's file systems reach it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete the intermediate tables this process has written, once its results no longer need them."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        remove_path(spark, _made.pop())
 
 
 def cut_lineage(df):

@@ -2,26 +2,27 @@
 
 Layout below a target folder::
 
-    data-<uuid>/               one written version, invisible until committed
-    _commits/<20 digits>       text file naming the data folder and a tag
-
-A commit file is created with "must not exist", so of two writers of the same version one
-fails. The store has to honour that when the file is created or, at the latest, when it is
-closed. Readers follow the highest complete commit; a commit file without its text belongs
-to a writer that is not done or was lost: for the time of a lease no other writer builds past
-it, later it is removed. Data that a commit names is never deleted. Nothing is renamed, which
-suits object stores.
+    data-<uuid>/             Parquet files that one publication wrote
+    _versions/version=<n>/   a small marker, written by Spark once the data passed its check
+
+A marker names the folders a version consists of, its schema and a tag. Readers follow the highest marker, so data
+without one is invisible. A table may be cut into parts by a key; a publication then writes only
+the parts it changes and names the folders of the others again. A target has one writer at a time,
+such as one streaming query; earlier versions stay readable.
 """
 
 import json
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from shelfmark.session import remove_path
 
-LEASE_SECONDS = 3600.0
+MARKER = "part int, parts int, data string, tag string, schema string"
 
 
 class NothingProduced(Exception):
@@ -32,84 +33,63 @@ class ValidationRejected(Exception):
     """The validator refused the written data."""
 
 
-class PublishConflict(Exception):
-    """Another writer published the same version first."""
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
+def _versions(target: str) -> str:
+    return f"{target.rstrip('/')}/_versions"
 
-def _path(jvm, *parts):
-    return jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))
 
-
-def _commits(spark: SparkSession, target: str) -> list[int]:
-    fs, jvm = _fs(spark, target)
-    folder = _path(jvm, target, "_commits")
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n) for n in names if n.isdigit())
-
-
-def _read_commit(spark: SparkSession, target: str, version: int) -> dict | None:
-    fs, jvm = _fs(spark, target)
-    stream = fs.open(_path(jvm, target, "_commits", f"{version:020d}"))
+def current_version(spark: SparkSession, target: str) -> int | None:
     try:
-        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    except json.JSONDecodeError:
-        return None
-    finally:
-        stream.close()
+        return spark.read.schema(f"{MARKER}, version int").parquet(_versions(target)).agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def current_version(spark: SparkSession, target: str) -> int | None:
-    for version in reversed(_commits(spark, target)):
-        if _read_commit(spark, target, version) is not None:
-            return version
-    return None
+def _marker(spark: SparkSession, target: str, version: int) -> list:
+    """One row, or one for each part; the number of parts is fixed when the table is first cut."""
+    return spark.read.schema(MARKER).parquet(f"{_versions(target)}/version={version}").collect()
 
 
 def current_tag(spark: SparkSession, target: str):
     """Tag stored with the current version, such as the last batch id."""
     version = current_version(spark, target)
-    return None if version is None else _read_commit(spark, target, version)["tag"]
+    return None if version is None else json.loads(_marker(spark, target, version)[0].tag)
+
+
+def part_count(spark: SparkSession, target: str) -> int | None:
+    """The number of parts of the current version; null for a table that is not cut."""
+    return _marker(spark, target, current_version(spark, target))[0].parts
 
 
-def read_published(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
-    """The current version, or an older one by number."""
+def part_of(key: str | Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def read_published(
+    spark: SparkSession, target: str, version: int | None = None, parts: Iterable[int] | None = None
+) -> DataFrame:
+    """The current version, or an older one by number; with ``parts`` only those parts are read."""
     version = current_version(spark, target) if version is None else version
     if version is None:
         raise FileNotFoundError(f"nothing published at {target}")
-    commit = _read_commit(spark, target, version)
-    return spark.read.parquet(f"{target.rstrip('/')}/{commit['data']}")
+    rows = _marker(spark, target, version)
+    wanted = None if parts is None else set(parts)
+    schema = StructType.fromJson(json.loads(rows[0].schema))
+    folders = [f"{target.rstrip('/')}/{r.data}" for r in rows if r.data and (wanted is None or r.part in wanted)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def _holds(spark: SparkSession, target: str, version: int, data: str) -> bool | None:
-    """Whether the commit of ``version`` names ``data``; null when the store does not say."""
-    try:
-        if version not in _commits(spark, target):
-            return False
-        commit = _read_commit(spark, target, version)
-        return None if commit is None else commit["data"] == data
-    except Exception:
-        return None
-
-
-def _clear_lost_writers(spark: SparkSession, target: str, base: int | None, lease_seconds: float) -> None:
-    """Remove commits without text that are older than the lease; a younger one is a conflict."""
-    fs, jvm = _fs(spark, target)
-    for version in _commits(spark, target):
-        if base is not None and version <= base:
-            continue
-        path = _path(jvm, target, "_commits", f"{version:020d}")
-        age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
-        if _read_commit(spark, target, version) is not None or age < lease_seconds:
-            raise PublishConflict(f"another writer works on version {version} of {target}")
-        fs.delete(path, False)
+def _mark(spark: SparkSession, target: str, version: int, rows: list[tuple], schema: StructType, tag) -> int:
+    """One file, so the version appears at once; what a lost writer left of the same marker is replaced."""
+    body = [(part, parts, data, json.dumps(tag), schema.json()) for part, parts, data in rows]
+    spark.createDataFrame(body, MARKER).coalesce(1).write.mode("overwrite").parquet(f"{_versions(target)}/version={version}")
+    return version
+
+
+def _next(spark: SparkSession, target: str) -> int:
+    base = current_version(spark, target)
+    return 0 if base is None else base + 1
 
 
 def publish_audited(
@@ -119,52 +99,62 @@ def publish_audited(
     validate: Callable[[DataFrame], bool] | None = None,
     tag=None,
     allow_empty: bool = False,
-    lease_seconds: float = LEASE_SECONDS,
+    key: str | None = None,
+    parts: int | None = None,
 ) -> int:
     """Write what ``produce`` gives, check it, then make it the current version.
 
-    On any failure the written data is removed, the version before stays current and the
-    original error is raised. If an error comes after the commit was stored, the version is
-    published and its number returned; if the store does not tell, the data is left.
+    If writing or checking fails, the written data is removed, the version before stays current and
+    the original error is raised. With ``key`` and ``parts`` the table is cut into parts by the key's hash.
     """
-    fs, jvm = _fs(spark, target)
-    base = current_version(spark, target)
-    _clear_lost_writers(spark, target, base, lease_seconds)
-    version = 0 if base is None else base + 1
     data = f"data-{uuid.uuid4().hex}"
     staged = f"{target.rstrip('/')}/{data}"
     try:
         produced = produce()
         if produced is None:
             raise NothingProduced("producer gave no data")
-        produced.write.mode("error").parquet(staged)
-        written = spark.read.schema(produced.schema).parquet(staged)
+        written = _write(produced, staged, key, parts)
         if not allow_empty and written.isEmpty():
             raise NothingProduced("producer wrote no rows")
         if validate is not None and not validate(written):
             raise ValidationRejected("validation rejected the output")
-        _commit(fs, jvm, target, version, {"data": data, "tag": tag})
-        return version
-    except BaseException as error:
-        stored = None if isinstance(error, PublishConflict) else _holds(spark, target, version, data)
-        if stored and isinstance(error, Exception):
-            return version
-        if stored is None and not isinstance(error, PublishConflict):
-            raise
-        try:
-            fs.delete(_path(jvm, staged), True)
-        except Exception:  # clean-up must not hide the first error
-            pass
+        rows = [(None, None, data)] if parts is None else _cut(spark, staged, data, parts)
+    except BaseException:
+        remove_path(spark, staged)
         raise
+    return _mark(spark, target, _next(spark, target), rows, produced.schema, tag)
 
 
-def _commit(fs, jvm, target: str, version: int, body: dict) -> None:
-    path = _path(jvm, target, "_commits", f"{version:020d}")
-    try:
-        out = fs.create(path, False)
-    except Exception as error:
-        raise PublishConflict(f"version {version} of {target} exists") from error
-    try:
-        out.write(bytearray(json.dumps(body), "utf-8"))
-    finally:
-        out.close()
+def _write(df: DataFrame, staged: str, key: str | None, parts: int | None) -> DataFrame:
+    writer = df if parts is None else df.withColumn("__part", part_of(key, parts))
+    writer = writer.write.mode("error")
+    (writer if parts is None else writer.partitionBy("__part")).parquet(staged)
+    return df.sparkSession.read.schema(df.schema).parquet(staged)
+
+
+def _cut(spark: SparkSession, staged: str, data: str, parts: int) -> list[tuple]:
+    """A marker row for each part that has rows; one without a folder when none has."""
+    held = spark.read.schema("__part int").parquet(staged).select("__part").distinct().collect()
+    return [(r[0], parts, f"{data}/__part={r[0]}") for r in held] or [(None, parts, None)]
+
+
+def publish_parts(spark: SparkSession, changed: DataFrame | None, touched: Iterable[int], target: str, key: str, tag=None) -> int:
+    """Publish a version whose parts ``touched`` hold the rows of ``changed`` and whose other parts stay as they are.
+
+    Only the touched parts are written; none when ``changed`` is null, which moves the tag alone.
+    """
+    version = current_version(spark, target)
+    rows = _marker(spark, target, version)
+    schema, parts, touched = StructType.fromJson(json.loads(rows[0].schema)), rows[0].parts, set(touched)
+    kept = [(r.part, parts, r.data) for r in rows if r.data and (changed is None or r.part not in touched)]
+    fresh = []
+    if changed is not None:
+        data = f"data-{uuid.uuid4().hex}"
+        staged = f"{target.rstrip('/')}/{data}"
+        try:
+            _write(changed.select(*schema.names), staged, key, parts)
+            fresh = [r for r in _cut(spark, staged, data, parts) if r[2]]
+        except BaseException:
+            remove_path(spark, staged)
+            raise
+    return _mark(spark, target, version + 1, kept + fresh or [(None, parts, None)], schema, tag)

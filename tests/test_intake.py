@@ -12,11 +12,11 @@ from shelfmark.sources.extract import ExtractionFailure, extract_pages
 from shelfmark.sources.files import export_subset, scan_files
 from shelfmark.sources.snapshots import (
     NothingProduced,
-    PublishConflict,
     ValidationRejected,
     current_tag,
     current_version,
     publish_audited,
+    publish_parts,
     read_published,
 )
 
@@ -190,48 +190,53 @@ def test_nothing_becomes_visible_when_the_first_publish_fails(spark, tmp_path):
     assert leftovers(tmp_path / "never") == []
 
 
-def test_second_writer_of_a_version_fails(spark, tmp_path):
+def test_an_unfinished_marker_is_not_read_and_blocks_nobody(spark, tmp_path):
     target = str(tmp_path / "t")
     publish_audited(spark, lambda: spark.range(1), target)
-
-    def meanwhile(_):
-        publish_audited(spark, lambda: spark.range(2), target)
-        return True
-
-    with pytest.raises(PublishConflict):
-        publish_audited(spark, lambda: spark.range(3), target, meanwhile)
-    assert read_published(spark, target).count() == 2
-    assert len(leftovers(tmp_path / "t")) == 2
-
-
-def test_an_unfinished_commit_is_not_read_and_blocks_writers(spark, tmp_path):
-    target = str(tmp_path / "t")
-    publish_audited(spark, lambda: spark.range(1), target)
-    (tmp_path / "t" / "_commits" / f"{1:020d}").write_text("")
+    lost = tmp_path / "t" / "_versions" / "version=1" / "_temporary" / "0"
+    lost.mkdir(parents=True)
+    (lost / "part-0.parquet").write_bytes(b"half")
     assert current_version(spark, target) == 0
     assert read_published(spark, target).count() == 1
-    with pytest.raises(PublishConflict):
-        publish_audited(spark, lambda: spark.range(2), target)
-    assert publish_audited(spark, lambda: spark.range(2), target, lease_seconds=0) == 1  # the writer was lost
+    assert publish_audited(spark, lambda: spark.range(2), target) == 1
     assert read_published(spark, target).count() == 2
 
 
-def test_an_error_after_the_commit_was_stored_keeps_its_data(spark, tmp_path, monkeypatch):
+def test_data_stays_when_its_marker_may_have_been_stored(spark, tmp_path, monkeypatch):
     target = str(tmp_path / "t")
     publish_audited(spark, lambda: spark.range(1), target)
-    commit = snapshots._commit
+    mark = snapshots._mark
 
     def breaks_late(*args):
-        commit(*args)
-        raise OSError("connection lost on close")
+        mark(*args)
+        raise OSError("connection lost")
 
-    monkeypatch.setattr(snapshots, "_commit", breaks_late)
-    assert publish_audited(spark, lambda: spark.range(2), target) == 1
-    assert read_published(spark, target).count() == 2
-    monkeypatch.setattr(snapshots, "_holds", lambda *a: None)  # the store does not tell
+    monkeypatch.setattr(snapshots, "_mark", breaks_late)
     with pytest.raises(OSError):
-        publish_audited(spark, lambda: spark.range(3), target)
-    assert read_published(spark, target).count() == 3
+        publish_audited(spark, lambda: spark.range(2), target)
+    assert read_published(spark, target).count() == 2
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    target = str(tmp_path / "t")
+    rows = spark.range(1000).withColumn("v", F.lit("old"))
+    publish_audited(spark, lambda: rows, target, key="id", parts=16)
+    touched = [r[0] for r in spark.range(3).select(snapshots.part_of("id", 16)).distinct().collect()]
+    changed = read_published(spark, target, parts=touched).withColumn("v", F.when(F.col("id") < 3, "new").otherwise(F.col("v")))
+    assert 0 < changed.count() < 400
+    assert publish_parts(spark, changed, touched, target, "id", tag="t") == 1
+    got = read_published(spark, target)
+    assert (got.count(), got.where("v = 'new'").count(), current_tag(spark, target)) == (1000, 3, "t")
+    assert read_published(spark, target, 0).where("v = 'new'").isEmpty()
+    written = sorted((tmp_path / "t").glob("data-*"), key=lambda p: p.stat().st_mtime)[-1]
+    assert {p.name for p in written.glob("__part=*")} == {f"__part={p}" for p in touched}
+    # All rows of a part may go, and a version may move its tag alone.
+    publish_parts(spark, changed.where("false"), touched, target, "id")
+    assert read_published(spark, target).count() == 1000 - changed.count()
+    publish_parts(spark, None, [], target, "id", tag=7)
+    assert current_tag(spark, target) == 7 and len(list((tmp_path / "t").glob("data-*"))) == 3
+    publish_parts(spark, rows.where("false"), range(16), target, "id")
+    assert read_published(spark, target).count() == 0 and read_published(spark, target).columns == ["id", "v"]
 
 
 def test_extract_pages(spark):

@@ -66,6 +66,27 @@ def test_late_commands_are_kept_aside(spark, tmp_path):
     assert values(spark.read.parquet(f"{lt}/_late/batch_id=1"), "seq") == [3]
 
 
+def test_a_batch_writes_only_the_parts_it_touches(spark, tmp_path):
+    lt, ct, cp, source = (str(tmp_path / n) for n in ("lib", "cols", "cp", "log"))
+    docs = [doc(i, f"d{i}", collection=1 if i in (150, 160) else None) for i in range(1, 201)]
+    publish_audited(spark, lambda: library(spark, *docs), lt, key="doc_id", parts=64)
+    publish_audited(spark, lambda: collections(spark, (1, "c")), ct)
+    files = lambda: {p for p in (tmp_path / "lib").rglob("*.parquet") if "data-" in str(p)}
+    batches = [[(i, "rename", i, {"text": f"new{i}"}) for i in range(1, 11)],
+               [(20, "delete_collection", None, {"collection": 1})], [(30, "rename", 5000, {"text": "nobody"}), (31, "delete", 7, {})]]
+    log = []
+    for batch in batches:
+        log += batch
+        before = files()
+        commands(spark, *batch).write.mode("append").parquet(source)
+        command_stream(spark.readStream.schema(schemas.COMMANDS).parquet(source), lt, ct, cp).awaitTermination()
+        # One file for each touched part and task; two documents leave the deleted collection.
+        written = {p.parent.name for p in files() - before}
+        assert len(written) <= len(batch) + (1 if batch is batches[1] else 0) < 64 and before <= files()
+    expected = state(apply_commands(library(spark, *docs), collections(spark, (1, "c")), commands(spark, *log)))
+    assert state(read_published(spark, lt)) == expected
+
+
 def run_to_table(spark, stream, mode, name, tmp_path):
     stream.writeStream.outputMode(mode).format("memory").queryName(name).option(
         "checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start().awaitTermination()
