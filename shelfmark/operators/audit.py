@@ -1,49 +1,40 @@
 """Checks over names, texts and keys."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.functions.text import let
-from shelfmark.plans.skew import BROADCAST_BYTES
+from shelfmark.operators.terms import few, match_numbers, matches
 
-PACK_ROWS = 1_000
 
+def _listed(terms: DataFrame) -> DataFrame:
+    return terms.select(F.col("term").alias("__term"), F.lower("term").alias("__word")).distinct()
 
-def packs(values: DataFrame, columns: list[str], pack_rows: int = PACK_ROWS) -> list[DataFrame]:
-    """Split a small-or-large list of terms into one-row frames holding an array.
 
-    Row and byte counts are measured, so one pack is always small enough to attach to
-    every task. A list beyond one pack costs another pass over the text per pack.
-    """
-    rows, size = values.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns)))), F.lit(0))
-    ).first()
-    n = max(-(-rows // pack_rows), -(-size // (BROADCAST_BYTES // 4)), 1)
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(n))
-    return [
-        values.where(bucket == i).agg(F.collect_list(F.struct(*columns)).alias("pack")) for i in range(n)
-    ]
+def _in_row(listed: DataFrame) -> Column:
+    """A short list of terms as one array."""
+    return listed.agg(F.collect_list(F.struct("__term", "__word"))).scalar()
 
 
 def terms_found(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """Rows of ``texts`` (without the text) with every term that occurs in the text.
 
-    The comparison is literal and ignores case. Each text is scanned where it lies and
-    only matching pairs are produced; nothing is shuffled.
+    The comparison is literal and ignores case. Each text is scanned once where it lies, whatever the
+    number of terms, and only matching pairs are produced; no text is shuffled.
     """
     kept = [c for c in texts.columns if c != text]
-    listed = terms.select("term", F.lower("term").alias("low")).distinct()
-    out = None
-    for pack in packs(listed, ["term", "low"]):
-        hits = let(F.lower(F.col(text)), lambda t: F.filter(F.col("__pack"), lambda x: F.contains(t, x["low"])))
-        found = (
-            texts.withColumn("__pack", pack.scalar())
-            .select(*kept, F.explode(hits).alias("__hit"))
-            .select(*kept, F.col("__hit.term").alias("term"))
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    listed = _listed(terms)
+    if few(listed):
+        hits = let(F.lower(F.col(text)), lambda t: F.filter(F.col("__pack"), lambda x: F.contains(t, x["__word"])))
+        found = texts.withColumn("__pack", _in_row(listed)).select(*kept, F.explode(hits).alias("__hit"))
+        return found.select(*kept, F.col("__hit.__term").alias("term"))
+    folded = texts.select(*kept, F.lower(text).alias("__text"))
+    found = matches(folded, "__text", listed, "__word").select(*kept, F.col("__term").alias("term"))
+    blank = listed.where(F.col("__word") == "")
+    if blank.isEmpty():
+        return found
+    return found.union(folded.where("__text IS NOT NULL").select(*kept, F.lit("").alias("term")))
 
 
 def deny_list_hits(items: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -56,21 +47,20 @@ def deny_list_hits(items: DataFrame, terms: DataFrame | None = None) -> DataFram
 def deny_list_verdict(items: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """One row per item with the number of denied terms; any hit fails the item.
 
-    Counted inside each row, so no join back to the items is needed.
+    A short list is counted inside each row, a long one by the pieces of the text.
     """
     if terms is None:
         terms = schemas.deny_terms(items.sparkSession)
-    listed = terms.select("term", F.lower("term").alias("low")).distinct()
-    total = None
-    rows = items
-    for i, pack in enumerate(packs(listed, ["term", "low"])):
-        count = let(F.lower("text"), lambda t: F.size(
-            F.filter(F.col(f"__pack{i}"), lambda x: F.contains(t, x["low"]))))
-        rows = rows.withColumn(f"__pack{i}", pack.scalar())
-        total = count if total is None else total + count
-    return rows.select("item", total.cast("bigint").alias("denied_terms")).withColumn(
-        "passed", F.col("denied_terms") == 0
-    )
+    listed = _listed(terms)
+    if few(listed):
+        count = let(F.lower("text"), lambda t: F.size(F.filter(F.col("__pack"), lambda x: F.contains(t, x["__word"]))))
+        counted = items.withColumn("__pack", _in_row(listed)).select("item", count.cast("bigint").alias("denied_terms"))
+    else:
+        blank = listed.where(F.col("__word") == "").count()
+        rows = items.select("item", F.lower("text").alias("__text"), F.when(F.col("text").isNotNull(), blank).otherwise(0).alias("__blank"))
+        counted = match_numbers(rows, "__text", listed, "__word").select(
+            "item", (F.col("n") + F.col("__blank")).cast("bigint").alias("denied_terms"))
+    return counted.withColumn("passed", F.col("denied_terms") == 0)
 
 
 def undocumented(names: DataFrame, records: DataFrame) -> DataFrame:
@@ -79,14 +69,21 @@ def undocumented(names: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def unmentioned(names: DataFrame, record_texts: DataFrame) -> DataFrame:
-    """Names (``name``) that occur, case-sensitively, in no ``text`` of the record."""
-    listed = names.select("name").distinct()
-    mentioned = None
-    for pack in packs(listed, ["name"]):
-        hits = F.filter(F.col("__pack"), lambda x: F.contains(F.col("text"), x["name"]))
-        found = record_texts.withColumn("__pack", pack.scalar()).select(F.explode(hits).alias("hit")).select("hit.name")
-        mentioned = found if mentioned is None else mentioned.unionByName(found)
-    return listed.join(mentioned.distinct(), "name", "left_anti")
+    """Names (``name``) that occur, case-sensitively, in no ``text`` of the record.
+
+    The record is read once, whatever the number of names.
+    """
+    listed = names.select(F.col("name").alias("__word")).distinct()
+    texts = record_texts.select(F.col("text").alias("__text"))
+    if few(listed):
+        pack = listed.agg(F.collect_list("__word")).scalar()
+        hits = F.filter(F.col("__pack"), lambda x: F.contains(F.col("__text"), x))
+        mentioned = texts.withColumn("__pack", pack).select(F.explode(hits).alias("__word"))
+    else:
+        mentioned = matches(texts, "__text", listed, "__word").select("__word")
+        blank = texts.where("__text IS NOT NULL").limit(1).select(F.lit("").alias("__word"))
+        mentioned = mentioned.union(blank)
+    return listed.join(mentioned.distinct(), "__word", "left_anti").select(F.col("__word").alias("name"))
 
 
 def attach_failure_message(rows: DataFrame) -> DataFrame:

@@ -20,11 +20,11 @@ from shelfmark.functions.text import (
     occurrences,
     snippets,
 )
-from shelfmark.operators.audit import packs
-from shelfmark.plans.skew import dimension_join, measured_small
+from shelfmark.operators.terms import packs, rarest_pieces, text_keys
 from shelfmark.session import cut_lineage
 
 PAGES_PER_CHUNK = 1_024
+ANY = "\0"
 
 
 def _candidates(pages: DataFrame, query: str) -> DataFrame:
@@ -164,77 +164,47 @@ def first_page_with(pages: DataFrame, token: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.coalesce(F.min(found), F.lit(-1)).alias("first_page"))
 
 
-def _grams(low):
-    """All overlapping three-character pieces of ``low``, in one pass of the pattern engine."""
-    return F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+def _folded(text):
+    """Lower-cased text in which every plain query that a case-insensitive pattern matches can be found literally.
+
+    Three characters beyond Latin-1 match plain letters although lower-casing does not make them so.
+    """
+    return F.lower(F.translate(text, FOLDING_EXCEPTIONS[1:-1], "iis"))
 
 
 def keyed_queries(queries: DataFrame) -> DataFrame:
     """Give every non-empty query the key it is looked up by.
 
-    A plain query of three characters or more is keyed by one of its three-character
-    pieces, the one the fewest queries share; any other query is its own key.
+    A plain query is keyed by the three-character piece that the fewest queries share, or by itself when it is
+    shorter. Any other query has the same key ``ANY``, which every page shows.
     """
-    low = F.lower("query")
     plain = F.col("query").rlike(PLAIN_QUERY)
     listed = queries.where(F.length("query") > 0).select(
-        "query_id", "query", low.alias("low"), literal_pattern(F.col("query")).alias("pattern"), plain.alias("plain"),
-    )
-    texts = listed.where(F.col("plain")).select("low").distinct()
-    pieces = texts.select("low", F.explode(F.array_distinct(_grams(F.col("low")))).alias("gram"))
-    shared = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pieces.join(shared, "gram").groupBy("low").agg(
-        F.min(F.struct("n", "gram"))["gram"].alias("gram")
-    )
-    anchor = F.when(F.col("plain"), F.col("gram"))
-    own = F.concat(F.lit("\0"), "query")
-    return listed.join(rarest, "low", "left").select(
-        "query_id", "query", "low", "pattern", "plain",
-        anchor.isNotNull().alias("anchored"), F.coalesce(anchor, own).alias("key"),
-    )
+        "query_id", "query", F.lower("query").alias("low"), literal_pattern(F.col("query")).alias("pattern"), plain.alias("plain"))
+    keys = rarest_pieces(listed.where(F.col("plain")), "low").withColumn("plain", F.lit(True))
+    return listed.join(keys, ["low", "plain"], "left").select(
+        "query_id", "query", "low", "pattern", "plain", F.coalesce("piece", F.lit(ANY)).alias("key"))
 
 
 def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """``search_text`` for every row of ``queries`` (``query_id``, ``query``) in one pass.
 
-    Each page is cut once into its three-character pieces, and those that are keys of
-    queries join it to the queries it may contain, so the work per page hardly depends on
-    how many queries there are. The keys travel in packs of measured size; a list beyond
-    one pack costs another pass over the text per pack.
+    Each page is cut once into its distinct pieces, and those that are keys of queries meet the broadcast
+    queries they may contain, so the work per page hardly depends on how many queries there are, and no text
+    is exchanged. A list that is too large to broadcast costs one pass over the text for each part of measured size.
     """
     keyed = cut_lineage(keyed_queries(queries))
-    text = F.col("full_text")
     wanted = keyed.select("key", "query_id", "low", "pattern", "plain", F.length("query").alias("length"))
-    small = measured_small(wanted)
+    rows = keyed.select(F.when(F.col("plain"), F.length("key")).alias("n")).distinct().collect()
+    keys = text_keys(F.col("folded"), sorted(r.n for r in rows if r.n))
+    if any(r.n is None for r in rows):
+        keys = F.concat(keys, F.array(F.lit(ANY)))
+    text = F.col("full_text")
+    cut = pages.where(text.isNotNull()).select("doc_id", "page_index", "full_text", _folded(text).alias("folded")).select(
+        "*", F.explode_outer(keys).alias("key"))
     out = None
-    # One row per key: queries that share a piece must not meet in two packs.
-    alone = ~F.col("anchored")
-    listed = keyed.select(
-        "key", F.when(alone, F.col("low")).alias("low"), F.when(alone, F.col("plain")).alias("plain"), "anchored"
-    ).distinct()
-    for pack in packs(listed, ["key", "low", "plain", "anchored"]):
-        keys = pack.select(F.struct(
-            F.transform(F.filter("pack", lambda q: q["anchored"]), lambda q: q["key"]).alias("anchors"),
-            F.filter("pack", lambda q: ~q["anchored"]).alias("rest"),
-        )).scalar()
-        odd = text.rlike(FOLDING_EXCEPTIONS)
-
-        def found(low):
-            rest = F.filter(F.col("keys")["rest"], lambda q: F.col("odd") | ~q["plain"] | F.contains(low, q["low"]))
-            return F.concat(
-                F.when(F.col("odd"), F.col("keys")["anchors"])
-                .otherwise(F.array_intersect(_grams(low), F.col("keys")["anchors"])),
-                F.transform(rest, lambda q: q["key"]),
-            )
-
-        likely = (
-            pages.where(text.isNotNull())
-            .select("doc_id", "page_index", "full_text", odd.alias("odd"), keys.alias("keys"))
-            .select("doc_id", "page_index", "full_text", "odd", F.explode(let(F.lower(text), found)).alias("key"))
-        )
-        checked = dimension_join(likely, wanted, ["key"], ["doc_id", "page_index"], "inner", small).where(
-            F.col("odd") | ~F.col("plain") | F.contains(F.lower(text), F.col("low"))
-        )
+    for pack in packs(wanted, ["query_id", "key"]):
+        checked = cut.join(F.broadcast(pack), "key").where(~F.col("plain") | F.contains("folded", "low"))
         hits = occurrences(F.split(text, F.col("pattern"), -1), F.col("length"))
         rows = checked.select("query_id", "doc_id", "page_index", F.explode(hits).alias("offset"), "length")
         out = rows if out is None else out.unionByName(rows)

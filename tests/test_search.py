@@ -139,7 +139,7 @@ def test_first_page_with(spark):
 
 
 def test_search_many_equals_one_by_one(spark, monkeypatch):
-    from shelfmark.operators import audit
+    from shelfmark.operators import terms
     df = small(spark)
     queries = ["a", "SECOND", "", "é", "pa", "İ", "page", "Page", "hello w", "hello", "ello", "ell", "llo", "zzz", "\\E.."]
     table = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
@@ -147,7 +147,7 @@ def test_search_many_equals_one_by_one(spark, monkeypatch):
         (i, *r) for i, q in enumerate(queries)
         for r in values(search.search_text(df, q), "doc_id", "page_index", "offset", "length"))
     for pack_rows in (1000, 2):
-        monkeypatch.setattr(search, "packs", lambda v, c: audit.packs(v, c, pack_rows))
+        monkeypatch.setattr(search, "packs", lambda v, c: terms.packs(v, c, pack_rows))
         got = search.search_many(df, table)
         assert sorted(values(got, "query_id", "doc_id", "page_index", "offset", "length")) == expected
 
