@@ -22,8 +22,8 @@ STAR_ROUNDS = 2
 DENSE_BUCKET = 48
 BLOCK_SETS = 256
 MATRIX_COLUMNS = 2048
-SLICE_BYTES = 4 << 20
-BATCH_ELEMENTS = 200_000
+SLICE_BYTES = 1 << 20
+BATCH_ELEMENTS = 50_000
 _FRACTION_BITS = 40
 _UNSET = np.int64(1) << 62
 _MASK = (1 << 64) - 1
