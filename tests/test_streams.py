@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from helpers import collections, commands, doc, library, values
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.operators.commands import apply_commands
 from shelfmark.sources.snapshots import current_tag, publish_audited, read_published
-from shelfmark.streaming.activity import last_opened_stream, pair_operations
+from shelfmark.streaming.activity import LateRecords, last_opened_stream, pair_operations, read_late_records
 from shelfmark.streaming.commands import command_stream
 from shelfmark.streaming.intake import intake_stream, read_intake, read_landing
 from test_commands import random_log, state
@@ -118,3 +119,31 @@ def test_pair_operations(spark, tmp_path):
     paired = pair_operations(log.where("phase = 'start'"), log.where("phase = 'end'"))
     got = dict(values(run_to_table(spark, paired, "append", "paired", tmp_path), "op_id", "result"))
     assert got == {"a": "success", "late": None, "none": None, "z": "success"}
+
+
+def test_late_records_are_counted(spark, tmp_path):
+    source, target = str(tmp_path / "oplog"), tmp_path / "late"
+    target.mkdir()
+    at = [T0 + timedelta(minutes=m) for m in range(300)]
+    start = lambda name, t: (name, "start", "open", None, 5, None, None, None, None, t)
+    end = lambda name, t: (name, "end", "open", None, None, "success", 9, None, None, t)
+    batches = [[start("a", at[0]), end("a", at[1])], [start("b", at[200]), end("b", at[201])],
+               [start("d", at[202]), end("d", at[203])],  # lateness is judged by the watermark one batch before
+               [start("old", at[2]), start("old2", at[3]), end("old", at[4]), start("c", at[205]), end("c", at[206])]]
+    for batch in batches:
+        spark.createDataFrame(batch, schemas.OPLOG).coalesce(1).write.mode("append").parquet(source)
+    log = spark.readStream.schema(schemas.OPLOG).option("maxFilesPerTrigger", 1).parquet(source)
+    listener = LateRecords(spark, str(target))
+    spark.streams.addListener(listener)
+    try:
+        paired = pair_operations(log.where("phase = 'start'"), log.where("phase = 'end'"))
+        got = dict(values(run_to_table(spark, paired, "append", "late_pairs", tmp_path), "op_id", "result"))
+        for _ in range(100):  # reports arrive after the batch
+            rows = values(read_late_records(spark, str(target)), "batch_id", "late_records")
+            if sum(n for _, n in rows) >= 3:
+                break
+            time.sleep(0.3)
+    finally:
+        spark.streams.removeListener(listener)
+    assert "old" not in got and got["a"] == got["b"] == "success"
+    assert rows == [(3, 3)]
