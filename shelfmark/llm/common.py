@@ -29,6 +29,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send texts to Python in batches of ``rows``, unless the session names a size of its own.
+
+    A batch lies in the memory of the executor's JVM and of its worker at once; the default of ten thousand whole
+    texts takes tens of megabytes in each of them, and tables with long texts more.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_bytes(name: str = "text") -> Column:
     """The whole text as UTF-8; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import slices, stored, text_bytes
+from shelfmark.llm.common import slices, small_batches, stored, text_bytes
 from shelfmark.plans.skew import few_against_many, measured_small
 
 BAND_ROWS = 5
@@ -289,6 +289,7 @@ def linked(docs: DataFrame, width: int, percent: int = PERCENT, rows: int = BAND
     document and always one component. Rows without an id cannot be named: they keep a null
     component and are kept. No rows give no rows; columns besides doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     sketches = stored(sketch(docs, width, rows, bands), "sketches")
     named = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import remainder, slices, split_remainder, stored, text_bytes
+from shelfmark.llm.common import remainder, slices, small_batches, split_remainder, stored, text_bytes
 from shelfmark.plans.skew import measured_small
 
 FOLDS = 5
@@ -21,7 +21,7 @@ MIN_LOG_ODDS = 1.5
 MAX_LEXICON = 20_000
 COMMON_WORDS = 300
 PENDING_WORDS = 500_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LANES = 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -317,11 +317,13 @@ def spans(data: bytes, p: np.ndarray) -> list[dict]:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled training rows and score every document."""
+    small_batches(docs.sparkSession)
     return score_documents(docs, train(docs, labels))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the field does not predict toxic; columns pass unchanged."""
+    small_batches(docs.sparkSession)
     field = train(docs, labels)
 
     def run(batches):
