@@ -1,10 +1,14 @@
 """Queries over page text, outlines, permissions and the operation log."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog.sql import COMMANDS, OPLOG, OUTLINE, PAGES, hits, with_
 from shelfmark.functions.documents import decode_permissions, has_text, identity_hash, rebase_page
-from shelfmark.operators import oplog, outline, pages, search
+from shelfmark.operators import oplog, outline, page_index, pages, search
+from shelfmark.session import shared_path
 from shelfmark.sources import sample_tables as s
 from shelfmark.sources.extract import extract_pages
 
@@ -88,6 +92,22 @@ def _(spark, d):
     return search.search_many(s.page_text(spark, d), queries)
 
 
+_INDEXED = ["The", "license", "data", "that", "é"]
+
+
+@query("search_index", " UNION ALL ".join(
+    f"(SELECT '{w}' AS query, * FROM ({with_(PAGES, hits(w))} SELECT doc_id, page_index, \"offset\", {len(w)} AS length FROM hits))"
+    for w in _INDEXED))
+def _(spark, d):
+    """The index is built in two parts, then answers every word; ``that`` overlaps itself and ``é`` is short."""
+    table, target = s.page_text(spark, d), shared_path(spark, "page-index")
+    for part in range(2):
+        page_index.add_pages(table.where(F.pmod("doc_id", F.lit(2)) == part), target, str(part))
+    index = page_index.read_index(spark, target)
+    found = [page_index.search_index(index, table, w).select(F.lit(w).alias("query"), "*") for w in _INDEXED]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("hit_boxes", with_(PAGES, hits("license")) + """
 SELECT doc_id, page_index, "offset", 0 AS line, "offset" * 7.0::DOUBLE AS "left", 800.0::DOUBLE AS top,
        ("offset" + 7) * 7.0::DOUBLE AS "right", 788.0::DOUBLE AS bottom FROM hits""")

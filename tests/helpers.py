@@ -46,3 +46,15 @@ def pages(spark, *rows):
 def values(df, *columns):
     rows = df.select(*columns).collect()
     return [r[0] if len(columns) == 1 else tuple(r) for r in rows]
+
+
+def rows_read(df):
+    """Rows that the scans of a finished query handed on."""
+    def leaves(node):
+        children = node.children()
+        inner = [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else (
+            [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else [children.apply(i) for i in range(children.size())])
+        return [x for child in inner for x in leaves(child)] or [node]
+
+    return sum(n.metrics().apply("numOutputRows").value() for n in leaves(df._jdf.queryExecution().executedPlan())
+               if n.nodeName().startswith("Scan"))
