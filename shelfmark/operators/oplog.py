@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.documents import identity_hash
+from shelfmark.plans.ranking import with_running_count
 from shelfmark.schemas import OPLOG
 
 LOG_FIELDS = ["op_id", "phase", "op", "file_hash", "bytes", "result", "ms", "code", "detail", "ts"]
@@ -68,8 +69,8 @@ def parse_log_line(lines: DataFrame) -> DataFrame:
 def operation_report(records: DataFrame) -> DataFrame:
     """Runs, outcomes and timing per operation.
 
-    Equal timings are counted first, so a busy operation reaches its task as a histogram
-    and the exact percentiles are weighted by count. A task holds the distinct timings of an operation.
+    Equal timings are counted first. The exact percentiles are read off the running counts of the range-partitioned
+    timings, so an operation with any number of distinct timings is spread over tasks.
     """
     ended = records.where(F.col("phase") == "end")
     success = F.col("result") == "success"
@@ -79,14 +80,28 @@ def operation_report(records: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
     )
     weight = F.col("n")
-    return histogram.groupBy("op").agg(
+    timed = F.when(F.col("ms").isNotNull(), weight).otherwise(0)
+    counted = with_running_count(histogram, ["op"], ["ms"], timed, "upto")
+
+    def at(position):
+        """The timing at a position (from 0) of all timings in order."""
+        here = (F.col("upto") - timed <= position) & (position < F.col("upto"))
+        return F.max(F.when(here, F.col("ms")))
+
+    def percentile(p):
+        position = (F.max("upto_total") - 1) * p
+        place = (F.col("upto_total") - 1) * F.lit(p)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return F.round(low + (high - low) * (position - F.floor(position)), 6)
+
+    return counted.groupBy("op").agg(
         F.sum("n").alias("runs"),
         F.sum("ok").alias("successes"),
         F.sum(weight - F.col("ok")).alias("failures"),
         F.min("ms").alias("min_ms"),
         F.round(F.sum(F.col("ms") * weight) / F.sum(F.when(F.col("ms").isNotNull(), weight)), 6).alias("avg_ms"),
-        F.round(F.percentile("ms", 0.5, weight), 6).alias("p50_ms"),
-        F.round(F.percentile("ms", 0.95, weight), 6).alias("p95_ms"),
+        percentile(0.5).alias("p50_ms"),
+        percentile(0.95).alias("p95_ms"),
         F.max("ms").alias("max_ms"),
         F.sum("bytes").alias("bytes"),
     )

@@ -41,6 +41,27 @@ def with_row_positions(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def with_running_count(df: DataFrame, group: Sequence[str], order: Sequence[str], count: Column, name: str) -> DataFrame:
+    """Append ``name``, the sum of ``count`` over the group's rows up to this one, and ``{name}_total``, that of the group.
+
+    Rows are range-partitioned once and kept. A window holds one partition's share of a group, and one more the few sums of a
+    group's partitions; null keys are a group like others.
+    """
+    group, order = list(group), list(order)
+    ranges = df.withColumn("__count", count).repartitionByRange(*group, *order)
+    placed = cut_lineage(ranges.withColumn("__part", F.spark_partition_id()))
+    parts = W.partitionBy(*group).orderBy("__part")
+    before, whole = (parts.rowsBetween(W.unboundedPreceding, end) for end in (-1, W.unboundedFollowing))
+    bases = placed.groupBy(*group, "__part").agg(F.sum("__count").alias("__n")).select(
+        F.struct(*group).alias("__group"), F.col("__part").alias("__at"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(whole).alias(f"{name}_total"))
+    inside = W.partitionBy(*group, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = placed.withColumn("__run", F.sum("__count").over(inside))
+    same = F.struct(*group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__at"))
+    return run.join(bases, same).withColumn(name, F.col("__run") + F.col("__base")).drop(
+        "__count", "__part", "__at", "__group", "__run", "__base")
+
+
 def with_group_rank(
     df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str, spread: Sequence[str]
 ) -> DataFrame:

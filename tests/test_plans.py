@@ -1,14 +1,20 @@
 """Shapes of the physical plans that keep large tables cheap."""
 
 import os
+import random
+import re
 
+import numpy as np
 import pytest
 from helpers import doc, library, pages
+from pyspark.sql import functions as F
 
 from __spark_entry__ import LLM_QUERIES, queries
 from shelfmark.operators import library as lib
 from shelfmark.operators import pages as page_ops
 from shelfmark.operators import search
+from shelfmark.operators.oplog import operation_report
+from shelfmark.plans.ranking import with_running_count
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -71,3 +77,26 @@ def test_no_query_compares_all_pairs(spark, name):
     df = queries()[name](spark, SF_DIR)
     text = plan(df)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_percentiles_of_one_busy_operation(spark):
+    """Every timing is distinct; no expression or window sees the whole operation."""
+    rng = random.Random(4)
+    times = [rng.randrange(1 << 40) for _ in range(5_001)]
+    rows = [("x", t) for t in times] + [("x", None)] * 3 + [("y", 7), ("z", None), (None, 1), (None, 4)]
+    log = spark.createDataFrame(rows, "op string, ms long").selectExpr(
+        "op", "ms", "'end' AS phase", "'success' AS result", "1L AS bytes")
+    report = operation_report(log)
+    got = {r.op: (r.runs, r.min_ms, r.p50_ms, r.p95_ms, r.max_ms) for r in report.collect()}
+    low, mid, high = np.percentile(times, [0, 50, 95])
+    assert got["x"][:2] == (5_004, int(low)) and got["x"][2] == mid and abs(got["x"][3] - high) < 1e-3
+    assert got["y"] == (1, 7, 7.0, 7.0, 7) and got["z"] == (1, None, None, None, None) and got[None] == (2, 1, 2.5, 3.85, 4)
+    plan = report._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile" not in plan and all("__part" in w for w in re.findall(r"windowspecdefinition\(([^)]*)\)", plan))
+
+
+def test_running_count_is_spread(spark):
+    rows = spark.range(20_000).selectExpr("'x' AS op", "id AS ms")
+    placed = with_running_count(rows, ["op"], ["ms"], F.lit(2), "upto")
+    assert placed.where("upto <> 2 * (ms + 1) OR upto_total <> 40000").count() == 0
+    assert rows.repartitionByRange(4, "op", "ms").select(F.spark_partition_id()).distinct().count() == 4
