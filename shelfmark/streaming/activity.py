@@ -5,15 +5,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 
-def last_opened_stream(commands: DataFrame) -> DataFrame:
-    """Running latest open per document; write it in update mode.
+def last_opened_stream(commands: DataFrame, delay: str = "1 day", span: str = "1 day") -> DataFrame:
+    """Running latest open per document; write it in update mode and keep the largest time of a document.
 
-    A command delivered again changes no maximum, so the state is one row per document.
+    The state holds one row per document and ``span`` of time, and lets it go once the watermark has passed the
+    span, so it is as large as the documents opened lately. A command delivered again changes no maximum and needs no state of
+    its own. Opens behind the watermark are left out; ``LateRecords`` counts them.
     """
+    opened = commands.where(F.col("op") == "mark_opened").select("doc_id", F.col("ts").cast("timestamp").alias("at"))
     return (
-        commands.where(F.col("op") == "mark_opened")
-        .groupBy("doc_id")
-        .agg(F.max(F.col("ts").cast("timestamp")).alias("last_opened_at"))
+        opened.withWatermark("at", delay)
+        .groupBy(F.window("at", span), "doc_id")
+        .agg(F.max("at").alias("last_opened_at"))
+        .select("doc_id", "last_opened_at")
     )
 
 

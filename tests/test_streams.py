@@ -1,7 +1,8 @@
 import time
 from datetime import datetime, timedelta
+from hashlib import sha256
 
-from helpers import collections, commands, doc, library, values
+from helpers import collections, commands, doc, library, rows_read, values
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
@@ -9,7 +10,7 @@ from shelfmark.operators.commands import apply_commands
 from shelfmark.sources.snapshots import current_tag, publish_audited, read_published
 from shelfmark.streaming.activity import LateRecords, last_opened_stream, pair_operations, read_late_records
 from shelfmark.streaming.commands import command_stream
-from shelfmark.streaming.intake import intake_stream, read_intake, read_landing
+from shelfmark.streaming.intake import intake_stream, known_hashes, read_intake, read_landing
 from test_commands import random_log, state
 
 T0 = datetime(2026, 1, 1)
@@ -35,6 +36,26 @@ def test_intake_stream_takes_each_file_once(spark, tmp_path):
     assert run()[1] == 4
 
 
+def test_intake_reads_only_the_prefixes_of_a_batch(spark, tmp_path):
+    landing, target, checkpoint = (str(tmp_path / n) for n in ("landing", "out", "cp"))
+    (tmp_path / "landing").mkdir()
+    bodies = [b"%PDF" + str(i).encode() for i in range(300)]
+    for batch in (bodies[:150], bodies[100:]):
+        for i, body in enumerate(batch):
+            (tmp_path / "landing" / f"{len(batch)}-{i}.pdf").write_bytes(body)
+        intake_stream(read_landing(spark, landing), target, checkpoint).awaitTermination()
+    assert read_intake(spark, target).where("seen_before").count() == 50
+    digests = [sha256(b).hexdigest() for b in bodies]
+    asked = spark.createDataFrame([(digests[0],), (digests[1],)], "content_hash string")
+    found = known_hashes(asked, target, 2)
+    same = sorted(d for d in digests if d[:2] in (digests[0][:2], digests[1][:2]))
+    assert sorted(values(found, "content_hash")) == same and len(same) < 30
+    got = known_hashes(asked, target, 2)
+    got.collect()
+    assert rows_read(got) == len(same)
+    assert set(values(known_hashes(asked, target, 1), "content_hash")) <= set(digests[:150])
+
+
 def test_command_stream_equals_one_fold(spark, tmp_path):
     docs = [doc(i, f"d{i}", favorite=i % 2 == 0, collection=[None, 1, 2][i % 3]) for i in range(1, 7)]
     lib, cols = library(spark, *docs), collections(spark, (1, "a"), (2, "b"), (3, "c"))
@@ -105,6 +126,22 @@ def test_last_opened_stream(spark, tmp_path):
     assert dict(values(got, "doc_id", "t")) == expected
 
 
+def test_last_opened_state_ends(spark, tmp_path):
+    source = str(tmp_path / "log")
+    days = [[(s, "mark_opened", s, {"ts": T0 + timedelta(days=day)}) for s in docs]
+            for day, docs in ((0, range(100)), (10, range(3)), (11, range(3)), (12, range(2)))]
+    for batch in days:
+        commands(spark, *batch).coalesce(1).write.mode("append").parquet(source)
+    log = spark.readStream.schema(schemas.COMMANDS).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = last_opened_stream(log).writeStream.outputMode("update").format("memory").queryName("opened_ends").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in stream.recentProgress if p.stateOperators]
+    assert max(held) >= 100 and held[-1] <= 8
+    got = dict(values(spark.table("opened_ends").groupBy("doc_id").agg(F.max("last_opened_at").alias("t")), "doc_id", "t"))
+    assert got == {d: T0 + timedelta(days=12 if d < 2 else 11 if d == 2 else 0) for d in range(100)}
+
+
 def test_pair_operations(spark, tmp_path):
     source = str(tmp_path / "oplog")
     at = [T0 + timedelta(minutes=m) for m in range(200)]
