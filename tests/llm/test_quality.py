@@ -47,3 +47,33 @@ def test_a_capped_sample_keeps_the_labels_share(spark, monkeypatch):
     marks = [(i + 1, int(i % 8 > 0), 0) for i in range(400)]
     got = quality.score_quality(docs(spark, texts), labels(spark, marks)).collect()
     assert np.mean([r.score for r in got]) > 0.75
+
+
+def test_the_pool_is_summed_like_one_table(spark, monkeypatch):
+    """``train`` over Spark's sums against the same rounds in one process, with rows of all kinds."""
+    rng = random.Random(3)
+    texts = [None, ""] + [sentence(rng, 30) if i % 2 else sentence(rng, 30).replace(" ", "### ") for i in range(500)]
+    marks = [(i, int(i % 2 == 0), 0) for i in range(3, 120)]
+    table = docs(spark, texts).repartition(5)
+    rows = quality.features(table)
+    got = quality.train(rows, labels(spark, marks))
+    known = {i: q for i, q, _ in marks if split_remainder(i, quality.FOLDS) != quality.HELD_OUT}
+    held = sorted((r.doc_id, r.features) for r in rows.collect() if split_remainder(r.doc_id, quality.FOLDS) != quality.HELD_OUT)
+    x, m = quality._views(np.array([f for _, f in held]))
+    y = np.array([known.get(i, 0) for i, _ in held])
+    labelled = np.array([i in known for i, _ in held])
+    check = labelled & np.array([split_remainder(i, 7) < 2 for i, _ in held])
+    want = quality.co_train(x, m, y, labelled & ~check, check)
+    for a, b in ((got.content, want.content), (got.metadata, want.metadata), (got.scale, want.scale), (got.combine, want.combine)):
+        assert np.allclose(a, b, atol=1e-6)
+    alone = quality.co_train(x, m, y, labelled & ~check, check, rounds=0)
+    assert not np.allclose(want.content, alone.content, atol=1e-3)  # the pool took part
+
+
+def test_bounds_take_the_surest_first():
+    counts = np.zeros(quality.BINS)
+    counts[[10, 100, 500]] = 7, 5, 2
+    step = (30 - quality.LEAST) / quality.BINS
+    assert [round((quality._bound(counts, n) - quality.LEAST) / step) for n in (1, 2, 3, 7, 8)] == [500, 500, 100, 100, 10]
+    assert quality._bound(counts, 0) == np.inf and quality._bound(counts * 0, 5) == np.inf
+    assert quality._bound(counts, 100) == quality.LEAST
