@@ -9,6 +9,7 @@ from shelfmark.plans.skew import dimension_join, measured_small
 from shelfmark.session import cut_lineage
 
 DOCUMENT_OPS = ("mark_opened", "set_favorite", "toggle_favorite", "rename", "move", "delete")
+RANGE = 4_096
 COLLECTION_OPS = ("create_collection", "rename_collection", "delete_collection")
 
 
@@ -16,16 +17,6 @@ def _only(op: str):
     return F.col("op") == op
 
 
-def last_seq(op: str):
-    """``seq`` of the last command of one kind, null when there is none."""
-    return F.max(F.when(_only(op), F.col("seq")))
-
-
-def last_value(op: str, value):
-    """Value written by the last command of one kind; it may itself be null."""
-    return F.max_by(F.when(_only(op), value), F.when(_only(op), F.col("seq")))
-
-
 def latest_value(commands: DataFrame) -> DataFrame:
     """The last command per document and kind; combined before the shuffle."""
     payload = ["seq", "collection_id", "str_value", "bool_value", "ts"]
@@ -80,62 +71,95 @@ def apply_to_collections(collections: DataFrame, commands: DataFrame) -> DataFra
     return collection_lives(collections, commands).where(F.col("died").isNull()).select(*collections.columns)
 
 
-def last_places(lives: DataFrame, commands: DataFrame, small: bool | None = None) -> DataFrame:
+def last_places(lives: DataFrame, commands: DataFrame) -> DataFrame:
     """(doc_id, moved_seq, moved) of the last move to the root or into a collection that exists then.
 
     A collection that is deleted afterwards leaves its documents at the root.
     """
     moves = commands.where(_only("move") & F.col("doc_id").isNotNull()).select("owner_id", "doc_id", "seq", "collection_id")
     spans = lives.select("owner_id", "collection_id", "born", "died", F.lit(True).alias("__there"))
-    joined = dimension_join(moves, spans, ["owner_id", "collection_id"], ["seq"], small=small)
+    joined = dimension_join(moves, spans, ["owner_id", "collection_id"], ["seq"])
     valid = joined.where(F.col("collection_id").isNull() | (F.coalesce("__there", F.lit(False)) & _alive()))
     place = F.when(F.col("died").isNull(), F.col("collection_id"))
     return valid.groupBy("doc_id").agg(F.max("seq").alias("moved_seq"), F.max_by(place, F.col("seq")).alias("moved"))
 
 
+def favorite_writes():
+    """A favourite command as a function of the flag: set it or not, then flip it or not; null for other commands."""
+    is_set = _only("set_favorite")
+    return F.when(_only("set_favorite") | _only("toggle_favorite"), F.struct(
+        F.col("seq").cast("bigint").alias("seq"), is_set.alias("is_set"), F.when(is_set, F.col("bool_value")).alias("value"),
+        (~is_set).alias("odd")))
+
+
+def composed(writes):
+    """Favourite functions of an array, applied one after the other by ``seq``, as one such function."""
+    same = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("is_set"),
+                    F.lit(None).cast("boolean").alias("value"), F.lit(False).alias("odd"))
+    return F.aggregate(F.sort_array(writes), same, lambda a, b: F.struct(
+        b["seq"].alias("seq"), (a["is_set"] | b["is_set"]).alias("is_set"),
+        F.when(b["is_set"], b["value"]).otherwise(a["value"]).alias("value"),
+        F.when(b["is_set"], b["odd"]).otherwise(a["odd"] != b["odd"]).alias("odd")))
+
+
+def document_changes(lives: DataFrame, commands: DataFrame, small: bool | None = None) -> DataFrame:
+    """What the log does to each document, as one row: last writes with their ``seq``, deletion and favourite function.
+
+    A command becomes such a row where it is read; rows are then composed within ranges of ``RANGE`` numbers, within
+    ranges of ``RANGE`` of these, and at last by document. The log is read once. Of a document that
+    holds a third of the log no task gets more than ``RANGE`` favourite commands of a range, and the last step gets one row
+    for each 16 million numbers. Moves count when their collection exists at that point; a collection deleted
+    afterwards leaves its documents at the root.
+    """
+    doc = commands.where(F.col("doc_id").isNotNull() & F.col("op").isin(*DOCUMENT_OPS))
+    spans = lives.select("owner_id", F.col("collection_id").alias("__target"), "born", "died", F.lit(True).alias("__there"))
+    placed = dimension_join(
+        doc.withColumn("__target", F.when(_only("move"), F.col("collection_id"))), spans, ["owner_id", "__target"], ["seq"],
+        small=small)
+    valid = F.col("__target").isNull() | (F.coalesce("__there", F.lit(False)) & _alive())
+    written = {
+        "opened": (_only("mark_opened"), F.col("ts")),
+        "renamed": (_only("rename"), F.col("str_value")),
+        "moved": (_only("move") & valid, F.when(F.col("died").isNull(), F.col("__target"))),
+    }
+    # A collection with several lives gives a move a row for each; at most one of them is valid.
+    state = placed.select(
+        "doc_id", "seq", _only("delete").alias("deleted"), favorite_writes().alias("favorite"),
+        *[c for name, (when, value) in written.items()
+          for c in (F.when(when, F.col("seq")).alias(f"{name}_seq"), F.when(when, value).alias(name))],
+    )
+    whole = [
+        F.max("deleted").alias("deleted"), composed(F.collect_list("favorite")).alias("favorite"),
+        *[c for name in written for c in (
+            F.max_by(name, f"{name}_seq").alias(name), F.max(f"{name}_seq").alias(f"{name}_seq"))],
+    ]
+    for _ in range(2):
+        state = state.groupBy("doc_id", F.floor(F.col("seq") / RANGE).alias("seq")).agg(*whole)
+    return state.groupBy("doc_id").agg(*whole)
+
+
 def apply_commands(library: DataFrame, collections: DataFrame, commands: DataFrame) -> DataFrame:
     """Library after the log: last write per field, toggle parity, deletes and dropped moves.
 
-    The log is read three times, for fields, for moves and for toggles; each pass is combined to
-    one row per document before it meets the library. The lives of the collections are folded once and
-    stored. Toggles meet the last ``set_favorite`` of their document in a plain join, whose crowded keys
-    adaptive execution splits.
+    The lives of the collections are folded first and stored; the commands on documents are then read
+    once and combined to one row per document before they meet the library.
     """
-    doc = commands.where(F.col("doc_id").isNotNull() & F.col("op").isin(*DOCUMENT_OPS))
     lives = cut_lineage(collection_lives(collections, commands))
     small = measured_small(lives)
-
-    fields = doc.where(~F.col("op").isin("toggle_favorite", "move")).groupBy("doc_id").agg(
-        last_seq("mark_opened").alias("opened_seq"),
-        last_value("mark_opened", F.col("ts")).alias("opened"),
-        last_seq("set_favorite").alias("favorite_seq"),
-        last_value("set_favorite", F.col("bool_value")).alias("favorite"),
-        last_seq("rename").alias("renamed_seq"),
-        last_value("rename", F.col("str_value")).alias("renamed"),
-        F.max(_only("delete")).alias("deleted"),
-    )
-    sets = fields.select("doc_id", "favorite_seq")
-    toggles = (
-        doc.where(_only("toggle_favorite")).select("doc_id", "seq").join(sets, "doc_id", "left")
-        .where(F.col("favorite_seq").isNull() | (F.col("seq") > F.col("favorite_seq")))
-        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("toggles"))
-    )
     gone = lives.where(F.col("born").isNull() & F.col("died").isNotNull()).select(
         "owner_id", "collection_id", F.lit(True).alias("__gone"))
 
-    def written(seq, value, old):
-        return F.when(F.col(seq).isNotNull(), F.col(value)).otherwise(F.col(old))
+    def written(name, old):
+        return F.when(F.col(f"{name}_seq").isNotNull(), F.col(name)).otherwise(F.col(old))
 
-    odd = F.coalesce(F.col("toggles"), F.lit(0)) % 2 == 1
+    favorite = F.when(F.col("favorite.is_set"), F.col("favorite.value")).otherwise(F.col("is_favorite"))
     new = {
-        "last_opened_at": written("opened_seq", "opened", "last_opened_at"),
-        "is_favorite": written("favorite_seq", "favorite", "is_favorite") != odd,
-        "display_name": written("renamed_seq", "renamed", "display_name"),
-        "collection_id": written("moved_seq", "moved", "collection_id"),
+        "last_opened_at": written("opened", "last_opened_at"),
+        "is_favorite": favorite != F.coalesce(F.col("favorite.odd"), F.lit(False)),
+        "display_name": written("renamed", "display_name"),
+        "collection_id": written("moved", "collection_id"),
     }
-    joined = _clear_collections(library, gone, small)
-    for fold in (fields, last_places(lives, doc, small), toggles):
-        joined = joined.join(fold, "doc_id", "left")
+    joined = _clear_collections(library, gone, small).join(document_changes(lives, commands, small), "doc_id", "left")
     return joined.where(~F.coalesce("deleted", F.lit(False))).select(
         *[new[c].alias(c) if c in new else F.col(c) for c in library.columns]
     )

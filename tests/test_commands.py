@@ -193,3 +193,25 @@ def test_the_fold_reads_the_log_three_times(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     plan = ops.apply_commands(lib, cols, log)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line for line in plan.splitlines()) <= 4
+
+
+def test_the_fold_reads_the_commands_on_documents_once(spark, tmp_path):
+    lib, cols = library(spark, doc(1, "a")), collections(spark, (1, "c"))
+    commands(spark, (1, "rename", 1, {"text": "b"}), (2, "toggle_favorite", 1, {}), (3, "move", 1, {"collection": 1})).write.parquet(
+        str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    out = ops.apply_commands(lib, cols, log)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line for line in plan.splitlines()) == 1
+    assert state(out) == {1: ("b", None, True, 1)}
+
+
+def test_ranges_of_the_log_compose_in_order(spark, monkeypatch):
+    """Ranges of three numbers: favourites of a hot document and moves cross them at all three levels."""
+    monkeypatch.setattr(ops, "RANGE", 3)
+    docs = [doc(i, f"d{i}", favorite=i % 2 == 0, collection=[None, 1, 2][i % 3]) for i in range(1, 7)]
+    lib, cols = library(spark, *docs), collections(spark, (1, "a"), (2, "b"), (3, "c"))
+    for seed in (4, 5):
+        log = random_log(150, seed)
+        expected, _ = replay(docs, [(1, "a"), (2, "b"), (3, "c")], log)
+        assert state(fold(spark, lib, cols, *log)) == expected
