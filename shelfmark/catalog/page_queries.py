@@ -154,7 +154,7 @@ FROM (SELECT doc_id, page_index, (i - 1)::INTEGER AS "index", full_text[i] AS "c
       FROM (SELECT *, unnest(range(1, length(full_text) + 1)) AS i FROM page_text)) GROUP BY 1, 2""")
 def _(spark, d):
     # One row per page keeps the compared result small; every character takes part.
-    return pages.explode_chars(s.page_rects(spark, d)).groupBy("doc_id", "page_index").agg(
+    return pages.explode_chars(s.page_text(spark, d)).groupBy("doc_id", "page_index").agg(
         F.count(F.lit(1)).alias("chars"), F.max("index").alias("last_index"), F.sum("left").alias("lefts"),
         F.max("right").alias("last_right"), F.min("character").alias("low"), F.max("character").alias("high"),
         F.count_if(F.col("character") == "e").alias("es"))
@@ -209,10 +209,10 @@ SELECT doc_id, page_index, "offset" AS start, "offset" + 20 AS stop, substr(full
        least(20, length(full_text) - "offset")::BIGINT AS rects, ("offset" * 7.0)::DOUBLE AS first_left
 FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def _(spark, d):
-    laid_out = s.page_rects(spark, d)
-    ranges = search.search_text(laid_out, "license").select(
+    text = s.page_text(spark, d)
+    ranges = search.search_text(text, "license").select(
         "doc_id", "page_index", F.col("offset").alias("start"), (F.col("offset") + 20).alias("stop"))
-    return pages.select_range(laid_out, ranges, _permissions(spark, d)).select(
+    return pages.select_range(text, ranges, _permissions(spark, d)).select(
         "doc_id", "page_index", "start", "stop", "text", F.size("rects").cast("bigint").alias("rects"),
         F.get("rects", F.lit(0))["left"].alias("first_left"))
 

@@ -74,7 +74,7 @@ def is_bmp(text: Column) -> Column:
 
 def characters(text: Column) -> Column:
     """The code points of ``text``; empty text gives an empty array."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "", 0))
 
 
 def char_units(char: Column) -> Column:
@@ -190,18 +190,20 @@ def snippets(text: Column, starts: Column, length: Column, around: int) -> Colum
     return F.when(F.length(text) <= 2 * size, F.transform(starts, direct)).otherwise(let(pieces, blocked))
 
 
+def grid_rect(i: Column) -> Column:
+    """The rectangle of UTF-16 unit ``i`` on a single line."""
+    return F.struct(
+        (i * CHAR_WIDTH).alias("left"),
+        F.lit(LINE_TOP).alias("top"),
+        (i * CHAR_WIDTH + CHAR_WIDTH).alias("right"),
+        F.lit(LINE_BOTTOM).alias("bottom"),
+    )
+
+
 def grid_rects(text: Column) -> Column:
     """One rectangle per UTF-16 unit, left to right on a single line."""
-    def cell(i: Column) -> Column:
-        return F.struct(
-            (i * CHAR_WIDTH).alias("left"),
-            F.lit(LINE_TOP).alias("top"),
-            (i * CHAR_WIDTH + CHAR_WIDTH).alias("right"),
-            F.lit(LINE_BOTTOM).alias("bottom"),
-        )
-
     n = utf16_length(F.coalesce(text, F.lit("")))
-    cells = F.transform(F.sequence(F.lit(0), n - 1), cell)
+    cells = F.transform(F.sequence(F.lit(0), n - 1), grid_rect)
     return F.when(n > 0, cells).otherwise(F.array().cast("array<struct<left:double,top:double,right:double,bottom:double>>"))
 
 

@@ -9,7 +9,7 @@ from shelfmark.plans.skew import dimension_join, measured_small
 from shelfmark.session import cut_lineage
 
 DOCUMENT_OPS = ("mark_opened", "set_favorite", "toggle_favorite", "rename", "move", "delete")
-RANGE = 4_096
+RANGE = 1 << 20
 COLLECTION_OPS = ("create_collection", "rename_collection", "delete_collection")
 
 
@@ -105,10 +105,10 @@ def composed(writes):
 def document_changes(lives: DataFrame, commands: DataFrame, small: bool | None = None) -> DataFrame:
     """What the log does to each document, as one row: last writes with their ``seq``, deletion and favourite function.
 
-    A command becomes such a row where it is read; rows are then composed within ranges of ``RANGE`` numbers, within
-    ranges of ``RANGE`` of these, and at last by document. The log is read once. Of a document that
-    holds a third of the log no task gets more than ``RANGE`` favourite commands of a range, and the last step gets one row
-    for each 16 million numbers. Moves count when their collection exists at that point; a collection deleted
+    A command becomes such a row where it is read; rows are then composed within ranges of ``RANGE`` numbers and at
+    last by document, so the log is read once. Of a document that
+    holds a third of the log no task gets more than the favourite commands of a range, and the last step gets one row
+    for each range. Moves count when their collection exists at that point; a collection deleted
     afterwards leaves its documents at the root.
     """
     doc = commands.where(F.col("doc_id").isNotNull() & F.col("op").isin(*DOCUMENT_OPS))
@@ -133,9 +133,8 @@ def document_changes(lives: DataFrame, commands: DataFrame, small: bool | None =
         *[c for name in written for c in (
             F.max_by(name, f"{name}_seq").alias(name), F.max(f"{name}_seq").alias(f"{name}_seq"))],
     ]
-    for _ in range(2):
-        state = state.groupBy("doc_id", F.floor(F.col("seq") / RANGE).alias("seq")).agg(*whole)
-    return state.groupBy("doc_id").agg(*whole)
+    ranges = state.groupBy("doc_id", F.floor(F.col("seq") / RANGE).alias("range")).agg(*whole)
+    return ranges.groupBy("doc_id").agg(*whole)
 
 
 def apply_commands(library: DataFrame, collections: DataFrame, commands: DataFrame) -> DataFrame:

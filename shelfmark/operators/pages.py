@@ -7,6 +7,7 @@ from shelfmark.functions.documents import decode_permissions, has_text
 from shelfmark.functions.text import (
     char_units,
     characters,
+    grid_rect,
     grid_rects,
     is_bmp,
     let,
@@ -45,23 +46,21 @@ def check_alignment(pages: DataFrame) -> DataFrame:
 
 
 def explode_chars(pages: DataFrame) -> DataFrame:
-    """One row per character: UTF-16 index, units taken, character and its rectangle."""
-    def rows(chars):
-        def indexed(starts):
-            return F.zip_with(chars, starts, lambda c, i: F.struct(
-                i.alias("index"), char_units(c).alias("units"), c.alias("character"),
-                F.get(F.col("char_rects"), i).alias("rect"),
-            ))
-
-        return F.when(
-            is_bmp(F.col("full_text")), indexed(F.transform(chars, lambda _, i: i))
-        ).otherwise(let(prefix_sums(F.transform(chars, char_units)), indexed))
+    """One row per character: UTF-16 index, units taken, character and its rectangle.
 
-    return (
-        pages_with_text(pages)
-        .select("doc_id", "page_index", F.explode(let(characters(F.col("full_text")), rows)).alias("c"))
-        .select("doc_id", "page_index", "c.index", "c.units", "c.character", "c.rect.*")
-    )
+    Pages without ``char_rects`` are laid out on one line, a rectangle at a time.
+    """
+    text = F.col("full_text")
+    chars = characters(text)
+    starts = F.when(is_bmp(text), F.sequence(F.lit(0), F.length(text) - 1)).otherwise(
+        prefix_sums(F.transform(chars, char_units)))
+    # Characters and places are one array before they become rows, so a page is cut once.
+    cut = F.explode(F.arrays_zip(chars.alias("character"), starts.alias("index")))
+    index = F.col("c.index")
+    rect = F.get("char_rects", index) if "char_rects" in pages.columns else grid_rect(index)
+    return pages_with_text(pages).withColumn("c", cut).select(
+        "doc_id", "page_index", "c.index", char_units(F.col("c.character")).alias("units"), "c.character", rect.alias("rect"),
+    ).select("doc_id", "page_index", "index", "units", "character", "rect.*")
 
 
 def copy_permitted(pages: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -76,11 +75,13 @@ def select_range(pages: DataFrame, ranges: DataFrame, permissions: DataFrame | N
     """Text and rectangles of the UTF-16 range ``[start, stop)`` of a page.
 
     ``ranges`` is ``(doc_id, page_index, start, stop)``. A surrogate pair is selected
-    when its first unit lies in the range.
+    when its first unit lies in the range. Pages without ``char_rects`` are laid out on one line once
+    they met their ranges, and only inside these.
     """
     if permissions is not None:
         ranges = copy_permitted(ranges, permissions)
-    wanted = pages.select("doc_id", "page_index", "full_text", "char_rects")
+    given = "char_rects" in pages.columns
+    wanted = pages.select("doc_id", "page_index", "full_text", *(["char_rects"] if given else []))
     joined = few_against_many(ranges, wanted, ["doc_id", "page_index"], ["start", "stop"])
     text, a, b = F.col("full_text"), F.col("start"), F.col("stop")
     size = F.greatest(b - a, F.lit(0))
@@ -92,10 +93,12 @@ def select_range(pages: DataFrame, ranges: DataFrame, permissions: DataFrame | N
                 lambda x: x["c"],
             ), ""))
 
+    last = F.least(b, utf16_length(text)) - 1
+    drawn = F.when(last >= a, F.transform(F.sequence(a, last), grid_rect)).otherwise(F.array())
     return joined.select(
         "doc_id", "page_index", "start", "stop",
         F.when(is_bmp(text), F.substring(text, a + 1, size)).otherwise(let(characters(text), covered)).alias("text"),
-        F.slice("char_rects", a + 1, size).alias("rects"),
+        (F.slice("char_rects", a + 1, size) if given else drawn).alias("rects"),
     )
 
 

@@ -207,7 +207,7 @@ def test_the_fold_reads_the_commands_on_documents_once(spark, tmp_path):
 
 
 def test_ranges_of_the_log_compose_in_order(spark, monkeypatch):
-    """Ranges of three numbers: favourites of a hot document and moves cross them at all three levels."""
+    """Ranges of three numbers: favourites of a hot document and moves cross them."""
     monkeypatch.setattr(ops, "RANGE", 3)
     docs = [doc(i, f"d{i}", favorite=i % 2 == 0, collection=[None, 1, 2][i % 3]) for i in range(1, 7)]
     lib, cols = library(spark, *docs), collections(spark, (1, "a"), (2, "b"), (3, "c"))

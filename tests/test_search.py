@@ -220,6 +220,16 @@ def test_select_range_and_permission(spark):
     assert got == {1: ("ell", 3), 2: ("😀b", 3)}
 
 
+def test_pages_without_rectangles_are_laid_out(spark):
+    given = pages(spark, (1, 0, "hello", rects("hello")), (2, 0, "a😀bc", rects("a😀bc")), (3, 0, "", []), (4, 0, " x", rects(" x")))
+    bare = given.drop("char_rects")
+    laid = page_ops.with_grid_rects(given)
+    assert sorted(page_ops.explode_chars(bare).collect()) == sorted(page_ops.explode_chars(laid).collect())
+    ranges = spark.createDataFrame([(1, 0, 1, 4), (1, 0, 3, 99), (1, 0, 4, 2), (2, 0, 1, 4), (2, 0, 9, 12)],
+                                   "doc_id long, page_index int, start int, stop int")
+    assert sorted(page_ops.select_range(bare, ranges).collect()) == sorted(page_ops.select_range(laid, ranges).collect())
+
+
 def test_text_stats(spark):
     got = {r.doc_id: (r.pages, r.pages_with_text, r.characters, r.needs_ocr) for r in page_ops.text_stats(small(spark)).collect()}
     third = f"Searchable marker string: {TOKEN} appears only here."
