@@ -1,6 +1,7 @@
 """Toxic spans by a linear-chain conditional random field; document scores from its marginals."""
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,12 +16,13 @@ from shelfmark.plans.skew import measured_small
 FOLDS = 5
 HELD_OUT = 0
 SAMPLE_ROWS = 1_500
-SAMPLE_WORDS = 100
+CHAIN_ROUNDS = 40
 MIN_DOCS = 4
 MIN_LOG_ODDS = 1.5
-MAX_LEXICON = 20_000
-COMMON_WORDS = 300
+MIN_SHARE = 1 / 20_000
+COMMON_SHARE = 0.02
 PENDING_WORDS = 500_000
+PENDING_BYTES = 64 << 20
 SLICE_BYTES = 1 << 20
 LANES = 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -33,7 +35,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def word_odds(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(word, docs, log_odds): a lower bound of how much likelier a word's documents are labelled toxic.
+    """(word, docs, bad, log_odds): a lower bound of how much likelier a word's documents are labelled toxic.
 
     All labelled training rows are counted; a word counts once for each document. The bound lies two
     standard errors below the log-odds.
@@ -44,13 +46,14 @@ def word_odds(docs: DataFrame, labels: DataFrame) -> DataFrame:
              pa.array(list(counted.values()), pa.int64())], ["word", "toxic", "n"])
 
     def run(batches):
-        counted = Counter()
+        counted, size = Counter(), 0
         for part in slices(batches, "data", SLICE_BYTES):
             for data, toxic in zip(part.column("data").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                counted.update((w, toxic) for w in set(tokens(data)) if 0 < len(w) <= 64)
-            if len(counted) > PENDING_WORDS:
+                counted.update((w, toxic) for w in set(tokens(data)) if w)
+            size += part.nbytes
+            if len(counted) > PENDING_WORDS or size > PENDING_BYTES:
                 yield batch(counted)
-                counted = Counter()
+                counted, size = Counter(), 0
         yield batch(counted)
 
     total = labels.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
@@ -59,7 +62,7 @@ def word_odds(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bad, fine = (F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0)) for t in (1, 0))
     b, f = F.col("bad") + 0.5, F.col("fine") + 0.5
     return counted.groupBy("word").agg(bad.alias("bad"), fine.alias("fine")).select(
-        "word", (F.col("bad") + F.col("fine")).alias("docs"),
+        "word", (F.col("bad") + F.col("fine")).alias("docs"), "bad",
         (F.log(b / (total[0] + 1.0)) - F.log(f / (total[1] + 1.0)) - 2 * F.sqrt(1 / b + 1 / f)).alias("log_odds"),
     )
 
@@ -139,40 +142,73 @@ def pair_marginals(emission: np.ndarray, step: np.ndarray, forward: np.ndarray,
     return both / (m[0, 0] + m[0, 1] * x + m[1, 0] * prior + both)
 
 
-def fit_chain(texts: list[list[bytes]], tags: list[np.ndarray], vocabulary: list[bytes], rounds: int = 60) -> Field:
-    """Maximum likelihood with a Gaussian prior by gradient steps (Rprop) on expected minus observed counts."""
-    ids = {w: i + 1 for i, w in enumerate(vocabulary)}
-    kept = [i for i, t in enumerate(texts) if t]
-    flat = np.fromiter((ids.get(w, 0) for i in kept for w in texts[i]), np.int64)
-    y = np.concatenate([tags[i] for i in kept]).astype(float) if kept else np.empty(0)
-    first = np.zeros(len(flat), bool)
-    if kept:
-        first[np.cumsum([0] + [len(texts[i]) for i in kept[:-1]])] = True
+def chain_gradient(ids: np.ndarray, y: np.ndarray, first: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Observed minus expected counts of texts laid end to end: words, staying in tag 1, starting in tag 1.
+
+    ``ids`` numbers the words (0: any other), ``y`` holds the labelled tags, ``first`` marks starts.
+    """
+    n = len(theta) - 2
+    if not len(ids):
+        return np.zeros(n + 2)
+    stay, start = theta[n], theta[n + 1]
+    emission, table = theta[ids], np.array([[0.0, 0.0], [0.0, stay]])
+    forward, backward = messages(emission, first, table, start)
+    p = forward * backward / (1 + forward * backward)
+    pair = pair_marginals(emission, table, forward, backward)
+    return np.concatenate([
+        np.bincount(ids, y - p, n), [(y * np.roll(y, 1) - pair)[~first].sum()], [(y - p)[first].sum()]])
+
+
+def fit_chain(gradient: Callable[[np.ndarray], np.ndarray], vocabulary: list[bytes], rounds: int = CHAIN_ROUNDS) -> Field:
+    """Maximum likelihood with a Gaussian prior by gradient steps (Rprop); ``gradient`` sums over all texts.
+
+    Word ``i`` of the vocabulary has number ``i + 1``.
+    """
     n = len(vocabulary) + 1
     theta = np.zeros(n + 2)  # words, stay in tag 1, start in tag 1
     theta[:n], theta[n + 1] = -2.0, -2.0
     step, last = np.full(n + 2, 0.3), np.zeros(n + 2)
-    seen_words = np.bincount(flat, y, n) if len(flat) else np.zeros(n)
-    inner = ~first
-    before = np.roll(y, 1)
-    seen_stay = float((y * before)[inner].sum())
-    for _ in range(rounds if len(flat) else 0):
-        w, stay, start = theta[:n], theta[n], theta[n + 1]
-        table = np.array([[0.0, 0.0], [0.0, stay]])
-        forward, backward = messages(w[flat], first, table, start)
-        p = forward * backward / (1 + forward * backward)
-        pair = pair_marginals(w[flat], table, forward, backward)
-        grad = np.concatenate([
-            seen_words - np.bincount(flat, p, n), [seen_stay - pair[inner].sum()], [(y - p)[first].sum()],
-        ]) - 0.05 * theta
+    for _ in range(rounds):
+        grad = gradient(theta) - 0.05 * theta
         same = grad * last
         step = np.clip(np.where(same > 0, step * 1.2, np.where(same < 0, step * 0.5, step)), 1e-3, 1.0)
         theta = np.clip(theta + np.sign(grad) * step, -12, 12)
         last = grad
-    return Field({w: float(theta[i]) for w, i in ids.items()}, float(theta[0]),
+    return Field({w: float(theta[i + 1]) for i, w in enumerate(vocabulary)}, float(theta[0]),
                  np.array([[0.0, 0.0], [0.0, float(theta[n])]]), float(theta[n + 1]), np.zeros(4))
 
 
+def coded(sample: DataFrame, lexicon: list[bytes], common: list[bytes]) -> DataFrame:
+    """(ids, toxic): the whole texts as 32-bit word numbers, toxic words first, then common ones, 0 for others."""
+    number = {w: i + 1 for i, w in enumerate([*lexicon, *common])}
+
+    def run(batches):
+        for part in slices(batches, "data", SLICE_BYTES):
+            ids = [np.array([number.get(w, 0) for w in tokens(d)], np.int32).tobytes() for d in part.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), part.column("toxic").cast(pa.int32())], ["ids", "toxic"])
+
+    return sample.mapInArrow(run, "ids binary, toxic int")
+
+
+def summed_gradient(texts: DataFrame, n_toxic: int, theta: np.ndarray) -> np.ndarray:
+    """The gradient over coded texts, each task adding up its own; numbers up to ``n_toxic`` are toxic words."""
+    def run(batches):
+        total = np.zeros(len(theta))
+        for part in slices(batches, "ids", SLICE_BYTES):
+            rows = [(np.frombuffer(d, np.int32), t) for d, t in zip(
+                part.column("ids").to_pylist(), part.column("toxic").to_pylist(), strict=True) if d]
+            if rows:
+                ids = np.concatenate([d for d, _ in rows])
+                marked = np.repeat([t == 1 for _, t in rows], [len(d) for d, _ in rows])
+                first = np.zeros(len(ids), bool)
+                first[np.cumsum([0] + [len(d) for d, _ in rows[:-1]])] = True
+                total += chain_gradient(ids, (marked & (ids > 0) & (ids <= n_toxic)).astype(float), first, theta)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["grad"])
+
+    parts = texts.mapInArrow(run, "grad array<double>").collect()
+    return sum((np.array(r.grad) for r in parts), np.zeros(len(theta)))
+
+
 def document_features(p: np.ndarray) -> list[float]:
     """Constant, log-odds that some token is toxic, expected toxic tokens and their share."""
     if not len(p):
@@ -199,44 +235,32 @@ def fit_logistic(
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     """Fit the field on labelled rows outside the held-out fold.
 
-    Word statistics come from all of these rows. The chain and the calibration are fitted on at most
-    ``sample_rows`` rows of each label (the smallest hashes of the id); for the chain a text gives
-    ``sample_words`` words around its first suspect one, for the calibration the whole text counts.
-    Labelled tokens: the words of toxic rows that occur in at least ``MIN_DOCS`` rows with bounded log-odds
-    of at least ``MIN_LOG_ODDS`` are toxic, all others are not. Labels other than 0 and 1 are not used;
-    an id labelled both ways counts as toxic.
+    Word statistics come from all of these rows and words of any length. The chain and the calibration are fitted on the
+    whole texts of at most ``sample_rows`` rows of each label (the smallest hashes of the id), in Spark tasks that add up
+    gradients. Labelled tokens: the words of toxic rows that occur in at least ``MIN_DOCS`` rows and ``MIN_SHARE`` of the
+    toxic ones with bounded log-odds of at least ``MIN_LOG_ODDS`` are toxic, all others are not. Words in
+    ``COMMON_SHARE`` of the labelled rows have weights of their own too; both shares bound the number of words by that of
+    a text. Labels other than 0 and 1 are not used; an id labelled both ways counts as toxic.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(remainder("doc_id", FOLDS) != HELD_OUT).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stored(known, "labels")
-    odds = word_odds(docs, known).where((F.col("docs") >= MIN_DOCS) & (F.col("log_odds") >= MIN_LOG_ODDS))
-    best = odds.orderBy(F.desc("log_odds"), F.desc("docs"), "word").limit(MAX_LEXICON)
-    lexicon = {bytes(r.word) for r in best.select("word").collect()}
+    share = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    suspect = (
+        (F.col("docs") >= MIN_DOCS) & (F.col("log_odds") >= MIN_LOG_ODDS) & (F.col("bad") >= MIN_SHARE * share.get(1, 0)))
+    chosen = word_odds(docs, known).select("word", suspect.alias("toxic"), "docs").where(
+        F.col("toxic") | (F.col("docs") >= COMMON_SHARE * sum(share.values()))).collect()
+    lexicon = sorted(bytes(r.word) for r in chosen if r.toxic)
+    common = sorted(bytes(r.word) for r in chosen if not r.toxic)
     few = reduce(DataFrame.union, [
         known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for value in (0, 1)
     ])
     sample = stored(docs.join(F.broadcast(few), "doc_id").select(text_bytes().alias("data"), "toxic"), "sample")
-
-    def cut(batches):
-        for part in slices(batches, "data", SLICE_BYTES):
-            out = []
-            for data in part.column("data").to_pylist():
-                words = tokens(data)
-                at = next((i for i, w in enumerate(words) if w in lexicon), 0)
-                begin = max(0, at - sample_words // 2)
-                out.append(words[begin:begin + sample_words])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.list_(pa.binary())), part.column("toxic").cast(pa.int32())], ["words", "toxic"])
-
-    rows = [([bytes(w) for w in r.words], r.toxic) for r in sample.mapInArrow(cut, "words array<binary>, toxic int").collect()]
-    rows.sort()
-    texts = [words for words, _ in rows]
-    tags = [np.array([toxic and w in lexicon for w in words], float) for words, toxic in rows]
-    common = Counter(w for t in texts for w in t).most_common(COMMON_WORDS)
-    field = fit_chain(texts, tags, sorted(lexicon | {w for w, _ in common}))
+    texts = stored(coded(sample, lexicon, common), "coded")
+    field = fit_chain(lambda theta: summed_gradient(texts, len(lexicon), theta), [*lexicon, *common])
 
     def measure(batches):
         for part in slices(batches, "data", SLICE_BYTES):
@@ -247,7 +271,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
     seen = sorted((tuple(r.x), r.toxic) for r in sample.mapInArrow(measure, "x array<double>, toxic int").collect())
     # The sample has as many rows of either label as there are; weights give back their share among all rows.
-    share = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     kept = Counter(t for _, t in seen)
     weight = np.array([share[t] / kept[t] for _, t in seen])
     field.calibration = fit_logistic(np.array([x for x, _ in seen]).reshape(-1, 4), np.array([t for _, t in seen], float), weight)

@@ -61,3 +61,40 @@ def test_held_out_accuracy_and_spans(spark):
 def test_spans_are_code_points():
     data = "é über bad! bad ok".encode()
     assert toxicity.spans(data, np.array([0, 0, 0.9, 0.8, 0.1])) == [{"start": 7, "end": 15}]
+
+
+def test_gradient_matches_enumeration_and_sums_over_rows(spark):
+    """Expected counts over all tag sequences of each text, and the same from Spark tasks."""
+    rng = np.random.default_rng(3)
+    theta = np.array([-1.0, 0.7, 0.2, -0.4, 1.1, -0.6])  # other, toxic word, two common ones, stay, start
+    texts = [(rng.integers(0, 4, n), t) for n, t in ((5, 1), (1, 0), (6, 0), (0, 1), (4, 1))]
+    expected = np.zeros(6)
+    for ids, toxic in texts:
+        if not len(ids):
+            continue
+        y = (ids == 1) & (toxic == 1)
+        total, sums = 0.0, np.zeros(6)
+        for tags in itertools.product((0, 1), repeat=len(ids)):
+            t = np.array(tags)
+            f = np.r_[np.bincount(ids, t, 4), (t[1:] * t[:-1]).sum(), t[0]]
+            weight = np.exp(f @ theta)
+            total, sums = total + weight, sums + weight * f
+        expected += np.r_[np.bincount(ids, y, 4), (y[1:] * y[:-1]).sum(), y[0]] - sums / total
+    words = [b"other", b"bad", b"one", b"two"]
+    sample = spark.createDataFrame(
+        [(bytearray(b" ".join(words[i] for i in ids)), t) for ids, t in texts], "data binary, toxic int").repartition(3)
+    got = toxicity.summed_gradient(toxicity.coded(sample, [b"bad"], [b"one", b"two"]), 1, theta)
+    assert np.allclose(got, expected, rtol=1e-9, atol=1e-9)
+
+
+def test_words_of_any_length_and_place_are_learned(spark):
+    """A toxic word of 90 bytes behind three hundred clean ones, in whole texts."""
+    rng = random.Random(9)
+    bad, texts, marks = "vile" * 22 + "st", [], []
+    for i in range(200):
+        words = sentence(rng, 300).split() + ([bad] if i % 3 == 0 else []) + sentence(rng, 5).split()
+        texts.append(" ".join(words))
+        marks.append((i + 1, 1, int(i % 3 == 0)))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, texts), labels(spark, marks)).collect()}
+    assert all(got[i].predicted == t for i, _, t in marks)
+    assert all(texts[i - 1][s.start:s.end] == bad for i, _, t in marks for s in got[i].spans)
