@@ -9,7 +9,7 @@ from shelfmark.operators.intake import classify_intake
 from shelfmark.operators.library import managed_rows, selected_documents
 from shelfmark.sources import snapshots
 from shelfmark.sources.extract import ExtractionFailure, extract_pages
-from shelfmark.sources.files import export_subset, scan_files
+from shelfmark.sources.files import export_subset, hash_files, scan_files
 from shelfmark.sources.snapshots import (
     NothingProduced,
     ValidationRejected,
@@ -270,3 +270,57 @@ def test_extractor_failing_midway_keeps_no_page(spark):
 
     rows = extract_pages(files(spark, a=b"x"), extractor, partitions=2).collect()
     assert [(r.page_index, r.failure_code) for r in rows] == [(None, "unknown")]
+
+
+def test_files_beyond_the_limit_are_hashed_in_pieces(spark, tmp_path):
+    bodies = {"a.pdf": PDF + b"1", "two words.pdf": PDF + bytes(range(256)) * 9, "ü%20.pdf": b"no magic" * 50}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5)
+    try:
+        rows = hash_files(scan_files(spark, str(tmp_path)), piece_bytes=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    got = {r.path.rsplit("/", 1)[1]: r for r in rows}
+    assert len(rows) == len(bodies) and all(r.failure_detail is None for r in rows)
+    for name, body in bodies.items():
+        r = got[name]
+        digest = hashlib.sha256(body).hexdigest()
+        assert (r.content_hash, r.size_bytes, r.relative_path) == (digest, len(body), f"{digest[:2]}/{digest}.pdf")
+        assert bool(r.is_pdf) == body.startswith(PDF)
+
+
+def test_large_files_that_cannot_be_read_say_so(spark, tmp_path):
+    (tmp_path / "b.pdf").write_bytes(PDF)
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    listed = spark.createDataFrame([(f"file:{tmp_path}/gone.pdf", 9, None), (f"file:{tmp_path}/b.pdf", 99, None),
+                                    (f"file:{tmp_path}/empty.pdf", 0, None)], "path string, length long, content binary")
+    empty, *got = hash_files(listed).orderBy("size_bytes").collect()
+    assert (empty.content_hash, empty.failure_detail) == (hashlib.sha256(b"").hexdigest(), None)
+    assert [r.content_hash for r in got] == [None, None]
+    assert "gone.pdf" in got[0].failure_detail and got[1].failure_detail == "file has 4 bytes and was listed with 99"
+
+
+def test_point_lookups_open_only_row_groups_that_may_hold_the_id(spark, tmp_path):
+    ids = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("name"))
+    publish_audited(spark, lambda: ids, str(tmp_path / "t"), key="doc_id", parts=4, lookup="doc_id")
+    table = read_published(spark, str(tmp_path / "t"))
+
+    def rows_scanned(doc_id):
+        found = table.where(F.col("doc_id") == doc_id)
+        plan = found._jdf.queryExecution().executedPlan()
+        n = len(plan.executeCollect())
+        return n, plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_scanned(7_001) == (0, 0)  # inside the files' ranges, but in none
+    found, scanned = rows_scanned(7_000)
+    assert found == 1 and 0 < scanned < 10_000  # the four parts have the same range; the filter tells them apart
+    filters, written = 0, list((tmp_path / "t").glob("data-*/__part=*/*.parquet"))
+    jvm = spark._jvm
+    for file in written:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+            jvm.org.apache.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration())
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        filters += sum(b.getColumns().get(0).getBloomFilterOffset() > 0 for b in reader.getFooter().getBlocks())
+        reader.close()
+    assert filters == len(written) >= 4
