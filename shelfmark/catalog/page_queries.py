@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog.sql import COMMANDS, OPLOG, OUTLINE, PAGES, hits, with_
 from shelfmark.functions.documents import decode_permissions, has_text, identity_hash, rebase_page
+from shelfmark.functions.text import character_of, code_point
 from shelfmark.operators import oplog, outline, page_index, pages, search
 from shelfmark.session import shared_path
 from shelfmark.sources import sample_tables as s
@@ -153,11 +154,14 @@ FROM (SELECT doc_id, page_index, (i - 1)::INTEGER AS "index", full_text[i] AS "c
              i * 7.0::DOUBLE AS "right"
       FROM (SELECT *, unnest(range(1, length(full_text) + 1)) AS i FROM page_text)) GROUP BY 1, 2""")
 def _(spark, d):
-    # One row per page keeps the compared result small; every character takes part.
+    # One row per page keeps the compared result small; every character takes part. The smallest and largest are found as
+    # numbers: strings would sort all characters before they are combined.
+    point = code_point(F.col("character"))
     return pages.explode_chars(s.page_text(spark, d)).groupBy("doc_id", "page_index").agg(
         F.count(F.lit(1)).alias("chars"), F.max("index").alias("last_index"), F.sum("left").alias("lefts"),
-        F.max("right").alias("last_right"), F.min("character").alias("low"), F.max("character").alias("high"),
-        F.count_if(F.col("character") == "e").alias("es"))
+        F.max("right").alias("last_right"), F.min(point).alias("low"), F.max(point).alias("high"),
+        F.count_if(F.col("character") == "e").alias("es"),
+    ).withColumns({c: character_of(F.col(c)) for c in ("low", "high")})
 
 
 @query("grid_rects", with_(PAGES) + """

@@ -77,6 +77,16 @@ def characters(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "", 0))
 
 
+def code_point(char: Column) -> Column:
+    """The number of a character; numbers order like the characters and aggregate in place, without a sort."""
+    return F.ascii(char)
+
+
+def character_of(point: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def char_units(char: Column) -> Column:
     """UTF-16 units of one character: four UTF-8 bytes mean a surrogate pair."""
     return F.when(F.octet_length(char) == 4, F.lit(2)).otherwise(F.lit(1))
