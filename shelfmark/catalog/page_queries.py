@@ -142,9 +142,8 @@ FROM page_text p LEFT JOIN page_text f ON f.doc_id = p.doc_id AND f.page_index =
 WHERE coalesce(length(f.full_text), 0) <> length(p.full_text)""")
 def _(spark, d):
     # Rectangles of the page before, so that most pages are misaligned.
-    laid_out = s.page_rects(spark, d)
-    shifted = laid_out.select("doc_id", (F.col("page_index") + 1).alias("page_index"), "char_rects")
-    return pages.check_alignment(laid_out.drop("char_rects").join(shifted, ["doc_id", "page_index"], "left"))
+    shifted = s.page_rects(spark, d).withColumn("page_index", F.col("page_index") + 1)
+    return pages.check_alignment(s.page_text(spark, d), shifted)
 
 
 @query("explode_chars", with_(PAGES) + """

@@ -34,14 +34,20 @@ def with_grid_rects(pages: DataFrame) -> DataFrame:
     return pages.withColumn("char_rects", grid_rects(F.col("full_text")))
 
 
-def check_alignment(pages: DataFrame) -> DataFrame:
-    """Pages whose rectangles do not match their UTF-16 units one to one."""
-    counted = pages.select(
-        "doc_id",
-        "page_index",
-        F.when(F.col("char_rects").isNull(), F.lit(0)).otherwise(F.size("char_rects")).cast("bigint").alias("rects"),
-        utf16_length(F.coalesce("full_text", F.lit(""))).cast("bigint").alias("units"),
-    )
+def check_alignment(pages: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """Pages whose rectangles do not match their UTF-16 units one to one.
+
+    ``layouts`` (``doc_id``, ``page_index``, ``char_rects``; unique) gives rectangles that lie in a table of their own. Both
+    sides are counted where they are read, so neither text nor rectangles are shuffled.
+    """
+    keys = ["doc_id", "page_index"]
+    rects = F.coalesce(F.array_size("char_rects"), F.lit(0)).cast("bigint").alias("rects")
+    units = utf16_length(F.coalesce("full_text", F.lit(""))).cast("bigint").alias("units")
+    if layouts is None:
+        counted = pages.select(*keys, rects, units)
+    else:
+        counted = pages.select(*keys, units).join(layouts.select(*keys, rects), keys, "left").select(
+            *keys, F.coalesce("rects", F.lit(0).cast("bigint")).alias("rects"), "units")
     return counted.where(F.col("rects") != F.col("units"))
 
 

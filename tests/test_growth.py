@@ -1,10 +1,12 @@
 """Work that must not grow faster than the tables."""
 
 import pytest
+from helpers import pages, values
 from pyspark.sql import functions as F
 
 from shelfmark.catalog.page_queries import QUERIES
 from shelfmark.functions.text import character_of, code_point
+from shelfmark.operators import pages as page_ops
 
 
 @pytest.fixture
@@ -21,6 +23,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def joined_columns(df):
+    """Names of the columns that the sides of a query's joins hand on."""
+    def joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return [c for child in children for c in joins(child)] + (children if node.nodeName() == "Join" else [])
+
+    sides = [side.output() for side in joins(df._jdf.queryExecution().optimizedPlan())]
+    return {out.apply(i).name() for out in sides for i in range(out.size())}
+
+
 def test_characters_are_combined_without_a_sort(spark, tables):
     path, texts = tables
     df = QUERIES["explode_chars"](spark, path)
@@ -34,3 +46,20 @@ def test_code_points_and_back(spark):
     df = spark.createDataFrame([(c,) for c in chars], "c string").select("c", code_point(F.col("c")).alias("n"))
     got = df.select("c", "n", character_of(F.col("n")).alias("back")).collect()
     assert {(r.c, r.n, r.back) for r in got} == {(c, ord(c), c) for c in chars}
+
+
+def test_alignment_shuffles_counts_alone(spark, tables):
+    path, texts = tables
+    df = QUERIES["check_alignment"](spark, path)
+    assert joined_columns(df) == {"doc_id", "page_index", "rects", "units"}
+    units = [[len(t.encode("utf-16-le")) // 2 for t in text.split("\n")] for text in texts]
+    want = [(d, p, before, n) for d, ns in enumerate(units) for p, (before, n) in enumerate(zip([0, *ns], ns, strict=False)) if before != n]
+    assert sorted(values(df, "doc_id", "page_index", "rects", "units")) == want
+
+
+def test_alignment_with_rectangles_of_another_table(spark):
+    rect = (0.0, 800.0, 7.0, 788.0)
+    text = pages(spark, (1, 0, "ab", None), (2, 0, "😀", None), (3, 0, None, None), (4, 0, "q", None), (5, 0, "w", None)).drop("char_rects")
+    laid = pages(spark, (1, 0, None, [rect] * 2), (2, 0, None, [rect]), (3, 0, None, [rect]), (5, 0, None, None), (6, 0, None, [rect]))
+    got = values(page_ops.check_alignment(text, laid), "doc_id", "rects", "units")
+    assert sorted(got) == [(2, 1, 2), (3, 1, 0), (4, 0, 1), (5, 0, 1)]
