@@ -1,7 +1,7 @@
 """Literal search across documents: offsets, numbering, snippets and highlight boxes."""
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -167,9 +167,11 @@ def first_page_with(pages: DataFrame, token: str) -> DataFrame:
 def _folded(text):
     """Lower-cased text in which every plain query that a case-insensitive pattern matches can be found literally.
 
-    Three characters beyond Latin-1 match plain letters although lower-casing does not make them so.
+    Three characters beyond Latin-1 match plain letters although lower-casing does not make them so; only texts that hold
+    one of them are translated, as that goes character by character.
     """
-    return F.lower(F.translate(text, FOLDING_EXCEPTIONS[1:-1], "iis"))
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in FOLDING_EXCEPTIONS[1:-1]])
+    return F.lower(F.when(odd, F.translate(text, FOLDING_EXCEPTIONS[1:-1], "iis")).otherwise(text))
 
 
 def keyed_queries(queries: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog.page_queries import QUERIES
 from shelfmark.functions.text import character_of, code_point
+from shelfmark.operators import page_index
 from shelfmark.operators import pages as page_ops
 
 
@@ -63,3 +64,17 @@ def test_alignment_with_rectangles_of_another_table(spark):
     laid = pages(spark, (1, 0, None, [rect] * 2), (2, 0, None, [rect]), (3, 0, None, [rect]), (5, 0, None, None), (6, 0, None, [rect]))
     got = values(page_ops.check_alignment(text, laid), "doc_id", "rects", "units")
     assert sorted(got) == [(2, 1, 2), (3, 1, 0), (4, 0, 1), (5, 0, 1)]
+
+
+def test_index_is_built_without_an_exchange(spark, tmp_path):
+    """Postings are written as they come, and a hit that overlaps another needs no look at the text."""
+    table = pages(spark, (1, 0, "thathat that", None), (2, 0, "aaaaa xthat", None), (3, 0, "none", None))
+    spark.sparkContext.setJobGroup("index", "index")
+    page_index.add_pages(table.coalesce(1), str(tmp_path), "0")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup("index")
+    assert jobs and all(len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs)
+    index, unread = page_index.read_index(spark, str(tmp_path)), table.where("raise_error('read') IS NULL")
+    for query, want in (("that", [(1, 0), (1, 8), (2, 7)]), ("aaa", [(2, 0)]), ("the", [])):
+        assert sorted(values(page_index.search_index(index, unread, query), "doc_id", "offset")) == want
