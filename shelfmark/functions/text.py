@@ -220,25 +220,25 @@ def grid_rects(text: Column) -> Column:
 def line_boxes(rects: Column) -> Column:
     """Bounding box of the rectangles on each line, lines told apart by their top, in the order they begin.
 
-    Rectangles are sorted by their top once and cut where it changes, so a dense page costs little
-    more than its sort.
+    Rectangles of one line are bounded as they are. Those of several are sorted by their top once and cut where it
+    changes, so a dense page costs little more than its sort.
     """
     def cut(rows: Column) -> Column:
         changes = F.transform(rows, lambda r, i: F.when((i == 0) | (r["top"] != F.get(rows, i - 1)["top"]), i))
         return let(F.filter(changes, lambda i: i.isNotNull()), lambda starts: F.transform(
             starts, lambda s, j: F.slice(rows, s + 1, F.coalesce(F.get(starts, j + 1), F.size(rows)) - s)))
 
-    def box(line: Column) -> Column:
-        return F.struct(
-            F.array_min(F.transform(line, lambda r: r["at"])).alias("at"),
-            F.array_min(F.transform(line, lambda r: r["left"])).alias("left"),
-            F.get(line, F.lit(0))["top"].alias("top"),
-            F.array_max(F.transform(line, lambda r: r["right"])).alias("right"),
-            F.array_min(F.transform(line, lambda r: r["bottom"])).alias("bottom"),
-        )
+    def bounds(line: Column) -> list[Column]:
+        return [
+            F.array_min(line["left"]).alias("left"), F.get(line, F.lit(0))["top"].alias("top"),
+            F.array_max(line["right"]).alias("right"), F.array_min(line["bottom"]).alias("bottom"),
+        ]
+
+    def several(rs: Column) -> Column:
+        placed = F.sort_array(F.transform(rs, lambda r, i: F.struct(
+            r["top"].alias("top"), i.alias("at"), r["left"].alias("left"), r["right"].alias("right"), r["bottom"].alias("bottom"))))
+        lines = F.transform(let(placed, cut), lambda line: F.struct(F.array_min(line["at"]).alias("at"), *bounds(line)))
+        return F.transform(F.sort_array(lines), lambda b: F.struct(
+            *[b[c].alias(c) for c in ("left", "top", "right", "bottom")]))
 
-    placed = F.array_sort(F.transform(rects, lambda r, i: F.struct(
-        r["top"].alias("top"), i.alias("at"), r["left"].alias("left"), r["right"].alias("right"), r["bottom"].alias("bottom"))))
-    boxes = F.array_sort(F.transform(let(placed, cut), box))
-    return F.transform(boxes, lambda b: F.struct(
-        b["left"].alias("left"), b["top"].alias("top"), b["right"].alias("right"), b["bottom"].alias("bottom")))
+    return let(rects, lambda rs: F.when(F.size(F.array_distinct(rs["top"])) == 1, F.array(F.struct(*bounds(rs)))).otherwise(several(rs)))

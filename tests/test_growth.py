@@ -4,8 +4,9 @@ import pytest
 from helpers import pages, values
 from pyspark.sql import functions as F
 
+from shelfmark import schemas
 from shelfmark.catalog.page_queries import QUERIES
-from shelfmark.functions.text import character_of, code_point
+from shelfmark.functions.text import character_of, code_point, line_boxes
 from shelfmark.operators import page_index
 from shelfmark.operators import pages as page_ops
 
@@ -78,3 +79,20 @@ def test_index_is_built_without_an_exchange(spark, tmp_path):
     index, unread = page_index.read_index(spark, str(tmp_path)), table.where("raise_error('read') IS NULL")
     for query, want in (("that", [(1, 0), (1, 8), (2, 7)]), ("aaa", [(2, 0)]), ("the", [])):
         assert sorted(values(page_index.search_index(index, unread, query), "doc_id", "offset")) == want
+
+
+def test_lines_are_told_apart_without_a_comparator(spark, tables):
+    """Rectangles are compared by Spark's own order, and those of one line not at all; odd values give what sorting gives."""
+    path, texts = tables
+    df = QUERIES["rect_bounds"](spark, path)
+    assert "array_sort" not in plan_of(df)
+    want = [(d, p, 0.0, 800.0, 7.0 * (len(t.encode("utf-16-le")) // 2), 788.0)
+            for d, text in enumerate(texts) for p, t in enumerate(text.split("\n")) if t]
+    assert sorted(map(tuple, df.collect())) == want
+    nan, none = float("nan"), None
+    odd = {1: [(1.0, none, 2.0, 3.0), (0.0, none, 4.0, none)], 2: [(none, 5.0, none, nan), (nan, 5.0, 1.0, 2.0)],
+           3: [(1.0, 5.0, 2.0, 0.0), (0.0, 9.0, 1.0, 8.0), (4.0, 5.0, 6.0, -1.0)], 4: [], 5: None}
+    got = {r.doc_id: r.b and [tuple(x) for x in r.b] for r in spark.createDataFrame(
+        [(d, 0, "x", v) for d, v in odd.items()], schemas.PAGE_TEXT).select("doc_id", line_boxes(F.col("char_rects")).alias("b")).collect()}
+    assert got[1] == [(0.0, None, 4.0, 3.0)] and got[3] == [(1.0, 5.0, 6.0, -1.0), (0.0, 9.0, 1.0, 8.0)]
+    assert str(got[2]) == str([(nan, 5.0, 1.0, 2.0)]) and got[4] == [] and got[5] is None
