@@ -89,8 +89,9 @@ def _(spark, d):
     publish_audited(spark, lambda: s.library(spark, d), library, key="doc_id", parts=PARTS)
     publish_audited(spark, lambda: s.collections(spark, d), collections)
     # The log arrives in three batches, in the order of seq; each run of the stream folds what has arrived.
-    log, checkpoint = shared_path(spark, "log"), shared_path(spark, "checkpoint")
-    commands = s.commands(spark, d)
+    log, checkpoint, whole = shared_path(spark, "log"), shared_path(spark, "checkpoint"), shared_path(spark, "commands")
+    s.commands(spark, d).write.parquet(whole)
+    commands = spark.read.parquet(whole)
     last = commands.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     cuts = [None, last // 3, 2 * last // 3, None]
     for low, high in zip(cuts, cuts[1:], strict=False):

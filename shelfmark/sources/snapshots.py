@@ -129,7 +129,8 @@ def publish_audited(
 
 
 def _write(df: DataFrame, staged: str, key: str | None, parts: int | None, lookup: str | None = None) -> DataFrame:
-    rows = df if parts is None else df.withColumn("__part", part_of(key, parts))
+    # A part's rows meet before they are written, so it is one file, or a few when it is large, and not one for each task.
+    rows = df if parts is None else df.withColumn("__part", part_of(key, parts)).hint("rebalance", "__part")
     if lookup is not None:
         rows = rows.repartitionByRange(lookup) if parts is None else rows
         rows = rows.sortWithinPartitions(*([] if parts is None else ["__part"]), lookup)

@@ -60,26 +60,28 @@ def command_stream(
         try:
             newest = batch.agg(F.max("seq")).first()[0]
 
-            def turn(target: str) -> tuple[DataFrame, dict] | None:
-                """The commands that are not late, and the tag to publish; nothing when the batch is there already."""
+            def turn(target: str) -> tuple[DataFrame, DataFrame, dict] | None:
+                """The commands that are not late, those that are, and the tag to publish; nothing when the batch is there already."""
                 done = current_tag(spark, target) or {"batch": -1, "seq": None}
                 if done["batch"] >= batch_id:
                     return None
                 seq = done["seq"]
                 seen = [x for x in (seq, newest) if x is not None]
-                on_time = batch if seq is None else batch.where(F.col("seq") > seq)
-                return on_time, {"batch": batch_id, "seq": max(seen, default=None)}
+                at = F.col("seq")
+                on_time = batch if seq is None else batch.where(at > seq)
+                late = batch.where(at.isNull() if seq is None else at.isNull() | (at <= seq))
+                return on_time, late, {"batch": batch_id, "seq": max(seen, default=None)}
 
             collections = read_published(spark, collections_target)
             if todo := turn(library_target):
-                late = batch.join(todo[0].select("seq"), "seq", "left_anti")
+                on_time, late, tag = todo
                 if not late.isEmpty():
-                    late.select(*batch.columns).write.mode("overwrite").parquet(
-                        f"{library_target.rstrip('/')}/_late/batch_id={batch_id}")
-                _publish_library(spark, library_target, collections, *todo, parts)
+                    late.write.mode("overwrite").parquet(f"{library_target.rstrip('/')}/_late/batch_id={batch_id}")
+                _publish_library(spark, library_target, collections, on_time, tag, parts)
             if todo := turn(collections_target):
-                log = todo[0].where(F.col("op").isin(*COLLECTION_OPS))
-                publish_audited(spark, lambda: apply_to_collections(collections, log), collections_target, allow_empty=True, tag=todo[1])
+                on_time, _, tag = todo
+                log = on_time.where(F.col("op").isin(*COLLECTION_OPS))
+                publish_audited(spark, lambda: apply_to_collections(collections, log), collections_target, allow_empty=True, tag=tag)
         finally:
             batch.unpersist()
 

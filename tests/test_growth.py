@@ -9,6 +9,7 @@ from shelfmark.catalog.page_queries import QUERIES
 from shelfmark.functions.text import character_of, code_point, line_boxes
 from shelfmark.operators import page_index
 from shelfmark.operators import pages as page_ops
+from shelfmark.sources import snapshots
 
 
 @pytest.fixture
@@ -96,3 +97,13 @@ def test_lines_are_told_apart_without_a_comparator(spark, tables):
         [(d, 0, "x", v) for d, v in odd.items()], schemas.PAGE_TEXT).select("doc_id", line_boxes(F.col("char_rects")).alias("b")).collect()}
     assert got[1] == [(0.0, None, 4.0, 3.0)] and got[3] == [(1.0, 5.0, 6.0, -1.0), (0.0, 9.0, 1.0, 8.0)]
     assert str(got[2]) == str([(nan, 5.0, 1.0, 2.0)]) and got[4] == [] and got[5] is None
+
+
+def test_a_part_is_one_file_however_many_tasks_hold_it(spark, tmp_path):
+    """Files of a version follow its parts and size, not tasks times parts."""
+    rows = spark.range(0, 4_000, 1, 16).selectExpr("id AS doc_id", "concat('n', id) AS name")
+    snapshots.publish_audited(spark, lambda: rows, str(tmp_path), key="doc_id", parts=8)
+    snapshots.publish_parts(spark, rows.where("doc_id % 3 = 0"), range(8), str(tmp_path), "doc_id")
+    files = [len(list(folder.glob("__part=*/*.parquet"))) for folder in tmp_path.glob("data-*")]
+    assert files == [8, 8]
+    assert sorted(values(snapshots.read_published(spark, str(tmp_path)), "doc_id")) == list(range(0, 4_000, 3))
