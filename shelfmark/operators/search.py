@@ -20,7 +20,7 @@ from shelfmark.functions.text import (
     occurrences,
     snippets,
 )
-from shelfmark.operators.terms import packs, rarest_pieces, text_keys
+from shelfmark.operators.terms import listed_keys, packs, rarest_pieces, text_keys
 from shelfmark.session import cut_lineage
 
 PAGES_PER_CHUNK = 1_024
@@ -191,21 +191,20 @@ def keyed_queries(queries: DataFrame) -> DataFrame:
 def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """``search_text`` for every row of ``queries`` (``query_id``, ``query``) in one pass.
 
-    Each page is cut once into its distinct pieces, and those that are keys of queries meet the broadcast
+    Each page is looked through once for the pieces that are keys of queries, and those it holds meet the broadcast
     queries they may contain, so the work per page hardly depends on how many queries there are, and no text
     is exchanged. A list that is too large to broadcast costs one pass over the text for each part of measured size.
     """
     keyed = cut_lineage(keyed_queries(queries))
     wanted = keyed.select("key", "query_id", "low", "pattern", "plain", F.length("query").alias("length"))
-    rows = keyed.select(F.when(F.col("plain"), F.length("key")).alias("n")).distinct().collect()
-    keys = text_keys(F.col("folded"), sorted(r.n for r in rows if r.n))
-    if any(r.n is None for r in rows):
-        keys = F.concat(keys, F.array(F.lit(ANY)))
     text = F.col("full_text")
-    cut = pages.where(text.isNotNull()).select("doc_id", "page_index", "full_text", _folded(text).alias("folded")).select(
-        "*", F.explode_outer(keys).alias("key"))
+    folded = pages.where(text.isNotNull()).select("doc_id", "page_index", "full_text", _folded(text).alias("folded"))
     out = None
     for pack in packs(wanted, ["query_id", "key"]):
+        keys = text_keys(F.col("folded"), listed_keys(pack.where(F.col("plain")), "key"))
+        if not pack.where(~F.col("plain")).isEmpty():
+            keys = F.concat(keys, F.array(F.lit(ANY)))
+        cut = folded.withColumn("keys", keys).select("doc_id", "page_index", "full_text", "folded", F.explode_outer("keys").alias("key"))
         checked = cut.join(F.broadcast(pack), "key").where(~F.col("plain") | F.contains("folded", "low"))
         hits = occurrences(F.split(text, F.col("pattern"), -1), F.col("length"))
         rows = checked.select("query_id", "doc_id", "page_index", F.explode(hits).alias("offset"), "length")

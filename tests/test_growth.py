@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.catalog.page_queries import QUERIES
 from shelfmark.functions.text import character_of, code_point, line_boxes
-from shelfmark.operators import page_index
+from shelfmark.operators import page_index, terms
 from shelfmark.operators import pages as page_ops
 from shelfmark.sources import snapshots
 
@@ -107,3 +107,17 @@ def test_a_part_is_one_file_however_many_tasks_hold_it(spark, tmp_path):
     files = [len(list(folder.glob("__part=*/*.parquet"))) for folder in tmp_path.glob("data-*")]
     assert files == [8, 8]
     assert sorted(values(snapshots.read_published(spark, str(tmp_path)), "doc_id")) == list(range(0, 4_000, 3))
+
+
+def test_only_keys_of_terms_become_rows(spark, monkeypatch):
+    """A text without a key is one row, and one with keys is a row for each, however many pieces it has."""
+    monkeypatch.setattr(terms, "SLICE", 5)
+    texts = [None, "", "ab", "xabcxabc", "q" * 40, "z😀éq", "bc", "😀", "abcabd" * 5]
+    keys = ["abc", "abd", "é", "😀", "z😀é", "cab", "bc", "q😀é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    pack = spark.createDataFrame([(k,) for k in [*keys, *keys]], "piece string")
+    got = sorted(values(terms.cut_texts(rows, "text", pack), "i", "piece"), key=str)
+    held = [(i, k) for i, t in enumerate(texts) for k in [k for k in keys if k in (t or "")] or [None]]
+    assert got == sorted(held, key=str)
+    none = terms.cut_texts(rows, "text", pack.where("false"))
+    assert sorted(values(none, "i", "piece")) == [(i, None) for i in range(len(texts))]
